@@ -6,6 +6,7 @@ from difflib import SequenceMatcher
 
 import pandas as pd
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType
 
 
 def _build():
@@ -25,7 +26,7 @@ def _build():
 
     # The function is deterministic. Saying otherwise keeps the optimizer from copying
     # the call, with all that leads up to it, into filters on the results.
-    return F.pandas_udf(ratio, "double").asNondeterministic()
+    return F.pandas_udf(ratio, DoubleType()).asNondeterministic()
 
 
 # Ratio of two texts; it depends on their order. Null where either is null, at hardly any cost.

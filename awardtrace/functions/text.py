@@ -54,7 +54,9 @@ def ascii_fold(col: Column) -> Column:
     of them, take the short way: the other branches are not evaluated.
     """
     single, several = _ascii_parts()
-    expansions = F.create_map(*[F.lit(text) for pair in several.items() for text in pair])
+    # One literal each way; a map built entry by entry would swell the plan.
+    entries = "\x02".join(f"{char}\x01{text}" for char, text in several.items())
+    expansions = F.str_to_map(F.lit(entries), F.lit("\x02"), F.lit("\x01"))
     characters = F.regexp_extract_all(col, F.lit("(?s)."), F.lit(0))
     expanded = F.array_join(
         F.transform(characters, lambda c: F.coalesce(F.try_element_at(expansions, c), c)), ""

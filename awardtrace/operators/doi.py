@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from awardtrace.functions import award as A
 from awardtrace.operators.clean import funder_grants
+from awardtrace.operators.joins import anti_join_spreading_nulls
 from awardtrace.operators.pairs import DEFAULT_TIERS, score_pairs
 
 
@@ -113,4 +114,6 @@ def dois_not_in_input(cleaned: DataFrame, grants: DataFrame, funder: str) -> Dat
 
 def unmatched_by_doi(cleaned: DataFrame, grants: DataFrame, funder: str) -> DataFrame:
     """The funder's (work, DOI, award) rows whose DOI is null or not in the input."""
-    return funder_grants(grants, funder).join(input_dois(cleaned), "doi", "left_anti")
+    return anti_join_spreading_nulls(
+        funder_grants(grants, funder), input_dois(cleaned), "doi", spread_by=["work_id", "award_id"]
+    )
