@@ -57,14 +57,17 @@ def _without_zeros(digits: Column) -> Column:
 
 
 def segment_struct(segment: Column) -> Column:
-    """What the compatibility rules need to know of one segment."""
-    runs = F.regexp_extract_all(segment, F.lit("[0-9]+"), F.lit(0))
-    return F.struct(
-        segment.alias("text"),
-        is_numeric(segment).alias("numeric"),
-        F.regexp_replace(segment, "[0-9]", "").alias("letters"),
-        F.transform(runs, _without_zeros).alias("runs"),
-    )
+    """A segment and whether it is a number."""
+    return F.struct(segment.alias("text"), is_numeric(segment).alias("numeric"))
+
+
+def _runs(text: Column) -> Column:
+    """The numbers within a text, without leading zeros."""
+    return F.transform(F.regexp_extract_all(text, F.lit("[0-9]+"), F.lit(0)), _without_zeros)
+
+
+def _letters(text: Column) -> Column:
+    return F.regexp_replace(text, "[0-9]", "")
 
 
 def _numbers_agree(x: Column, y: Column) -> Column:
@@ -77,16 +80,20 @@ def _numbers_agree(x: Column, y: Column) -> Column:
 
 
 def segments_compatible(x: Column, y: Column) -> Column:
-    """Whether two segments (``segment_struct``) may mean the same; first rule that fits decides."""
+    """Whether two segments (``segment_struct``) may mean the same; first rule that fits decides.
+
+    The numbers within a segment are looked up only where cheaper tests leave the case open.
+    """
     a, b = x["text"], y["text"]
-    shared = F.least(F.size(x["runs"]), F.size(y["runs"]))
-    same_numbers = F.slice(x["runs"], 1, shared) == F.slice(y["runs"], 1, shared)
+    runs_a, runs_b = _runs(a), _runs(b)
+    shared = F.least(F.size(runs_a), F.size(runs_b))
+    same_numbers = F.slice(runs_a, 1, shared) == F.slice(runs_b, 1, shared)
     return (
         F.when(a == b, True)
         .when(x["numeric"] & y["numeric"], _numbers_agree(x, y))
         .when(x["numeric"] | y["numeric"], False)
-        .when((shared > 0) & (a.startswith(b) | b.startswith(a)) & same_numbers, True)
-        .when(x["letters"] == y["letters"], (shared == 0) | (F.get(x["runs"], 0) == F.get(y["runs"], 0)))
+        .when((a.startswith(b) | b.startswith(a)) & (shared > 0) & same_numbers, True)
+        .when(_letters(a) == _letters(b), (shared == 0) | (F.get(runs_a, 0) == F.get(runs_b, 0)))
         .otherwise(a.contains(b) | b.contains(a))
     )
 

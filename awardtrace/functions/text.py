@@ -63,7 +63,8 @@ def ascii_fold(col: Column) -> Column:
     )
     spelled_out = F.when(col.rlike("[" + "".join(several) + "]"), expanded).otherwise(col)
     one_to_one = F.translate(spelled_out, "".join(single), "".join(single.values()))
-    return F.when(col.rlike(NON_ASCII), F.regexp_replace(one_to_one, NON_ASCII, "")).otherwise(col)
+    beyond_ascii = F.octet_length(col) != F.length(col)  # only such characters take several bytes
+    return F.when(beyond_ascii, F.regexp_replace(one_to_one, NON_ASCII, "")).otherwise(col)
 
 
 def blank_to_null(col: Column) -> Column:

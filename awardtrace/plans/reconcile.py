@@ -12,7 +12,7 @@ from awardtrace.operators.overlap import best_overlap
 from awardtrace.operators.pairs import DEFAULT_TIERS, score_pairs
 from awardtrace.plans import report
 from awardtrace.sources.csv import scan_input_csv
-from awardtrace.sources.tables import write_by_category, write_result_files
+from awardtrace.sources.tables import write_by_category, write_input, write_result_files
 
 CATEGORIES = ("matched", "award_differs", "absent_from_corpus", "corpus_only")
 
@@ -129,14 +129,12 @@ def run(
     ``csv`` (a dataset per result with rows), ``stats``, ``sheet``, ``report``.
     """
     mode = "overwrite" if force else "errorifexists"
-    clean_input(scan_input_csv(spark, input_csv), award_field).write.mode(mode).parquet(f"{folder}/input")
+    write_input(clean_input(scan_input_csv(spark, input_csv), award_field), f"{folder}/input", force)
     cleaned = spark.read.parquet(f"{folder}/input")
 
-    write_by_category(
-        consolidated(cleaned, grants, funder, tiers, emit_missing=emit_missing), f"{folder}/results", force
-    )
-    schema = consolidated(cleaned, grants, funder, tiers, emit_missing=emit_missing).schema
-    results = spark.read.schema(schema).parquet(f"{folder}/results")
+    table = consolidated(cleaned, grants, funder, tiers, emit_missing=emit_missing)
+    write_by_category(table, f"{folder}/results", force)
+    results = spark.read.schema(table.schema).parquet(f"{folder}/results")
     write_result_files(by_category(results, cleaned.columns), f"{folder}/csv", force)
 
     report.summary(cleaned, grants, funder, results).write.mode(mode).parquet(f"{folder}/summary")

@@ -36,6 +36,12 @@ def read_grants(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.parquet(path)
 
 
+def write_input(cleaned: DataFrame, path: str, force: bool = False) -> None:
+    """Write a cleaned list, spread evenly: a CSV file that cannot be split arrives in one task."""
+    spread = cleaned.repartition(cleaned.sparkSession.sparkContext.defaultParallelism)
+    spread.write.mode("overwrite" if force else "errorifexists").parquet(path)
+
+
 def read_metadata(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.parquet(path).select("key", "value")
 

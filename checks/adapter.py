@@ -8,6 +8,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from awardtrace.operators.clean import clean_grants, clean_input
+from awardtrace.sources.tables import read_grants, staging_path, write_grants, write_input
 
 FUNDER = "https://funders.example/F1"
 
@@ -78,9 +79,23 @@ def input_raw(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _from_tables(spark, sf_dir, INPUT_RAW)
 
 
+# What queries start from: the tables a build leaves behind, made once per session.
+_BUILT: dict[tuple[str, str], str] = {}
+
+
+def _built(spark: SparkSession, sf_dir: str) -> str:
+    key = (spark.sparkContext.applicationId, sf_dir)
+    if key not in _BUILT:
+        folder = staging_path(spark, "build")
+        write_grants(clean_grants(grants_raw(spark, sf_dir)), f"{folder}/grants")
+        write_input(clean_input(input_raw(spark, sf_dir)), f"{folder}/input")
+        _BUILT[key] = folder
+    return _BUILT[key]
+
+
 def grants(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return clean_grants(grants_raw(spark, sf_dir))
+    return read_grants(spark, f"{_built(spark, sf_dir)}/grants")
 
 
 def funder_list(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return clean_input(input_raw(spark, sf_dir))
+    return spark.read.parquet(f"{_built(spark, sf_dir)}/input")

@@ -44,7 +44,7 @@ def scan_input_csv(spark, sf_dir):
 @query
 def build_grants(spark, sf_dir):
     path = tables.staging_path(spark, "grants")
-    tables.write_grants(grants(spark, sf_dir), path)
+    tables.write_grants(clean.clean_grants(grants_raw(spark, sf_dir)), path)
     return tables.read_grants(spark, path)
 
 
