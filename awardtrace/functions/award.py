@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from awardtrace.functions.text import DASHES, ascii_fold, strip
+from awardtrace.functions.text import ascii_fold, strip
 
 # Acceptance limits of the comparison rules.
 STRUCTURED_MIN_CONFIDENCE = 0.75
@@ -29,10 +29,6 @@ SEPARATORS = r"[-_./\s\x1c-\x1f]+"
 ALL_DIGITS = "^[0-9]+$"
 
 
-def _folded(col: Column) -> Column:
-    return ascii_fold(F.translate(col, DASHES, "-" * len(DASHES)))
-
-
 def normalize(col: Column) -> Column:
     """ASCII letters and digits of an id in upper case; ``''`` for null."""
     return F.coalesce(F.upper(F.regexp_replace(ascii_fold(col), "[^A-Za-z0-9]", "")), F.lit(""))
@@ -40,7 +36,7 @@ def normalize(col: Column) -> Column:
 
 def segments(col: Column) -> Column:
     """Upper-case parts of an id between separators; empty array for null."""
-    parts = F.split(F.upper(_folded(col)), SEPARATORS)
+    parts = F.split(F.upper(ascii_fold(col)), SEPARATORS)
     return F.coalesce(F.array_remove(parts, ""), F.array().cast("array<string>"))
 
 

@@ -47,7 +47,7 @@ def _ascii_parts() -> tuple[dict[str, str], dict[str, str]]:
 
 
 def ascii_fold(col: Column) -> Column:
-    """NFKD, then drop what is not ASCII.
+    """Dashes to hyphens, then NFKD, then drop what is not ASCII.
 
     Decomposing is done per character and never moves an ASCII character, so a
     character table gives the same text. Ids that are ASCII already, nearly all
@@ -62,7 +62,9 @@ def ascii_fold(col: Column) -> Column:
         F.transform(characters, lambda c: F.coalesce(F.try_element_at(expansions, c), c)), ""
     )
     spelled_out = F.when(col.rlike("[" + "".join(several) + "]"), expanded).otherwise(col)
-    one_to_one = F.translate(spelled_out, "".join(single), "".join(single.values()))
+    one_to_one = F.translate(
+        spelled_out, DASHES + "".join(single), "-" * len(DASHES) + "".join(single.values())
+    )
     beyond_ascii = F.octet_length(col) != F.length(col)  # only such characters take several bytes
     return F.when(beyond_ascii, F.regexp_replace(one_to_one, NON_ASCII, "")).otherwise(col)
 

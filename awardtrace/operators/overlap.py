@@ -7,6 +7,10 @@ formed. Containment is turned into equality instead: the longer id is cut into
 the pieces that could be an id of the other side (only lengths that occur there,
 only pieces holding the shared segment), and pieces meet whole ids in a plain
 equi-join. Work grows with the number of ids, not with its square.
+
+Cutting multiplies rows in a way Spark does not foresee when it estimates sizes, so
+these joins ask for a merge join rather than risk a broadcast; a segment with very
+many rows is then split by the skew join of AQE.
 """
 
 from __future__ import annotations
@@ -24,14 +28,20 @@ def indexed(segment: Column) -> Column:
 
 
 def segment_index(awards: DataFrame) -> DataFrame:
-    """(segment, award_id, norm), one row per distinct indexed segment of a distinct id."""
+    """(award_id, norm, segment), one row per distinct indexed segment of a distinct id."""
     return (
-        awards.select("award_id", normalize(F.col("award_id")).alias("norm"),
-                      F.explode(F.array_distinct(segments(F.col("award_id")))).alias("segment"))
+        awards.select("award_id")
+        .withColumn("norm", normalize(F.col("award_id")))  # before the ids are multiplied
+        .withColumn("segment", F.explode(F.array_distinct(segments(F.col("award_id")))))
         .filter(indexed(F.col("segment")))
     )
 
 
+def whole_ids(index: DataFrame) -> DataFrame:
+    """(segment, norm, award_id): ids of equal normalised text are one key, with the smallest of them."""
+    return index.groupBy("segment", "norm").agg(F.min("award_id").alias("award_id"))
+
+
 def block_sizes(corpus_awards: DataFrame, input_awards: DataFrame) -> DataFrame:
     """Per shared segment the ids on both sides and the number of candidate pairs, none of which is formed."""
     corpus = segment_index(corpus_awards).groupBy("segment").agg(F.count("*").alias("corpus_awards"))
@@ -52,7 +62,7 @@ def _pieces(longer: DataFrame, shorter: DataFrame, allow_whole: bool) -> DataFra
     length, size = F.col("length"), F.length("norm")
     fits = (length <= size) if allow_whole else (length < size)
     return (
-        longer.join(_lengths(shorter), "segment")
+        longer.join(_lengths(shorter).hint("merge"), "segment")
         .withColumn("length", F.explode("lengths"))
         .filter(fits & (length >= F.length(held)))
         .withColumn("start", F.explode(F.sequence(F.lit(1), size - length + 1)))
@@ -68,17 +78,16 @@ def best_overlap(corpus_awards: DataFrame, input_awards: DataFrame) -> DataFrame
     Equal ids come first, then the smallest difference in normalised length, then
     the smallest input id.
     """
-    corpus, funder = segment_index(corpus_awards), segment_index(input_awards)
+    corpus, funder = segment_index(corpus_awards), whole_ids(segment_index(input_awards))
 
     def candidate(not_exact: int, gap: Column, match: Column) -> Column:
         return F.struct(F.lit(not_exact).alias("not_exact"), gap.alias("gap"), match.alias("match"))
 
     # The same text on both sides; ids without an indexed segment are not compared at all.
-    def by_text(index: DataFrame) -> DataFrame:
-        return index.select("award_id", strip(F.col("award_id")).alias("text")).distinct()
-
-    same = by_text(funder).groupBy("text").agg(F.min("award_id").alias("match"))
-    equal = by_text(corpus).join(same, "text").select(
+    text = strip(F.col("award_id")).alias("text")
+    same = input_awards.groupBy(text).agg(F.min("award_id").alias("match"))
+    comparable = corpus_awards.filter(F.exists(segments(F.col("award_id")), indexed))
+    equal = comparable.select("award_id", text).join(same, "text").select(
         "award_id", candidate(0, F.lit(0), F.col("match")).alias("best")
     )
 
@@ -88,13 +97,15 @@ def best_overlap(corpus_awards: DataFrame, input_awards: DataFrame) -> DataFrame
         .groupBy("segment", F.col("piece").alias("norm"))
         .agg(F.min(F.struct(F.length("norm").alias("length"), F.col("award_id").alias("match"))).alias("found"))
     )
-    within_input = corpus.join(inside, ["segment", "norm"]).select(
+    within_input = corpus.join(inside.hint("merge"), ["segment", "norm"]).select(
         "award_id", candidate(1, F.col("found.length") - F.length("norm"), F.col("found.match")).alias("best")
     )
 
-    # Input id inside corpus id: input ids of equal normalised text are one key.
-    whole = funder.groupBy("segment", F.col("norm").alias("piece")).agg(F.min("award_id").alias("match"))
-    within_corpus = _pieces(corpus, funder, allow_whole=False).join(whole, ["segment", "piece"]).select(
+    # Input id inside corpus id.
+    whole = funder.select("segment", F.col("norm").alias("piece"), F.col("award_id").alias("match"))
+    within_corpus = _pieces(corpus, funder, allow_whole=False).join(
+        whole.hint("merge"), ["segment", "piece"]
+    ).select(
         "award_id", candidate(1, F.length("norm") - F.length("piece"), F.col("match")).alias("best")
     )
 
