@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from awardtrace.functions.award import FEATURE_COLUMNS
@@ -32,9 +32,27 @@ def extract_json(raw: DataFrame) -> DataFrame:
     return raw.select(*rest, F.json_tuple("value", "funder", "award_id").alias("funder", "award_id"))
 
 
+def is_malformed() -> Column:
+    """``value`` is there but no JSON; for a row of ``extract_json``.
+
+    A field that was found proves the document sound, so few are parsed again.
+    """
+    nothing = F.col("funder").isNull() & F.col("award_id").isNull()
+    return F.col("value").isNotNull() & nothing & F.try_parse_json("value").isNull()
+
+
 def clean_grants(raw: DataFrame) -> DataFrame:
     """Raw assertions to the nine ``grants`` columns."""
-    return extract_json(raw).withColumn("doi", F.lower(F.trim("doi"))).select(*GRANT_COLUMNS)
+    return _clean(extract_json(raw)).select(*GRANT_COLUMNS)
+
+
+def clean_and_flag(raw: DataFrame) -> DataFrame:
+    """The same with a ``malformed`` column, to write and count without a second look at the source."""
+    return _clean(extract_json(raw).withColumn("malformed", is_malformed())).select(*GRANT_COLUMNS, "malformed")
+
+
+def _clean(extracted: DataFrame) -> DataFrame:
+    return extracted.withColumn("doi", F.lower(F.trim("doi")))
 
 
 def clean_input(raw: DataFrame, award_field: str = "award_id") -> DataFrame:
@@ -52,7 +70,7 @@ def clean_input(raw: DataFrame, award_field: str = "award_id") -> DataFrame:
     return raw.withColumn("doi", clean_doi(F.col("doi")))
 
 
-def clean_doi(doi):
+def clean_doi(doi: Column) -> Column:
     """Literal ``nan`` is no DOI; else lower case, trimmed, and null when nothing is left."""
     text = strip(F.lower(F.when(doi != "nan", doi)))
     return F.when(text != "", text)

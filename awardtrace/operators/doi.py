@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from awardtrace.functions import award as A
 from awardtrace.operators.clean import funder_grants
-from awardtrace.operators.joins import anti_join_spreading_nulls
+from awardtrace.operators.joins import anti_join_spreading_nulls, keep_if_few_keys, skew_join
 from awardtrace.operators.pairs import DEFAULT_TIERS, score_pairs
 
 
@@ -93,10 +93,14 @@ def doi_profile(grants: DataFrame, funder: str) -> DataFrame:
 
 
 def absent_from_corpus(cleaned: DataFrame, grants: DataFrame, funder: str) -> DataFrame:
-    """Input rows whose DOI has no assertion of this funder, with a work known under that DOI if any."""
+    """Input rows whose DOI has no assertion of this funder, with a work known under that DOI if any.
+
+    The corpus is reduced to the DOIs of the input before it is shuffled, if these are few.
+    """
     rows = cleaned.filter(F.col("doi").isNotNull()).distinct()
+    relevant = keep_if_few_keys(grants, input_dois(cleaned), "doi")
     return (
-        rows.join(doi_profile(grants, funder), "doi", "left")
+        skew_join(rows, doi_profile(relevant, funder), ["doi"], "left")
         .filter(~F.coalesce("acknowledged", F.lit(False)))
         .select(*cleaned.columns, "work_id")
     )

@@ -1,11 +1,32 @@
-"""Joins that stay balanced when very many left rows have no key."""
+"""Joins that stay balanced when one key, or no key at all, holds a large part of the rows."""
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-_KEY = "_join_key"
+# Keys that may be broadcast as a filter, after counting them: some 50 MB on an executor.
+BROADCAST_KEYS = 500_000
+
+_HASH = "_key_hash"
+_KEY = "_left_key"
+_RIGHT = "_right_key"
+
+
+def skew_join(left: DataFrame, right: DataFrame, on: list[str], how: str = "inner", merge: bool = False) -> DataFrame:
+    """Equi-join whose hot keys AQE can split, whatever comes before it.
+
+    AQE splits a skewed partition only where both sides are shuffled for the join
+    itself. A side that is grouped by the key already would be used as it is; the
+    hash as a further key makes the planner shuffle it again. Such a side has one
+    row per key, so this is the smaller part of the join. ``merge`` rules out a
+    broadcast where Spark's size estimate is no proof.
+    """
+    key_hash = F.xxhash64(*on)
+    right = right.withColumn(_HASH, key_hash)
+    if merge:
+        right = right.hint("merge")
+    return left.withColumn(_HASH, key_hash).join(right, [*on, _HASH], how).drop(_HASH)
 
 
 def _spread_key(key: str, spread_by: list[str]) -> Column:
@@ -14,10 +35,11 @@ def _spread_key(key: str, spread_by: list[str]) -> Column:
 
 
 def _join(left: DataFrame, right: DataFrame, key: str, spread_by: list[str], how: str) -> DataFrame:
+    keyed = left.withColumn(_KEY, _spread_key(key, spread_by)).withColumn(_HASH, F.xxhash64(_KEY))
+    right = right.withColumnRenamed(key, _RIGHT).withColumn(_HASH + "_right", F.xxhash64(_RIGHT))
     # A null key never joins, whatever text stands in for it.
-    on = (F.col(_KEY) == F.col("_right_key")) & F.col(key).isNotNull()
-    keyed = left.withColumn(_KEY, _spread_key(key, spread_by))
-    return keyed.join(right.withColumnRenamed(key, "_right_key"), on, how).drop(_KEY, "_right_key")
+    on = (F.col(_KEY) == F.col(_RIGHT)) & (F.col(_HASH) == F.col(_HASH + "_right")) & F.col(key).isNotNull()
+    return keyed.join(right, on, how).drop(_KEY, _HASH, _RIGHT, _HASH + "_right")
 
 
 def left_join_spreading_nulls(left: DataFrame, right: DataFrame, key: str, spread_by: list[str]) -> DataFrame:
@@ -26,3 +48,14 @@ def left_join_spreading_nulls(left: DataFrame, right: DataFrame, key: str, sprea
 
 def anti_join_spreading_nulls(left: DataFrame, right: DataFrame, key: str, spread_by: list[str]) -> DataFrame:
     return _join(left, right, key, spread_by, "left_anti")
+
+
+def keep_if_few_keys(df: DataFrame, keys: DataFrame, key: str, limit: int = BROADCAST_KEYS) -> DataFrame:
+    """Reduce ``df`` to the rows of the given distinct keys, if those are few enough to broadcast.
+
+    The keys are counted first, up to the limit. Beyond it ``df`` comes back as it
+    is; the caller's own join drops the other rows then.
+    """
+    if keys.limit(limit + 1).count() > limit:
+        return df
+    return df.join(F.broadcast(keys), key, "left_semi")

@@ -20,6 +20,7 @@ from pyspark.sql import functions as F
 
 from awardtrace.functions.award import is_numeric, normalize, segments
 from awardtrace.functions.text import strip
+from awardtrace.operators.joins import skew_join
 
 
 def indexed(segment: Column) -> Column:
@@ -62,7 +63,7 @@ def _pieces(longer: DataFrame, shorter: DataFrame, allow_whole: bool) -> DataFra
     length, size = F.col("length"), F.length("norm")
     fits = (length <= size) if allow_whole else (length < size)
     return (
-        longer.join(_lengths(shorter).hint("merge"), "segment")
+        skew_join(longer, _lengths(shorter), ["segment"], merge=True)
         .withColumn("length", F.explode("lengths"))
         .filter(fits & (length >= F.length(held)))
         .withColumn("start", F.explode(F.sequence(F.lit(1), size - length + 1)))
@@ -87,7 +88,7 @@ def best_overlap(corpus_awards: DataFrame, input_awards: DataFrame) -> DataFrame
     text = strip(F.col("award_id")).alias("text")
     same = input_awards.groupBy(text).agg(F.min("award_id").alias("match"))
     comparable = corpus_awards.filter(F.exists(segments(F.col("award_id")), indexed))
-    equal = comparable.select("award_id", text).join(same, "text").select(
+    equal = skew_join(comparable.select("award_id", text), same, ["text"]).select(
         "award_id", candidate(0, F.lit(0), F.col("match")).alias("best")
     )
 
@@ -97,15 +98,14 @@ def best_overlap(corpus_awards: DataFrame, input_awards: DataFrame) -> DataFrame
         .groupBy("segment", F.col("piece").alias("norm"))
         .agg(F.min(F.struct(F.length("norm").alias("length"), F.col("award_id").alias("match"))).alias("found"))
     )
-    within_input = corpus.join(inside.hint("merge"), ["segment", "norm"]).select(
+    within_input = skew_join(corpus, inside, ["segment", "norm"], merge=True).select(
         "award_id", candidate(1, F.col("found.length") - F.length("norm"), F.col("found.match")).alias("best")
     )
 
     # Input id inside corpus id.
     whole = funder.select("segment", F.col("norm").alias("piece"), F.col("award_id").alias("match"))
-    within_corpus = _pieces(corpus, funder, allow_whole=False).join(
-        whole.hint("merge"), ["segment", "piece"]
-    ).select(
+    pieces = _pieces(corpus, funder, allow_whole=False)
+    within_corpus = skew_join(pieces, whole, ["segment", "piece"], merge=True).select(
         "award_id", candidate(1, F.length("norm") - F.length("piece"), F.col("match")).alias("best")
     )
 

@@ -83,10 +83,9 @@ def grants_checks(grants: DataFrame) -> DataFrame:
     return _checks(seen, {"grants_not_empty": (n > 0, n), "some_funder_parsed": (parsed > 0, parsed)})
 
 
-def raw_checks(raw: DataFrame) -> DataFrame:
+def json_checks(flagged: DataFrame) -> DataFrame:
     """Rows whose ``value`` is present but no JSON; they count as rows without funder and award."""
-    bad = F.count_if(F.col("value").isNotNull() & F.try_parse_json("value").isNull())
-    return _checks(raw.agg(bad.alias("bad")), {"value_is_json": (F.col("bad") == 0, F.col("bad"))})
+    return _checks(flagged.agg(F.count_if("malformed").alias("bad")), {"value_is_json": (F.col("bad") == 0, F.col("bad"))})
 
 
 def metadata_checks(metadata: DataFrame) -> DataFrame:
@@ -95,5 +94,6 @@ def metadata_checks(metadata: DataFrame) -> DataFrame:
     return _checks(seen, {"metadata_keys_unique": (F.col("extra") == 0, F.col("extra"))})
 
 
-def quality_checks(raw: DataFrame, grants: DataFrame, metadata: DataFrame) -> DataFrame:
-    return grants_checks(grants).unionByName(raw_checks(raw)).unionByName(metadata_checks(metadata))
+def quality_checks(flagged: DataFrame, grants: DataFrame, metadata: DataFrame) -> DataFrame:
+    """All checks of a build; ``flagged`` comes from ``clean_and_flag``."""
+    return grants_checks(grants).unionByName(json_checks(flagged)).unionByName(metadata_checks(metadata))

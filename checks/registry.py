@@ -99,7 +99,7 @@ def build_metadata(spark, sf_dir):
 def quality_checks(spark, sf_dir):
     table = grants(spark, sf_dir)
     metadata = profiles.build_metadata(table, sf_dir)
-    return profiles.quality_checks(grants_raw(spark, sf_dir), table, metadata)
+    return profiles.quality_checks(clean.clean_and_flag(grants_raw(spark, sf_dir)), table, metadata)
 
 
 # --- profiles -------------------------------------------------------------------------------------

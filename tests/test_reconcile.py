@@ -4,6 +4,9 @@ import pytest
 from pyspark.sql import functions as F
 
 from awardtrace.operators import clean, doi, profiles
+from awardtrace.operators.joins import (
+    anti_join_spreading_nulls, keep_if_few_keys, left_join_spreading_nulls, skew_join,
+)
 from awardtrace.operators.pairs import STRICT_TIERS
 from awardtrace.plans import reconcile, report
 from checks.adapter import FUNDER, funder_list, grants
@@ -130,7 +133,8 @@ def test_json_cases(spark):
     ]
     df = spark.createDataFrame([(c[0],) for c in cases], "value string")
     assert [tuple(r) for r in clean.extract_json(df).collect()] == cases
-    bad = profiles.raw_checks(df).first()
+    raw = df.select(*[F.lit("x").alias(c) for c in clean.RAW_COLUMNS if c != "value"], "value")
+    bad = profiles.json_checks(clean.clean_and_flag(raw)).first()
     assert (bad.passed, bad.observed) == (False, 2)
 
 
@@ -170,3 +174,59 @@ def test_a_doi_with_a_third_of_all_rows(spark):
     rows = hot.unionByName(cold)
     table = rows.select(F.lit("W").alias("work_id"), "doi", F.lit(F1).alias("funder"), "award_id")
     assert doi.matched(doi.compare_on_doi(rows, table, F1)).count() == 1_001
+
+
+@pytest.mark.parametrize("limit", [0, 100])
+def test_filter_by_few_keys_changes_no_result(spark, small, limit):
+    rows, table = small
+    kept = keep_if_few_keys(table, doi.input_dois(rows), "doi", limit)
+    assert kept.count() == (10 if limit == 0 else 6)
+    assert values(doi.doi_profile(kept, F1).join(doi.input_dois(rows), "doi")) == values(
+        doi.doi_profile(table, F1).join(doi.input_dois(rows), "doi"))
+
+
+@pytest.fixture
+def small_partitions(spark):
+    """Make AQE take a few hundred kilobytes for a large partition."""
+    settings = {
+        "spark.sql.autoBroadcastJoinThreshold": "-1",
+        "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "20k",
+        "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "1.5",
+        "spark.sql.adaptive.advisoryPartitionSizeInBytes": "20k",
+        "spark.sql.adaptive.coalescePartitions.enabled": "false",
+        "spark.sql.shuffle.partitions": "8",
+    }
+    before = {key: spark.conf.get(key, None) for key in settings}
+    for key, value in settings.items():
+        spark.conf.set(key, value)
+    yield
+    for key, value in before.items():
+        spark.conf.set(key, value) if value is not None else spark.conf.unset(key)
+
+
+def splits(df):
+    """Whether the joins of the executed plan were split."""
+    df.collect()
+    return "skew=true" in df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_hot_keys_are_split(spark, small_partitions):
+    """A third of all distinct rows on one key, against a side that is grouped by it."""
+    left = spark.range(60_000).select(
+        F.when(F.col("id") % 3 == 0, "hot").otherwise(F.col("id").cast("string")).alias("k"), "id"
+    ).repartition(8, "id")
+    right = left.groupBy("k").agg(F.max("id").alias("m"))
+    joined = skew_join(left, right, ["k"], "left")
+    assert splits(joined) and joined.count() == 60_000
+    assert not splits(left.join(right, "k", "left"))
+    spread = left_join_spreading_nulls(left, right, "k", ["id"])
+    assert splits(spread) and spread.filter("m IS NOT NULL").count() == 60_000
+
+
+def test_rows_without_key_go_to_many_tasks(spark, small_partitions):
+    left = spark.range(20_000).select(F.when(F.col("id") < 0, "x").alias("k"), "id").repartition(4, "id")
+    right = spark.range(10).select(F.col("id").cast("string").alias("k"), F.lit(1).alias("one"))
+    out = left_join_spreading_nulls(left, right, "k", ["id"]).withColumn("task", F.spark_partition_id())
+    sizes = [r["count"] for r in out.groupBy("task").count().collect()]
+    assert sum(sizes) == 20_000 and max(sizes) < 4_000
+    assert anti_join_spreading_nulls(left, right.select("k"), "k", ["id"]).count() == 20_000
