@@ -9,8 +9,9 @@ only pieces holding the shared segment), and pieces meet whole ids in a plain
 equi-join. Work grows with the number of ids, not with its square.
 
 Cutting multiplies rows in a way Spark does not foresee when it estimates sizes, so
-these joins ask for a merge join rather than risk a broadcast; a segment with very
-many rows is then split by the skew join of AQE.
+pieces are never left to a broadcast by estimate. The corpus index is broadcast if a
+count says it is small, and the pieces of input ids then need no shuffle at all;
+else both sides meet in merge joins, where AQE splits a segment with very many rows.
 """
 
 from __future__ import annotations
@@ -20,7 +21,8 @@ from pyspark.sql import functions as F
 
 from awardtrace.functions.award import is_numeric, normalize, segments
 from awardtrace.functions.text import strip
-from awardtrace.operators.joins import skew_join
+from awardtrace.operators.joins import BROADCAST_KEYS, skew_join
+from awardtrace.sources.tables import stage
 
 
 def indexed(segment: Column) -> Column:
@@ -57,14 +59,13 @@ def _lengths(index: DataFrame) -> DataFrame:
     return index.groupBy("segment").agg(F.collect_set(F.length("norm")).alias("lengths"))
 
 
-def _pieces(longer: DataFrame, shorter: DataFrame, allow_whole: bool) -> DataFrame:
-    """(segment, piece, award_id, norm): pieces of the longer ids that may be ids of the shorter side."""
+def _pieces(longer_with_lengths: DataFrame, allow_whole: bool) -> DataFrame:
+    """(segment, piece, award_id, norm): pieces of the longer ids that may be ids of the other side."""
     held = F.regexp_replace("segment", "[^A-Z0-9]", "")
     length, size = F.col("length"), F.length("norm")
     fits = (length <= size) if allow_whole else (length < size)
     return (
-        skew_join(longer, _lengths(shorter), ["segment"], merge=True)
-        .withColumn("length", F.explode("lengths"))
+        longer_with_lengths.withColumn("length", F.explode("lengths"))
         .filter(fits & (length >= F.length(held)))
         .withColumn("start", F.explode(F.sequence(F.lit(1), size - length + 1)))
         .withColumn("piece", F.substring("norm", F.col("start"), length))
@@ -73,13 +74,16 @@ def _pieces(longer: DataFrame, shorter: DataFrame, allow_whole: bool) -> DataFra
     )
 
 
-def best_overlap(corpus_awards: DataFrame, input_awards: DataFrame) -> DataFrame:
+def best_overlap(corpus_awards: DataFrame, input_awards: DataFrame, broadcast_limit: int = BROADCAST_KEYS) -> DataFrame:
     """(award_id, matching_input_award_id, exact, length_gap): the best input id per corpus id that has one.
 
     Equal ids come first, then the smallest difference in normalised length, then
-    the smallest input id.
+    the smallest input id. The segment indexes are read by several branches, so they
+    are written to the staging folder when this is called.
     """
-    corpus, funder = segment_index(corpus_awards), whole_ids(segment_index(input_awards))
+    corpus = stage(segment_index(corpus_awards), "corpus_index")
+    funder = stage(whole_ids(segment_index(input_awards)), "input_index")
+    few = corpus.count() <= broadcast_limit  # answered from the file footers
 
     def candidate(not_exact: int, gap: Column, match: Column) -> Column:
         return F.struct(F.lit(not_exact).alias("not_exact"), gap.alias("gap"), match.alias("match"))
@@ -92,20 +96,30 @@ def best_overlap(corpus_awards: DataFrame, input_awards: DataFrame) -> DataFrame
         "award_id", candidate(0, F.lit(0), F.col("match")).alias("best")
     )
 
-    # Corpus id inside input id: per piece the shortest input id serves every corpus id.
-    inside = (
-        _pieces(funder, corpus, allow_whole=True)
-        .groupBy("segment", F.col("piece").alias("norm"))
-        .agg(F.min(F.struct(F.length("norm").alias("length"), F.col("award_id").alias("match"))).alias("found"))
-    )
-    within_input = skew_join(corpus, inside, ["segment", "norm"], merge=True).select(
-        "award_id", candidate(1, F.col("found.length") - F.length("norm"), F.col("found.match")).alias("best")
-    )
+    # Corpus id inside input id.
+    if few:
+        inputs = _pieces(funder.join(F.broadcast(_lengths(corpus)), "segment"), allow_whole=True)
+        keys = corpus.select("segment", F.col("norm").alias("piece"), F.col("award_id").alias("corpus_id"))
+        within_input = inputs.join(F.broadcast(keys), ["segment", "piece"]).select(
+            F.col("corpus_id").alias("award_id"),
+            candidate(1, F.length("norm") - F.length("piece"), F.col("award_id")).alias("best"),
+        )
+        corpus_pieces = _pieces(F.broadcast(corpus).join(_lengths(funder), "segment"), allow_whole=False)
+    else:
+        # Per piece the shortest input id serves every corpus id.
+        inside = (
+            _pieces(skew_join(funder, _lengths(corpus), ["segment"], merge=True), allow_whole=True)
+            .groupBy("segment", F.col("piece").alias("norm"))
+            .agg(F.min(F.struct(F.length("norm").alias("length"), F.col("award_id").alias("match"))).alias("found"))
+        )
+        within_input = skew_join(corpus, inside, ["segment", "norm"], merge=True).select(
+            "award_id", candidate(1, F.col("found.length") - F.length("norm"), F.col("found.match")).alias("best")
+        )
+        corpus_pieces = _pieces(skew_join(corpus, _lengths(funder), ["segment"], merge=True), allow_whole=False)
 
     # Input id inside corpus id.
     whole = funder.select("segment", F.col("norm").alias("piece"), F.col("award_id").alias("match"))
-    pieces = _pieces(corpus, funder, allow_whole=False)
-    within_corpus = skew_join(pieces, whole, ["segment", "piece"], merge=True).select(
+    within_corpus = skew_join(corpus_pieces, whole, ["segment", "piece"], merge=True).select(
         "award_id", candidate(1, F.length("norm") - F.length("piece"), F.col("match")).alias("best")
     )
 

@@ -18,6 +18,16 @@ def staging_path(spark: SparkSession, name: str) -> str:
     return f"{root.rstrip('/')}/awardtrace/{name}-{uuid.uuid4().hex}"
 
 
+def stage(df: DataFrame, name: str) -> DataFrame:
+    """Write a table that several branches of one query read, and read it back.
+
+    Nothing is computed twice, and a lost executor costs no more than a re-read.
+    """
+    path = staging_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def write_grants(grants: DataFrame, path: str, force: bool = False, partitions: int | None = None) -> None:
     """Write Parquet in the order of (funder, DOI), so that a filter on the funder skips row groups.
 

@@ -2,6 +2,7 @@ from __future__ import annotations
 
 import random
 
+import pytest
 from pyspark.sql import functions as F
 
 from awardtrace.functions import award as A
@@ -37,7 +38,8 @@ def brute_force(spark, corpus, funder):
     return best
 
 
-def test_best_overlap_equals_brute_force(spark):
+@pytest.mark.parametrize("broadcast_limit", [0, 1_000_000])
+def test_best_overlap_equals_brute_force(spark, broadcast_limit):
     rng = random.Random(3)
     parts = ["GRANT", "GRANT", "R01", "12", "7", "0012", "A", "AB", "#", "é1", "B(2", "GRANTS", "COUNCIL"]
 
@@ -48,7 +50,7 @@ def test_best_overlap_equals_brute_force(spark):
     corpus = sorted({award() for _ in range(400)})
     funder = sorted({award() for _ in range(400)})
     expected = brute_force(spark, corpus, funder)
-    got = best_overlap(awards(spark, corpus), awards(spark, funder)).collect()
+    got = best_overlap(awards(spark, corpus), awards(spark, funder), broadcast_limit).collect()
     assert len(expected) > 100
     assert {r.award_id: (not r.exact, r.length_gap, r.matching_input_award_id) for r in got} == expected
 
