@@ -3,11 +3,17 @@
 from __future__ import annotations
 
 from awardtrace.llm.exact_dedup import OP7_SQL, op7_exact_dedup
+from awardtrace.llm.mixing import OP5_SQL, op5_mixing
+from awardtrace.llm.sharding import OP9_SQL, op9_sharding
 
 QUERIES = {
+    "op5_mixing": op5_mixing,
     "op7_exact_dedup": op7_exact_dedup,
+    "op9_sharding": op9_sharding,
 }
 
 ORACLES = {
+    "op5_mixing": OP5_SQL,
     "op7_exact_dedup": OP7_SQL,
+    "op9_sharding": OP9_SQL,
 }
