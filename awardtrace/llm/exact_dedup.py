@@ -45,10 +45,9 @@ def _hot(texts: DataFrame) -> tuple[list[str], list[str]]:
     least = max(8, int(HOT_SHARE * min(total, SAMPLE_ROWS)))
     counts = (drawn.select(_start(F.col("_text")).alias("start"), _sha(F.col("_text")).alias("sha"))
               .groupBy("start", "sha").agg(F.count("*").alias("n")))
-    starts = F.sum("n").over(Window.partitionBy("start"))
-    seen = counts.withColumn("of_start", starts).where(F.col("of_start") >= least)
-    rows = seen.groupBy("start").agg(
-        F.collect_list(F.when(F.col("n") >= least, F.col("sha"))).alias("texts")).collect()
+    by_start = counts.groupBy("start").agg(
+        F.sum("n").alias("rows"), F.collect_list(F.when(F.col("n") >= least, F.col("sha"))).alias("texts"))
+    rows = by_start.where(F.col("rows") >= least).collect()
     return [r.start for r in rows], [sha for r in rows for sha in r.texts]
 
 
