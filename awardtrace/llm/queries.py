@@ -4,16 +4,22 @@ from __future__ import annotations
 
 from awardtrace.llm.exact_dedup import OP7_SQL, op7_exact_dedup
 from awardtrace.llm.mixing import OP5_SQL, op5_mixing
+from awardtrace.llm.secrets import OP8_SQL, op8_secret_scans
 from awardtrace.llm.sharding import OP9_SQL, op9_sharding
+from awardtrace.llm.url_filters import OP10_SQL, op10_url_filters
 
 QUERIES = {
     "op5_mixing": op5_mixing,
     "op7_exact_dedup": op7_exact_dedup,
+    "op8_secret_scans": op8_secret_scans,
     "op9_sharding": op9_sharding,
+    "op10_url_filters": op10_url_filters,
 }
 
 ORACLES = {
     "op5_mixing": OP5_SQL,
     "op7_exact_dedup": OP7_SQL,
+    "op8_secret_scans": OP8_SQL,
     "op9_sharding": OP9_SQL,
+    "op10_url_filters": OP10_SQL,
 }
