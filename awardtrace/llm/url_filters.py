@@ -151,8 +151,8 @@ edges AS (
     SELECT src, dst, 1 AS n FROM linked WHERE src <> dst
     UNION ALL SELECT host, up, 1 FROM above WHERE up <> '' UNION ALL SELECT up, host, 1 FROM above WHERE up <> '')
   GROUP BY src, dst),
-both AS (SELECT 'trust' AS kind, src AS host, dst, n FROM edges UNION ALL SELECT 'distrust', dst, src, n FROM edges),
-ways AS (SELECT kind, host, dst, n / sum(n) OVER (PARTITION BY kind, host) AS part FROM both),
+directed AS (SELECT 'trust' AS kind, src AS host, dst, n FROM edges UNION ALL SELECT 'distrust', dst, src, n FROM edges),
+ways AS (SELECT kind, host, dst, n / sum(n) OVER (PARTITION BY kind, host) AS part FROM directed),
 seeds AS (
   SELECT CASE WHEN rule.verdict = 'allow' THEN 'trust' ELSE 'distrust' END AS kind, host, count(*) AS n
   FROM ruled WHERE rule IS NOT NULL AND host <> '' GROUP BY ALL),
