@@ -5,12 +5,16 @@ from __future__ import annotations
 from awardtrace.llm.exact_dedup import OP7_SQL, op7_exact_dedup
 from awardtrace.llm.licenses import op3_license_scans
 from awardtrace.llm.mixing import OP5_SQL, op5_mixing
-from awardtrace.llm.secrets import OP8_SQL, op8_secret_scans
+from awardtrace.llm.quality import OP4_SQL, op4_quality_rules
+from awardtrace.llm.secret_scans import OP8_SQL, op8_secret_scans
 from awardtrace.llm.sharding import OP9_SQL, op9_sharding
+from awardtrace.llm.toxicity import op2_toxicity
 from awardtrace.llm.url_filters import OP10_SQL, op10_url_filters
 
 QUERIES = {
+    "op2_toxicity": op2_toxicity,
     "op3_license_scans": op3_license_scans,
+    "op4_quality_rules": op4_quality_rules,
     "op5_mixing": op5_mixing,
     "op7_exact_dedup": op7_exact_dedup,
     "op8_secret_scans": op8_secret_scans,
@@ -19,6 +23,7 @@ QUERIES = {
 }
 
 ORACLES = {
+    "op4_quality_rules": OP4_SQL,
     "op5_mixing": OP5_SQL,
     "op7_exact_dedup": OP7_SQL,
     "op8_secret_scans": OP8_SQL,
