@@ -6,6 +6,7 @@ from awardtrace.llm.exact_dedup import OP7_SQL, op7_exact_dedup
 from awardtrace.llm.licenses import op3_license_scans
 from awardtrace.llm.mixing import OP5_SQL, op5_mixing
 from awardtrace.llm.quality import OP4_SQL, op4_quality_rules
+from awardtrace.llm.sampled_pieces import op6_sentencepiece
 from awardtrace.llm.secret_scans import OP8_SQL, op8_secret_scans
 from awardtrace.llm.sharding import OP9_SQL, op9_sharding
 from awardtrace.llm.toxicity import op2_toxicity
@@ -16,6 +17,7 @@ QUERIES = {
     "op3_license_scans": op3_license_scans,
     "op4_quality_rules": op4_quality_rules,
     "op5_mixing": op5_mixing,
+    "op6_sentencepiece": op6_sentencepiece,
     "op7_exact_dedup": op7_exact_dedup,
     "op8_secret_scans": op8_secret_scans,
     "op9_sharding": op9_sharding,
