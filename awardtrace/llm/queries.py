@@ -5,6 +5,7 @@ from __future__ import annotations
 from awardtrace.llm.exact_dedup import OP7_SQL, op7_exact_dedup
 from awardtrace.llm.licenses import op3_license_scans
 from awardtrace.llm.mixing import OP5_SQL, op5_mixing
+from awardtrace.llm.ngram_join import OP1_SQL, op1_ngram_jaccard_join
 from awardtrace.llm.quality import OP4_SQL, op4_quality_rules
 from awardtrace.llm.sampled_pieces import op6_sentencepiece
 from awardtrace.llm.secret_scans import OP8_SQL, op8_secret_scans
@@ -13,6 +14,7 @@ from awardtrace.llm.toxicity import op2_toxicity
 from awardtrace.llm.url_filters import OP10_SQL, op10_url_filters
 
 QUERIES = {
+    "op1_ngram_jaccard_join": op1_ngram_jaccard_join,
     "op2_toxicity": op2_toxicity,
     "op3_license_scans": op3_license_scans,
     "op4_quality_rules": op4_quality_rules,
@@ -25,6 +27,7 @@ QUERIES = {
 }
 
 ORACLES = {
+    "op1_ngram_jaccard_join": OP1_SQL,
     "op4_quality_rules": OP4_SQL,
     "op5_mixing": OP5_SQL,
     "op7_exact_dedup": OP7_SQL,
