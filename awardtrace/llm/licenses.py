@@ -24,7 +24,7 @@ LICENSES = [
     ("apache-1.1", "apache", r"apache(?: software)? licen[sc]e,? (?:version |v)?1\.1", r"apache-1\.1", r"apache\.org/licenses/license-1\.1"),
     ("apache-2.0", "apache", r"apache(?: software)? licen[sc]e(?:,? (?:version |v)?2(?:\.0)?)?", r"apache-2\.0", r"apache\.org/licenses/license-2\.0"),
     ("mit", "mit", r"mit(?:/expat)? licen[sc]e", r"mit", r"opensource\.org/licen[sc]es?/mit"),
-    ("mit-0", "mit", r"mit no attribution(?: licen[sc]e)?", r"mit-0", r"opensource\.org/licen[sc]es?/mit-0"),
+    ("mit-0", "mit", r"mit no attribution licen[sc]e", r"mit-0", r"opensource\.org/licen[sc]es?/mit-0"),
     ("bsd-2-clause", "bsd", r"(?:simplified bsd|bsd[ -]2[ -]clause|2[ -]clause bsd)(?: licen[sc]e)?", r"bsd-2-clause", r"opensource\.org/licen[sc]es?/bsd-2-clause"),
     ("bsd-3-clause", "bsd", r"(?:new bsd|modified bsd|bsd[ -]3[ -]clause|3[ -]clause bsd)(?: licen[sc]e)?", r"bsd-3-clause", r"opensource\.org/licen[sc]es?/bsd-3-clause"),
     ("bsd-4-clause", "bsd", r"(?:original bsd|bsd[ -]4[ -]clause|4[ -]clause bsd)(?: licen[sc]e)?", r"bsd-4-clause", r"spdx\.org/licenses/bsd-4-clause"),
@@ -36,22 +36,22 @@ LICENSES = [
     ("lgpl-2.1", "lgpl|general public", r"(?:gnu )?(?:lesser general public licen[sc]e|lgpl),? ?(?:version |v)2\.1", r"lgpl-2\.1(?:-only|-or-later|\+)?", r"gnu\.org/licenses/(?:old-licenses/)?lgpl-2\.1"),
     ("lgpl-3.0", "lgpl|general public", r"(?:gnu )?(?:lesser general public licen[sc]e|lgpl),? ?(?:version |v)3(?:\.0)?", r"lgpl-3\.0(?:-only|-or-later|\+)?", r"gnu\.org/licenses/lgpl-3\.0"),
     ("agpl-3.0", "agpl|affero", r"(?:gnu )?(?:affero general public licen[sc]e|agpl)(?:,? ?(?:version |v)3(?:\.0)?)?", r"agpl-3\.0(?:-only|-or-later|\+)?", r"gnu\.org/licenses/agpl-3\.0"),
-    ("gfdl", "free documentation", r"(?:gnu )?free documentation licen[sc]e", r"gfdl-1\.[123](?:-only|-or-later)?", r"gnu\.org/licenses/fdl"),
+    ("gfdl", "free documentation|gfdl|fdl", r"(?:gnu )?free documentation licen[sc]e", r"gfdl-1\.[123](?:-only|-or-later)?", r"gnu\.org/licenses/fdl"),
     ("mpl-1.1", "mozilla|mpl", r"(?:mozilla public licen[sc]e|mpl),? ?(?:version |v)1\.1", r"mpl-1\.1", r"mozilla\.org/mpl/1\.1"),
     ("mpl-2.0", "mozilla|mpl", r"(?:mozilla public licen[sc]e|mpl),? ?(?:version |v)2(?:\.0)?", r"mpl-2\.0", r"mozilla\.org/mpl/2\.0"),
-    ("epl-1.0", "eclipse", r"eclipse public licen[sc]e,? ?(?:-|version |v)? ?1(?:\.0)?", r"epl-1\.0", r"eclipse\.org/legal/epl-v10"),
-    ("epl-2.0", "eclipse", r"eclipse public licen[sc]e,? ?(?:-|version |v)? ?2(?:\.0)?", r"epl-2\.0", r"eclipse\.org/legal/epl-(?:v20|2\.0)"),
+    ("epl-1.0", "eclipse|epl", r"eclipse public licen[sc]e,? ?(?:-|version |v)? ?1(?:\.0)?", r"epl-1\.0", r"eclipse\.org/legal/epl-v10"),
+    ("epl-2.0", "eclipse|epl", r"eclipse public licen[sc]e,? ?(?:-|version |v)? ?2(?:\.0)?", r"epl-2\.0", r"eclipse\.org/legal/epl-(?:v20|2\.0)"),
     ("cddl-1.0", "cddl|common development", r"(?:common development and distribution licen[sc]e|cddl)", r"cddl-1\.[01]", r"opensource\.org/licen[sc]es?/cddl"),
-    ("eupl-1.2", "eupl|european union", r"(?:european union public licen[sc]e|eupl)", r"eupl-1\.[012]", r"joinup\.ec\.europa\.eu/[^ ]*eupl"),
+    ("eupl-1.2", "eupl|european union|joinup", r"(?:european union public licen[sc]e|eupl)", r"eupl-1\.[012]", r"joinup\.ec\.europa\.eu/[^ ]*eupl"),
     ("isc", "isc", r"isc licen[sc]e", r"isc", r"opensource\.org/licen[sc]es?/isc"),
     ("zlib", "zlib", r"zlib(?:/libpng)? licen[sc]e", r"zlib", r"zlib\.net/zlib_license"),
-    ("boost-1.0", "boost", r"boost software licen[sc]e", r"bsl-1\.0", r"boost\.org/license_1_0"),
+    ("boost-1.0", "boost|bsl", r"boost software licen[sc]e", r"bsl-1\.0", r"boost\.org/license_1_0"),
     ("artistic-2.0", "artistic", r"artistic licen[sc]e", r"artistic-[12]\.0", r"opensource\.org/licen[sc]es?/artistic"),
-    ("python-2.0", "python", r"python software foundation licen[sc]e|psf licen[sc]e", r"(?:python-2\.0|psf-2\.0)", r"docs\.python\.org/[^ ]*license"),
+    ("python-2.0", "python|psf", r"python software foundation licen[sc]e|psf licen[sc]e", r"(?:python-2\.0|psf-2\.0)", r"docs\.python\.org/[^ ]*license"),
     ("postgresql", "postgresql", r"postgresql licen[sc]e", r"postgresql", r"postgresql\.org/about/licence"),
     ("unlicense", "unlicense", r"the unlicense", r"unlicense", r"unlicense\.org"),
-    ("wtfpl", "wtfpl", r"do what the f[u*]ck you want to public licen[sc]e|wtfpl", r"wtfpl", r"wtfpl\.net"),
-    ("0bsd", "bsd", r"zero[ -]clause bsd(?: licen[sc]e)?", r"0bsd", r"opensource\.org/licen[sc]es?/0bsd"),
+    ("wtfpl", "wtfpl|do what", r"do what the f[u*]ck you want to public licen[sc]e|wtfpl", r"wtfpl", r"wtfpl\.net"),
+    ("0bsd", "0bsd|zero", r"zero[ -]clause bsd(?: licen[sc]e)?", r"0bsd", r"opensource\.org/licen[sc]es?/0bsd"),
     ("cc0-1.0", "cc0|creative", r"(?:creative commons zero|cc0)(?: 1\.0)?", r"cc0-1\.0", r"creativecommons\.org/publicdomain/zero"),
     ("cc-by-4.0", "creative|cc by|cc-by", r"(?:creative commons attribution|cc[ -]by)(?: international)? [1-4]\.[05]", r"cc-by-[1-4]\.[05]", r"creativecommons\.org/licenses/by/"),
     ("cc-by-sa", "creative|cc by|cc-by", r"(?:creative commons attribution[ -]share[ -]?alike|cc[ -]by[ -]sa)(?: [1-4]\.[05])?", r"cc-by-sa-[1-4]\.[05]", r"creativecommons\.org/licenses/by-sa"),
@@ -59,16 +59,16 @@ LICENSES = [
     ("cc-by-nd", "creative|cc by|cc-by", r"(?:creative commons attribution[ -]no[ -]?deriv(?:ative)?s|cc[ -]by[ -]nd)(?: [1-4]\.[05])?", r"cc-by-nd-[1-4]\.[05]", r"creativecommons\.org/licenses/by-nd"),
     ("cc-by-nc-sa", "creative|cc by|cc-by", r"(?:creative commons attribution[ -]non[ -]?commercial[ -]share[ -]?alike|cc[ -]by[ -]nc[ -]sa)(?: [1-4]\.[05])?", r"cc-by-nc-sa-[1-4]\.[05]", r"creativecommons\.org/licenses/by-nc-sa"),
     ("cc-by-nc-nd", "creative|cc by|cc-by", r"(?:creative commons attribution[ -]non[ -]?commercial[ -]no[ -]?deriv(?:ative)?s|cc[ -]by[ -]nc[ -]nd)(?: [1-4]\.[05])?", r"cc-by-nc-nd-[1-4]\.[05]", r"creativecommons\.org/licenses/by-nc-nd"),
-    ("odbl", "open database", r"open database licen[sc]e|odbl", r"odbl-1\.0", r"opendatacommons\.org/licenses/odbl"),
-    ("odc-by", "open data", r"open data commons attribution(?: licen[sc]e)?", r"odc-by-1\.0", r"opendatacommons\.org/licenses/by"),
-    ("pddl", "public domain", r"public domain dedication and licen[sc]e", r"pddl-1\.0", r"opendatacommons\.org/licenses/pddl"),
-    ("ofl-1.1", "open font", r"(?:sil )?open font licen[sc]e", r"ofl-1\.[01](?:-rfn|-no-rfn)?", r"scripts\.sil\.org/ofl"),
-    ("openrail", "rail", r"(?:bigscience |creativeml )?open ?rail(?:[ -]?\+*m)?(?: licen[sc]e)?", r"(?:creativeml|bigscience)?-?openrail(?:-m)?", r"huggingface\.co/spaces/[^ ]*license"),
-    ("sspl-1.0", "server side", r"server side public licen[sc]e|sspl", r"sspl-1\.0", r"mongodb\.com/licensing/server-side"),
-    ("busl-1.1", "business source", r"business source licen[sc]e", r"busl-1\.1", r"mariadb\.com/bsl11"),
+    ("odbl", "open database|odbl|opendatacommons", r"open database licen[sc]e|odbl", r"odbl-1\.0", r"opendatacommons\.org/licenses/odbl"),
+    ("odc-by", "open data commons|odc|opendatacommons", r"open data commons attribution(?: licen[sc]e)?", r"odc-by-1\.0", r"opendatacommons\.org/licenses/by"),
+    ("pddl", "public domain|pddl|opendatacommons", r"public domain dedication and licen[sc]e", r"pddl-1\.0", r"opendatacommons\.org/licenses/pddl"),
+    ("ofl-1.1", "open font|ofl|scripts", r"(?:sil )?open font licen[sc]e", r"ofl-1\.[01](?:-rfn|-no-rfn)?", r"scripts\.sil\.org/ofl"),
+    ("openrail", "openrail|open rail|bigscience|creativeml|huggingface", r"(?:bigscience |creativeml )?open ?rail(?:[ -]?\+*m)?(?: licen[sc]e)?", r"(?:creativeml|bigscience)?-?openrail(?:-m)?", r"huggingface\.co/spaces/[^ ]*license"),
+    ("sspl-1.0", "server side|sspl|mongodb", r"server side public licen[sc]e|sspl", r"sspl-1\.0", r"mongodb\.com/licensing/server-side"),
+    ("busl-1.1", "business source|busl|mariadb", r"business source licen[sc]e", r"busl-1\.1", r"mariadb\.com/bsl11"),
     ("elastic-2.0", "elastic", r"elastic licen[sc]e(?: 2\.0)?", r"elastic-2\.0", r"elastic\.co/licensing/elastic-license"),
-    ("ms-pl", "microsoft", r"microsoft public licen[sc]e|ms-pl", r"ms-pl", r"opensource\.org/licen[sc]es?/ms-pl"),
-    ("upl-1.0", "universal permissive", r"universal permissive licen[sc]e", r"upl-1\.0", r"opensource\.org/licen[sc]es?/upl"),
+    ("ms-pl", "microsoft|ms-pl", r"microsoft public licen[sc]e|ms-pl", r"ms-pl", r"opensource\.org/licen[sc]es?/ms-pl"),
+    ("upl-1.0", "universal permissive|upl", r"universal permissive licen[sc]e", r"upl-1\.0", r"opensource\.org/licen[sc]es?/upl"),
 ]
 #: Sentences of licenses and notices: label, keyword, pattern, priority.
 SENTENCES = [
@@ -78,8 +78,8 @@ SENTENCES = [
     ("gpl", "free software", r"(?:this program is|it is) free software[;:,] you can redistribute it and/or modify", 4),
     ("public-domain", "public domain", r"(?:released (?:in)?to|dedicated to|placed in|is in) the public domain", 4),
     ("proprietary", "proprietary", r"proprietary and confidential", 3),
-    ("proprietary", "confidential", r"unauthori[sz]ed (?:copying|use|distribution)[^.\n]{0,80} (?:is )?(?:strictly )?prohibited", 3),
-    ("non-commercial", "commercial", r"(?:for|free for) (?:personal and )?non[ -]?commercial use(?: only)?", 3),
+    ("proprietary", "unauthori", r"unauthori[sz]ed (?:copying|use|distribution)[^.\n]{0,80} (?:is )?(?:strictly )?prohibited", 3),
+    ("non-commercial", "non", r"(?:for|free for) (?:personal and )?non[ -]?commercial use(?: only)?", 3),
     ("copyright", "copyright", r"copyright (?:\(c\)|©)? ?(?:[0-9]{4})(?:[-, ]+[0-9]{4})*", 1),
     ("reserved", "rights reserved", r"(?:all|some|no) rights reserved", 1),
 ]
@@ -100,16 +100,32 @@ def rules() -> list[tuple[str, str, int, str]]:
     return made + [(keyword, label, priority, pattern) for label, keyword, pattern, priority in SENTENCES]
 
 
+def _starts(words: list[str], boundary: str = "(?<![a-z0-9])") -> str:
+    """A pattern for any of the words, behind no letter or digit; by first letter, the longest first."""
+    by_letter: dict[str, list[str]] = {}
+    for w in sorted(set(words), key=lambda w: (-len(w), w)):
+        by_letter.setdefault(w[0], []).append(w[1:].replace(".", r"\.").replace("-", r"\-"))
+    return boundary + "(?:" + "|".join(f"{x}(?:{'|'.join(rest)})" for x, rest in sorted(by_letter.items())) + ")"
+
+
 def _keyword_pattern() -> str:
-    """Longest first, so that a keyword inside another one is not lost where both start."""
-    found = sorted({r[0] for r in rules()}, key=lambda k: (-len(k), k))
-    return "|".join(k.replace("-", r"\-") for k in found)
+    return _starts([r[0] for r in rules()])
 
 
 _WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 _CASED_WORD = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 _BETWEEN = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 _PHRASE_GATE = "(?i)" + "|".join(p.replace(" ", _BETWEEN) for p in PHRASES)
+#: Every match of a rule holds one of these at the start of a word; few other texts do.
+ANCHORS = [
+    "license", "licence", "licensed", "licenced", "licensing", "spdx", "unlicense", "copyright", "public domain", "rights reserved",
+    "permission is", "permission to", "redistribution and", "free software", "proprietary and", "unauthorized", "unauthorised",
+    "non commercial", "non-commercial", "noncommercial", "creative commons", "creativecommons", "cc by", "cc-by", "cc0",
+    "gpl", "lgpl", "agpl", "gfdl", "mpl", "cddl", "eupl", "odbl", "sspl", "wtfpl", "ms-pl", "bsd", "0bsd", "gnu.org",
+    "open rail", "openrail", "open data commons", "opendatacommons", "mozilla.org", "eclipse.org", "zlib.net", "boost.org",
+    "mariadb.com", "mongodb.com", "elastic.co", "scripts.sil", "docs.python", "huggingface.co", "simplified bsd", "modified bsd", "new bsd",
+    "original bsd", "zero clause", "zero-clause", "joinup",
+]
 _SPAN = "struct<start:int,end:int,label:string,priority:int>"
 
 
@@ -135,7 +151,7 @@ def detections(text: Column) -> Column:
         by_keyword.setdefault(keyword, []).append(
             F.struct(F.lit(label).alias("label"), F.lit(priority).alias("priority"), F.lit(pattern).alias("pattern")))
     table = F.create_map(*chain.from_iterable((F.lit(k), F.array(*v)) for k, v in by_keyword.items()))
-    # Keywords are looked for at every place, the longest first; shorter ones inside it are asked for too.
+    # The longest keyword at each place; shorter ones inside it are asked for too.
     inside = F.create_map(*chain.from_iterable(
         (F.lit(k), F.array(*[F.lit(x) for x in by_keyword if x in k])) for k in by_keyword))
     held = F.array_distinct(F.flatten(F.transform(
@@ -183,7 +199,7 @@ def scan(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
     rows = rows.select(
         "_key", F.regexp_count(raw, F.lit(_CASED_WORD)).cast("long").alias("n_words"),
         F.when(raw.rlike(_PHRASE_GATE), phrase_places(words)).otherwise(places_none).alias("places"),
-        F.when(raw.rlike("(?i)" + _keyword_pattern()), kept(detections(lower_ascii(raw))))
+        F.when(raw.rlike("(?i)" + _starts(ANCHORS, "(?<![a-zA-Z0-9])")), kept(detections(lower_ascii(raw))))
         .otherwise(F.array().cast(f"array<{_SPAN}>")).alias("found"))
     best = F.greatest(F.coalesce(F.array_max(F.transform("found", lambda s: s["priority"])), F.lit(0)),
                       F.when(F.size("places") > 0, 3).otherwise(0))
