@@ -347,12 +347,12 @@ def one_of_each(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100, text
                 key: str = "doc_id") -> DataFrame:
     """The rows of ``docs`` whose key names their component, with its columns; rows without a key stay.
 
-    Only one row stays where a key repeats.
+    One row stays of those with a key.
     """
     stays = linked(docs.select(quoted(key).alias(key), quoted(text).alias(text)), n, num, den, text, key)
     stays = stays.where(F.col(key) == F.col("component_id")).select(F.col(key).alias("_stays")).distinct()
     nested = docs.select(F.struct(*[quoted(c) for c in docs.columns]).alias("row"), quoted(key).alias("_key"))
-    kept = nested.join(stays, F.col("_key") == F.col("_stays"), "left_semi")
+    kept = nested.join(stays, F.col("_key") == F.col("_stays"), "left_semi").dropDuplicates(["_key"])
     return kept.unionByName(nested.where("_key IS NULL")).select("row.*")
 
 

@@ -3,20 +3,57 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from awardtrace.llm.common import documents, stage
 from awardtrace.llm.exact_dedup import dedup
+from awardtrace.llm.mixing import mixed
+from awardtrace.llm.ngram_join import one_of_each
+from awardtrace.llm.sampled_pieces import with_pieces
+from awardtrace.llm.toxicity import not_toxic
+
+
+def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the classifier accepts; it is trained on the labels beside the documents."""
+    return not_toxic(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
+def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of equal texts."""
+    return dedup(docs)
+
+
+def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group that links by five-word shingles and a similarity of 0.8 reach."""
+    return one_of_each(docs, n=5, num=80, den=100)
+
+
+def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Each document as often as the mix takes it."""
+    return mixed(docs)
+
+
+def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The documents with their sampled pieces, and whether these decode to the text."""
+    lossless = F.col("decoded") == F.coalesce("row.text", F.lit(""))
+    return with_pieces(docs).select("row.*", "pieces", lossless.alias("lossless"))
+
 
 STAGES = [
-    ("exact dedup", lambda spark, docs, sf_dir: dedup(docs)),
+    ("toxicity", drop_toxic),
+    ("exact dedup", drop_copies),
+    ("n-gram Jaccard join", drop_near_copies),
+    ("mixing sources to target weights", mix_sources),
+    ("SentencePiece encoding and decoding", encode),
 ]
 
+# A trained classifier and sampled segmentations are beyond SQL; the tests have a brute-force version.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The stages applied to ``documents``, each written as Parquet and read again as the next one's input."""
     docs = documents(spark, sf_dir)
-    for name, function in STAGES:
-        docs = stage(function(spark, docs, sf_dir), "pipeline-" + name.replace(" ", "-"))
+    for number, (_, function) in enumerate(STAGES):
+        docs = stage(function(spark, docs, sf_dir), f"pipeline-{number}")
     return docs
