@@ -27,7 +27,7 @@ MODEL = "piece_bpe_32k.model"
 #: A piece of rank r weighs (r + FIRST) ** -POWER: the vocabulary holds ranks of merges instead of probabilities.
 POWER, FIRST = 1.0, 10.0
 #: Characters of text that go through the passes at once.
-BATCH_CHARS = 4_000_000
+BATCH_CHARS = 1_000_000
 
 _UNITS = re.compile(r" ?[^ \n]{1,200}|[ \n]")
 _FACTOR = np.uint64(0x100000001B3)
@@ -224,20 +224,24 @@ def _batches(texts: list[str]) -> Iterator[slice]:
 
 def codec(spark: SparkSession, path: str):
     """Column functions ``encoded(text, key)`` and ``decoded(ids)``. The vocabulary is of fixed size, so it is broadcast."""
-    shared = spark.sparkContext.broadcast(vocabulary(path))
+    own = vocabulary(path)
+    # As plain values, since a broadcast names its classes by module.
+    shared = spark.sparkContext.broadcast((own.pieces, own.weights, own.of_byte, own.by_length, own.filter))
 
     @F.pandas_udf("array<int>")
     def encoded(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+        v = Vocabulary(*shared.value)
         for texts, keys in batches:
             texts, keys, done = texts.tolist(), keys.tolist(), []
             for part in _batches(texts):
-                done += encode(texts[part], keys[part], shared.value)
+                done += encode(texts[part], keys[part], v)
             yield pd.Series(done, dtype=object)
 
     @F.pandas_udf("string")
     def decoded(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        v = Vocabulary(*shared.value)
         for ids in batches:
-            yield pd.Series([decode(i, shared.value) for i in ids], dtype=object)
+            yield pd.Series([decode(i, v) for i in ids], dtype=object)
 
     return encoded, decoded
 
