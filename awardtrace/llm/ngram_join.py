@@ -110,24 +110,31 @@ def _runs(tokens: np.ndarray) -> np.ndarray:
     return np.flatnonzero(np.r_[True, tokens[1:] != tokens[:-1], True])
 
 
-def _repeated(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Rows of sorted tokens without those that stand alone. First and last run of a task stay: they may go on elsewhere."""
-    rest, first = None, True
-    for batch in batches:
-        df = batch if rest is None else pd.concat([rest, batch], ignore_index=True)
-        edges = _runs(df["token"].to_numpy())
-        lone = np.diff(edges) == 1
-        if first:
-            lone[0] = False
-        cut = edges[-2]  # the last run may go on
-        drop = np.repeat(lone, np.diff(edges))[:cut]
-        kept = df.iloc[:cut][~drop]
-        first = first and cut == 0
-        rest = df.iloc[cut:]
-        if len(kept):
-            yield kept
-    if rest is not None and len(rest):
-        yield rest
+def _met(num: int, den: int):
+    """Of rows sorted by (token, n) those with another set of a fitting size under the token.
+
+    The first and the last run of a task stay whole: they may go on elsewhere.
+    """
+    def met(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        rest, first = None, True
+        for batch in batches:
+            df = batch if rest is None else pd.concat([rest, batch], ignore_index=True)
+            edges = _runs(df["token"].to_numpy())
+            cut = edges[-2]  # the last run may go on
+            n = df["n"].to_numpy(dtype=np.int64)
+            fits = (n[:-1] * den >= n[1:] * num) & (df["token"].to_numpy()[1:] == df["token"].to_numpy()[:-1])
+            keep = np.r_[False, fits] | np.r_[fits, False]
+            if first:
+                keep[:edges[1]] = True
+            kept = df.iloc[:cut][keep[:cut]]
+            first = first and cut == 0
+            rest = df.iloc[cut:]
+            if len(kept):
+                yield kept
+        if rest is not None and len(rest):
+            yield rest
+
+    return met
 
 
 def _small_runs(df: pd.DataFrame, runs: np.ndarray, num: int, den: int) -> tuple[np.ndarray, np.ndarray]:
@@ -242,10 +249,10 @@ def _ties(num: int, den: int):
 
 def _classes(reps: DataFrame, num: int, den: int) -> DataFrame:
     """``sid, class`` of all sets that may link with another one."""
-    tokens = reps.select(F.explode("prefix").alias("token"), "sid")
-    ranges = tokens.repartitionByRange("token", "sid").sortWithinPartitions("token", "sid")
-    met = ranges.mapInPandas(_repeated, "token long, sid long")
-    met = met.join(reps.select("sid", "n", "bits"), "sid")
+    tokens = reps.select(F.explode("prefix").alias("token"), "sid", "n")
+    ranges = tokens.repartitionByRange("token", "sid").sortWithinPartitions("token", "n", "sid")
+    met = ranges.mapInPandas(_met(num, den), "token long, sid long, n long")
+    met = met.join(reps.select("sid", "bits"), "sid")
     met = met.repartitionByRange("token", "sid").sortWithinPartitions("token", "n", "sid")
     ties = met.select("token", "sid", "n", "bits").mapInPandas(_ties(num, den), "u long, v long")
     return components(ties).where("u >= 0").select(F.col("u").alias("sid"), F.col("component").alias("class"))
