@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from awardtrace.functions.award import FEATURE_COLUMNS
+from awardtrace.functions.names import quoted
 from awardtrace.functions.text import blank_to_null, strip
 
 RAW_COLUMNS = [
@@ -21,24 +22,42 @@ RESERVED_COLUMNS = frozenset(
     {"category", "work_id", "funder_award_id", "corpus_award_id", "match_type", "is_match", "similarity_score",
      "matching_input_award_id", "has_award_overlap", "has_no_award_id"}
 ) | FEATURE_COLUMNS
+# How the names of columns begin that exist within an operator only.
+INTERNAL = ("_pair_", "_key_hash", "_left_key", "_right_key", "_place")
 
 
-def extract_json(raw: DataFrame) -> DataFrame:
-    """Add ``funder`` and ``award_id`` as text; null where absent or where ``value`` is no JSON.
+# Stands behind a value to show that the value ended where it should.
+_END = "end of value"
+
+
+def is_json(value: Column) -> Column:
+    """Whether a text is exactly one JSON value; null for null.
 
-    One generator reads both fields, so each document is parsed once.
+    The value is parsed as the first of two elements of an array. Text behind it, a
+    comma or a bracket too many, or single quotes leave another number of elements.
     """
-    rest = [c for c in raw.columns if c not in ("funder", "award_id")]
-    return raw.select(*rest, F.json_tuple("value", "funder", "award_id").alias("funder", "award_id"))
+    wrapped = F.concat(F.lit("["), value, F.lit(f',"{_END}"]'))
+    strict = {"allowSingleQuotes": "false", "allowNonNumericNumbers": "false"}
+    parts = F.from_json(wrapped, "array<string>", strict)
+    sound = (F.size(parts) == 2) & F.coalesce(F.get(parts, F.lit(1)) == _END, F.lit(False))
+    return F.when(value.isNotNull(), F.coalesce(sound, F.lit(False)))
 
 
-def is_malformed() -> Column:
-    """``value`` is there but no JSON; for a row of ``extract_json``.
+def extract_json(raw: DataFrame) -> DataFrame:
+    """Add ``funder`` and ``award_id`` as text; null where absent or where ``value`` is no JSON.
 
-    A field that was found proves the document sound, so few are parsed again.
+    Of a repeated key the first counts.
     """
-    nothing = F.col("funder").isNull() & F.col("award_id").isNull()
-    return F.col("value").isNotNull() & nothing & F.try_parse_json("value").isNull()
+    return _extracted(raw).drop("malformed")
+
+
+def _extracted(raw: DataFrame) -> DataFrame:
+    """The fields, and ``malformed`` where ``value`` is there but no JSON."""
+    rest = [quoted(c) for c in raw.columns if c not in ("funder", "award_id")]
+    sound = raw.select(*rest, is_json(F.col("value")).alias("_sound"))
+    field = lambda name: F.when(F.col("_sound"), F.get_json_object("value", f"$.{name}")).alias(name)
+    return sound.select(*rest, field("funder"), field("award_id"),
+                        F.coalesce(~F.col("_sound"), F.lit(False)).alias("malformed"))
 
 
 def clean_grants(raw: DataFrame) -> DataFrame:
@@ -48,7 +67,7 @@ def clean_grants(raw: DataFrame) -> DataFrame:
 
 def clean_and_flag(raw: DataFrame) -> DataFrame:
     """The same with a ``malformed`` column, to write and count without a second look at the source."""
-    return _clean(extract_json(raw).withColumn("malformed", is_malformed())).select(*GRANT_COLUMNS, "malformed")
+    return _clean(_extracted(raw)).select(*GRANT_COLUMNS, "malformed")
 
 
 def _clean(extracted: DataFrame) -> DataFrame:
@@ -64,7 +83,7 @@ def clean_input(raw: DataFrame, award_field: str = "award_id") -> DataFrame:
     missing = {"doi", "award_id"} - set(raw.columns)
     if missing:
         raise ValueError(f"input lacks the columns {sorted(missing)}")
-    clash = sorted(c for c in raw.columns if c.lower() in RESERVED_COLUMNS)
+    clash = sorted(c for c in raw.columns if c.lower() in RESERVED_COLUMNS or c.lower().startswith(INTERNAL))
     if clash:
         raise ValueError(f"input columns would clash with result columns, rename them: {clash}")
     return raw.withColumn("doi", clean_doi(F.col("doi")))
@@ -78,7 +97,7 @@ def clean_doi(doi: Column) -> Column:
 
 def null_tokens(raw: DataFrame) -> DataFrame:
     """Null for every cell that holds a "no value" token."""
-    return raw.select(*[blank_to_null(F.col(f"`{c}`")).alias(c) for c in raw.columns])
+    return raw.select(*[blank_to_null(quoted(c)).alias(c) for c in raw.columns])
 
 
 def split_by_doi(cleaned: DataFrame) -> tuple[DataFrame, DataFrame]:

@@ -5,28 +5,38 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from awardtrace.functions import award as A
+from awardtrace.functions.names import all_quoted
 from awardtrace.operators.clean import funder_grants
-from awardtrace.operators.joins import anti_join_spreading_nulls, keep_if_few_keys, skew_join
+from awardtrace.operators.joins import anti_join_spreading_nulls, keep_if_small_keys, skew_join
 from awardtrace.operators.pairs import DEFAULT_TIERS, score_pairs
+from awardtrace.sources.tables import stage
 
 
 def join_on_doi(cleaned: DataFrame, grants: DataFrame, funder: str, emit_missing: bool = False) -> DataFrame:
-    """Every (input row, corpus assertion of the funder) on one DOI, with the features of both ids.
+    """Every (input row, corpus assertion of the funder) on one DOI.
 
     Both sides are made distinct before they meet, so the joined rows are distinct
-    without a shuffle of the larger result, and the features are computed once per
-    row of a side. Copies are merged on the map side, so a DOI with very many
-    copies stays small; a DOI that stays hot is split by the skew join of AQE.
+    without a shuffle of the larger result. Copies are merged on the map side, so a
+    DOI with very many copies stays small; one that stays hot is split by the skew
+    join of AQE.
     """
     left = cleaned.filter(F.col("doi").isNotNull()).distinct()
     right = funder_grants(grants, funder).filter(F.col("doi").isNotNull())
     if not emit_missing:
         left = left.filter(F.col("award_id").isNotNull())
         right = right.filter(F.col("award_id").isNotNull())
-    left = A.with_features(left, "award_id", A.LEFT)
-    right = A.with_features(right.withColumnRenamed("award_id", "corpus_award_id"), "corpus_award_id", A.RIGHT)
-    return left.join(right, "doi")
+    return left.join(right.withColumnRenamed("award_id", "corpus_award_id"), "doi")
+
+
+def largest_products(cleaned: DataFrame, grants: DataFrame, funder: str, k: int = 10) -> DataFrame:
+    """(doi, pairs): the DOIs with most pairs of input row and assertion, to look at before the join.
+
+    A placeholder DOI with many rows on both sides makes the result grow with their product.
+    """
+    left = cleaned.filter(F.col("doi").isNotNull()).distinct().groupBy("doi").agg(F.count("*").alias("left_rows"))
+    right = funder_grants(grants, funder).filter(F.col("doi").isNotNull()).groupBy("doi").agg(F.count("*").alias("right_rows"))
+    pairs = left.join(right, "doi").select("doi", (F.col("left_rows") * F.col("right_rows")).alias("pairs"))
+    return pairs.orderBy(F.desc("pairs"), "doi").limit(k)
 
 
 def compare_on_doi(
@@ -37,13 +47,18 @@ def compare_on_doi(
     with_score: bool = True,
     emit_missing: bool = False,
 ) -> DataFrame:
-    """The joined rows with ``match_type``, ``is_match`` and the score, in one pass for both results.
+    """The joined rows with ``match_type``, ``is_match`` and the score, for both results.
 
-    A row with a null award id on either side has no verdict and is left out;
+    Distinct pairs of ids are compared, each once, and their verdicts joined to the
+    rows. A row with a null award id on either side has no verdict and is left out;
     ``emit_missing`` keeps it, labelled ``missing``.
     """
     joined = join_on_doi(cleaned, grants, funder, emit_missing)
-    scored = score_pairs(joined, "award_id", "corpus_award_id", tiers, with_score)
+    pairs = joined.select("award_id", "corpus_award_id").dropna().distinct()
+    verdicts = score_pairs(pairs, "award_id", "corpus_award_id", tiers, with_score)
+    scored = skew_join(joined, verdicts, ["award_id", "corpus_award_id"], "left")
+    verdict = [c for c in scored.columns if c not in joined.columns]
+    scored = scored.select(*all_quoted(joined.columns), *verdict)
     if emit_missing:
         both_null = F.col("award_id").isNull() & F.col("corpus_award_id").isNull()
         missing = F.col("is_match").isNull()
@@ -64,7 +79,7 @@ def _result(compared: DataFrame, drop: list[str]) -> DataFrame:
     last = ["funder_award_id", "corpus_award_id", "work_id", "match_type", "similarity_score"]
     last = [c for c in last if c in compared.columns]
     first = [c for c in compared.columns if c not in last and c not in drop]
-    return compared.select(*first, *last)
+    return compared.select(*all_quoted(first), *last)
 
 
 def matched(compared: DataFrame) -> DataFrame:
@@ -95,14 +110,15 @@ def doi_profile(grants: DataFrame, funder: str) -> DataFrame:
 def absent_from_corpus(cleaned: DataFrame, grants: DataFrame, funder: str) -> DataFrame:
     """Input rows whose DOI has no assertion of this funder, with a work known under that DOI if any.
 
-    The corpus is reduced to the DOIs of the input before it is shuffled, if these are few.
+    The corpus is reduced to the DOIs of the input before it is shuffled, if these are
+    few; they are written and measured when this is called.
     """
     rows = cleaned.filter(F.col("doi").isNotNull()).distinct()
-    relevant = keep_if_few_keys(grants, input_dois(cleaned), "doi")
+    relevant = keep_if_small_keys(grants, stage(input_dois(cleaned), "input_dois"), "doi")
     return (
         skew_join(rows, doi_profile(relevant, funder), ["doi"], "left")
         .filter(~F.coalesce("acknowledged", F.lit(False)))
-        .select(*cleaned.columns, "work_id")
+        .select(*all_quoted(cleaned.columns), "work_id")
     )
 
 

@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-# Keys that may be broadcast as a filter, after counting them: some 50 MB on an executor.
-BROADCAST_KEYS = 500_000
+# Keys that may be broadcast as a filter, after measuring them, and what a key costs besides its text.
+BROADCAST_BYTES = 32_000_000
+ROW_BYTES = 32
 
 _HASH = "_key_hash"
 _KEY = "_left_key"
@@ -50,12 +51,13 @@ def anti_join_spreading_nulls(left: DataFrame, right: DataFrame, key: str, sprea
     return _join(left, right, key, spread_by, "left_anti")
 
 
-def keep_if_few_keys(df: DataFrame, keys: DataFrame, key: str, limit: int = BROADCAST_KEYS) -> DataFrame:
-    """Reduce ``df`` to the rows of the given distinct keys, if those are few enough to broadcast.
+def keep_if_small_keys(df: DataFrame, keys: DataFrame, key: str, most_bytes: int = BROADCAST_BYTES) -> DataFrame:
+    """Reduce ``df`` to the rows of the given distinct text keys, if those are small enough to broadcast.
 
-    The keys are counted first, up to the limit. Beyond it ``df`` comes back as it
-    is; the caller's own join drops the other rows then.
+    ``keys`` is a staged table; its bytes are summed first. Beyond the bound ``df``
+    comes back as it is; the caller's own join drops the other rows then.
     """
-    if keys.limit(limit + 1).count() > limit:
+    size = keys.agg(F.coalesce(F.sum(F.octet_length(key) + ROW_BYTES), F.lit(0))).first()[0]
+    if size > most_bytes:
         return df
     return df.join(F.broadcast(keys), key, "left_semi")

@@ -3,15 +3,14 @@
 Two ids are compared only if they share a whole segment that is worth an index
 entry. They overlap if one normalised id lies inside the other. A segment such
 as GRANT may occur in a third of all ids, so the pairs within a segment are never
-formed. Containment is turned into equality instead: the longer id is cut into
-the pieces that could be an id of the other side (only lengths that occur there,
-only pieces holding the shared segment), and pieces meet whole ids in a plain
-equi-join. Work grows with the number of ids, not with its square.
-
-Cutting multiplies rows in a way Spark does not foresee when it estimates sizes, so
-pieces are never left to a broadcast by estimate. The corpus index is broadcast if a
-count says it is small, and the pieces of input ids then need no shuffle at all;
-else both sides meet in merge joins, where AQE splits a segment with very many rows.
+formed. Instead the shorter id picks one of its grams, the one that is rarest on the
+other side, and meets the ids that hold it; the longer id gives each of its grams
+once. Ids shorter than a gram are met whole. So rows grow with the number of ids and
+with their length, not with the square of either, and containment and the shared
+segment are tested on what meets.
+
+Taking grams multiplies rows in a way Spark does not foresee when it estimates sizes,
+so these sides are joined by sorting and merging, where AQE splits a very common gram.
 """
 
 from __future__ import annotations
@@ -21,10 +20,13 @@ from pyspark.sql import functions as F
 
 from awardtrace.functions.award import is_numeric, normalize, segments
 from awardtrace.functions.text import strip
-from awardtrace.operators.joins import BROADCAST_KEYS, skew_join
+from awardtrace.operators.joins import skew_join
 from awardtrace.sources.tables import stage
 
 
+GRAM = 8
+
+
 def indexed(segment: Column) -> Column:
     """Segments worth an index entry: all but numbers of one or two digits."""
     return (F.length(segment) > 2) | ~is_numeric(segment)
@@ -40,11 +42,6 @@ def segment_index(awards: DataFrame) -> DataFrame:
     )
 
 
-def whole_ids(index: DataFrame) -> DataFrame:
-    """(segment, norm, award_id): ids of equal normalised text are one key, with the smallest of them."""
-    return index.groupBy("segment", "norm").agg(F.min("award_id").alias("award_id"))
-
-
 def block_sizes(corpus_awards: DataFrame, input_awards: DataFrame) -> DataFrame:
     """Per shared segment the ids on both sides and the number of candidate pairs, none of which is formed."""
     corpus = segment_index(corpus_awards).groupBy("segment").agg(F.count("*").alias("corpus_awards"))
@@ -54,36 +51,76 @@ def block_sizes(corpus_awards: DataFrame, input_awards: DataFrame) -> DataFrame:
     )
 
 
-def _lengths(index: DataFrame) -> DataFrame:
-    """Per segment the distinct lengths of its ids: at most as many as the longest id has characters."""
-    return index.groupBy("segment").agg(F.collect_set(F.length("norm")).alias("lengths"))
+def described(awards: DataFrame) -> DataFrame:
+    """(award_id, norm, segs): distinct ids with their indexed segments in order; ids without any are left out."""
+    segs = F.array_sort(F.array_distinct(F.filter(segments(F.col("award_id")), indexed)))
+    rows = awards.select("award_id", normalize(F.col("award_id")).alias("norm"), segs.alias("segs"))
+    return rows.filter(F.size("segs") > 0)
 
 
-def _pieces(longer_with_lengths: DataFrame, allow_whole: bool) -> DataFrame:
-    """(segment, piece, award_id, norm): pieces of the longer ids that may be ids of the other side."""
-    held = F.regexp_replace("segment", "[^A-Z0-9]", "")
-    length, size = F.col("length"), F.length("norm")
-    fits = (length <= size) if allow_whole else (length < size)
-    return (
-        longer_with_lengths.withColumn("length", F.explode("lengths"))
-        .filter(fits & (length >= F.length(held)))
-        .withColumn("start", F.explode(F.sequence(F.lit(1), size - length + 1)))
-        .withColumn("piece", F.substring("norm", F.col("start"), length))
-        .filter(F.col("piece").contains(held))
-        .select("segment", "piece", "award_id", "norm")
-    )
+def _sharing(rows: DataFrame, other: DataFrame) -> DataFrame:
+    """The rows that share a segment with the other side, with the shared ones only."""
+    theirs = other.select(F.explode("segs").alias("segment")).distinct()
+    mine = skew_join(rows.withColumn("segment", F.explode("segs")), theirs, ["segment"], "left_semi")
+    return mine.groupBy("award_id", "norm").agg(F.array_sort(F.collect_list("segment")).alias("segs"))
+
 
+def _substrings(text: Column, length: Column | int) -> Column:
+    """All pieces of that length."""
+    places = F.char_length(text) - length + 1
+    return F.when(places > 0, F.transform(F.sequence(F.lit(1), places), lambda i: F.substring(text, i, F.lit(length))))
 
-def best_overlap(corpus_awards: DataFrame, input_awards: DataFrame, broadcast_limit: int = BROADCAST_KEYS) -> DataFrame:
+
+def grams(rows: DataFrame) -> DataFrame:
+    """One row for each distinct gram of each id."""
+    return rows.withColumn("gram", F.explode(F.array_distinct(_substrings(F.col("norm"), GRAM))))
+
+
+def short_pieces(rows: DataFrame) -> DataFrame:
+    """One row for each distinct piece below the length of a gram, the empty one included."""
+    pieces = [F.coalesce(_substrings(F.col("norm"), n), F.array().cast("array<string>")) for n in range(1, GRAM)]
+    return rows.withColumn("gram", F.explode(F.array_distinct(F.concat(F.array(F.lit("")), *pieces))))
+
+
+def _anchored(short: DataFrame, counts: DataFrame) -> DataFrame:
+    """Ids of a gram's length and more, with the gram that is rarest on the other side.
+
+    An id of which the other side lacks a gram lies in none of its ids.
+    """
+    own = grams(short)
+    met = skew_join(own, counts, ["gram"]).groupBy("norm", "segs").agg(
+        F.min(F.struct("n", "gram")).alias("rarest"), F.count("*").alias("found"),
+        F.max(F.size(F.array_distinct(_substrings(F.col("norm"), GRAM)))).alias("distinct"))
+    return met.filter("found = distinct").select("norm", "segs", "rarest.gram")
+
+
+def contained(short: DataFrame, long: DataFrame) -> DataFrame:
+    """(norm, segs, long_norm, long_segs): every id of ``short`` inside one of ``long`` with a common segment.
+
+    Both have distinct (norm, segs).
+    """
+    theirs = grams(long)
+    anchors = _anchored(short, theirs.groupBy("gram").agg(F.count("*").alias("n")))
+    whole = short.filter(F.char_length("norm") < GRAM).withColumn("gram", F.col("norm"))
+    named = lambda rows: rows.select(F.col("norm").alias("long_norm"), F.col("segs").alias("long_segs"), "gram")
+    met = skew_join(named(theirs), anchors, ["gram"], merge=True).unionByName(
+        skew_join(named(short_pieces(long)), whole, ["gram"], merge=True))
+    holds = F.col("long_norm").contains(F.col("norm")) & F.arrays_overlap("segs", "long_segs")
+    return met.filter(holds).select("norm", "segs", "long_norm", "long_segs")
+
+
+def best_overlap(corpus_awards: DataFrame, input_awards: DataFrame) -> DataFrame:
     """(award_id, matching_input_award_id, exact, length_gap): the best input id per corpus id that has one.
 
     Equal ids come first, then the smallest difference in normalised length, then
-    the smallest input id. The segment indexes are read by several branches, so they
-    are written to the staging folder when this is called.
+    the smallest input id. Both sides are read by several branches, so they are written
+    to the staging folder when this is called.
     """
-    corpus = stage(segment_index(corpus_awards), "corpus_index")
-    funder = stage(whole_ids(segment_index(input_awards)), "input_index")
-    few = corpus.count() <= broadcast_limit  # answered from the file footers
+    corpus = stage(described(corpus_awards), "corpus_ids")
+    shared = _sharing(described(input_awards), corpus)
+    # Ids of equal normalised text and segments are one, under the smallest of them.
+    funder = stage(shared.groupBy("norm", "segs").agg(F.min("award_id").alias("match")), "input_ids")
+    ids = corpus.select("norm", "segs").distinct()
 
     def candidate(not_exact: int, gap: Column, match: Column) -> Column:
         return F.struct(F.lit(not_exact).alias("not_exact"), gap.alias("gap"), match.alias("match"))
@@ -91,40 +128,23 @@ def best_overlap(corpus_awards: DataFrame, input_awards: DataFrame, broadcast_li
     # The same text on both sides; ids without an indexed segment are not compared at all.
     text = strip(F.col("award_id")).alias("text")
     same = input_awards.groupBy(text).agg(F.min("award_id").alias("match"))
-    comparable = corpus_awards.filter(F.exists(segments(F.col("award_id")), indexed))
-    equal = skew_join(comparable.select("award_id", text), same, ["text"]).select(
-        "award_id", candidate(0, F.lit(0), F.col("match")).alias("best")
-    )
-
-    # Corpus id inside input id.
-    if few:
-        inputs = _pieces(funder.join(F.broadcast(_lengths(corpus)), "segment"), allow_whole=True)
-        keys = corpus.select("segment", F.col("norm").alias("piece"), F.col("award_id").alias("corpus_id"))
-        within_input = inputs.join(F.broadcast(keys), ["segment", "piece"]).select(
-            F.col("corpus_id").alias("award_id"),
-            candidate(1, F.length("norm") - F.length("piece"), F.col("award_id")).alias("best"),
-        )
-        corpus_pieces = _pieces(F.broadcast(corpus).join(_lengths(funder), "segment"), allow_whole=False)
-    else:
-        # Per piece the shortest input id serves every corpus id.
-        inside = (
-            _pieces(skew_join(funder, _lengths(corpus), ["segment"], merge=True), allow_whole=True)
-            .groupBy("segment", F.col("piece").alias("norm"))
-            .agg(F.min(F.struct(F.length("norm").alias("length"), F.col("award_id").alias("match"))).alias("found"))
-        )
-        within_input = skew_join(corpus, inside, ["segment", "norm"], merge=True).select(
-            "award_id", candidate(1, F.col("found.length") - F.length("norm"), F.col("found.match")).alias("best")
-        )
-        corpus_pieces = _pieces(skew_join(corpus, _lengths(funder), ["segment"], merge=True), allow_whole=False)
-
-    # Input id inside corpus id.
-    whole = funder.select("segment", F.col("norm").alias("piece"), F.col("award_id").alias("match"))
-    within_corpus = skew_join(corpus_pieces, whole, ["segment", "piece"], merge=True).select(
-        "award_id", candidate(1, F.length("norm") - F.length("piece"), F.col("match")).alias("best")
-    )
+    equal = skew_join(corpus.select("award_id", text), same, ["text"]).select(
+        "award_id", candidate(0, F.lit(0), F.col("match")).alias("best"))
+
+    inputs = funder.select("norm", "segs")
+    in_input = contained(ids, inputs).select(
+        "norm", "segs", F.col("long_norm").alias("other"), F.col("long_segs").alias("other_segs"))
+    in_corpus = contained(inputs, ids).filter(F.col("norm") != F.col("long_norm")).select(
+        F.col("long_norm").alias("norm"), F.col("long_segs").alias("segs"), F.col("norm").alias("other"),
+        F.col("segs").alias("other_segs"))
+    matches = funder.select(F.col("norm").alias("other"), F.col("segs").alias("other_segs"), "match")
+    gap = F.abs(F.char_length("norm") - F.char_length("other"))
+    near = (skew_join(in_input.unionByName(in_corpus), matches, ["other", "other_segs"])
+            .groupBy("norm", "segs").agg(F.min(candidate(1, gap, F.col("match"))).alias("best")))
+    within = skew_join(corpus, near, ["norm", "segs"]).select("award_id", "best")
 
     return (
-        equal.unionByName(within_input).unionByName(within_corpus)
+        equal.unionByName(within)
         .groupBy("award_id").agg(F.min("best").alias("best"))
         .select(
             "award_id",

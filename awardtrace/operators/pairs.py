@@ -6,7 +6,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from awardtrace.functions import award as A
+from awardtrace.functions.names import all_quoted
 from awardtrace.functions.ratio import similarity_ratio
+from awardtrace.sources.tables import stage
 
 # The tiers in the order they are tried; exact equality always comes first.
 # "structured" is the part of "fuzzy" that needs no similarity ratio.
@@ -86,7 +88,9 @@ def score_pairs(
     ``df`` has the features of both ids (``with_features``, prefixes ``LEFT`` and
     ``RIGHT``) or gets them here. Where an id is null the results are null.
     Native rules run first; the Python ratio sees only the pairs whose type or
-    score it can still change, the others reach it as null.
+    score it can still change, the others reach it as null. Where it is needed the
+    scored pairs are written to the staging folder, so nothing that is done with them
+    later can call it again.
     """
     unknown = set(tiers) - KNOWN_TIERS
     if unknown:
@@ -141,4 +145,5 @@ def score_pairs(
             F.when(known, F.coalesce(_col("settled"), F.when(cap.isNull(), best).otherwise(F.least(best, cap)))),
         )
         added.append("similarity_score")
-    return df.select(*kept, *added)
+    scored = df.select(*all_quoted(kept), *added)
+    return stage(scored, "pair-scores") if fuzzy or with_score else scored

@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from awardtrace.operators import profiles
 from awardtrace.operators.clean import clean_and_flag
 from awardtrace.sources.csv import scan_grants_csv
-from awardtrace.sources.tables import read_grants, staging_path, write_grants
+from awardtrace.sources.tables import read_grants, read_metadata, staging_path, write_grants
 
 
 def build_from_csv(
@@ -33,3 +33,8 @@ def build_from_csv(
 def describe(grants: DataFrame, k: int = 10) -> tuple[DataFrame, DataFrame]:
     """Profile of the table and its largest funders."""
     return profiles.table_profile(grants), profiles.top_funders(grants, k)
+
+
+def database_info(spark: SparkSession, folder: str, k: int = 10) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """What a build left in a folder: its metadata, the profile of the table and its largest funders."""
+    return (read_metadata(spark, f"{folder}/metadata"), *describe(read_grants(spark, f"{folder}/grants"), k))

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from awardtrace.functions.names import all_quoted
 from awardtrace.operators import doi
 from awardtrace.operators.clean import clean_input, distinct_awards
 from awardtrace.operators.joins import left_join_spreading_nulls
@@ -105,7 +106,7 @@ def by_category(table: DataFrame, input_columns: list[str]) -> dict[str, DataFra
         "corpus_only": ["work_id", "doi", "award_id"] + overlap,
     }
     return {
-        name: table.filter(F.col("category") == name).select(*[c for c in wanted if c in table.columns])
+        name: table.filter(F.col("category") == name).select(*all_quoted([c for c in wanted if c in table.columns]))
         for name, wanted in columns.items()
     }
 
@@ -120,16 +121,18 @@ def run(
     tiers=DEFAULT_TIERS,
     emit_missing: bool = False,
     force: bool = False,
+    multi_line: bool = True,
 ) -> DataFrame:
     """Reconcile a CSV list and write everything below ``folder``; returns the statistics.
 
     The cleaned list is written before it is joined several times, and the results
     before they are counted and exported, so nothing is computed twice and lost
     executors cost a stage at most. Folders: ``input``, ``results`` (by category),
-    ``csv`` (a dataset per result with rows), ``stats``, ``sheet``, ``report``.
+    ``csv`` (a dataset per result with rows), ``stats``, ``sheet``, ``report``. A list
+    without line breaks inside quotes is split over tasks with ``multi_line=False``.
     """
     mode = "overwrite" if force else "errorifexists"
-    write_input(clean_input(scan_input_csv(spark, input_csv), award_field), f"{folder}/input", force)
+    write_input(clean_input(scan_input_csv(spark, input_csv, multi_line), award_field), f"{folder}/input", force)
     cleaned = spark.read.parquet(f"{folder}/input")
 
     table = consolidated(cleaned, grants, funder, tiers, emit_missing=emit_missing)

@@ -10,6 +10,8 @@ from awardtrace.operators.clean import RAW_COLUMNS, null_tokens
 def scan_csv(spark: SparkSession, path: str, multi_line: bool) -> DataFrame:
     """Read CSV with a header and doubled quotes; a record with too few or too many fields is an error.
 
+    So is a file whose header differs from that of the others: columns are never mixed.
+
     Without ``multi_line`` files are split over tasks, whatever their size. A line
     break inside quotes then shows as a broken record and fails the job, so rows
     are never silently torn; read such files with ``multi_line``, one task per file.
@@ -20,6 +22,7 @@ def scan_csv(spark: SparkSession, path: str, multi_line: bool) -> DataFrame:
         .option("escape", '"')
         .option("multiLine", multi_line)
         .option("mode", "FAILFAST")
+        .option("enforceSchema", False)  # compares every file's header with the schema
         # Field counts are checked on whole records only.
         .option("columnPruning", False)
         .csv(path)

@@ -12,9 +12,16 @@ from awardtrace.sources.csv import write_csv
 
 
 def staging_path(spark: SparkSession, name: str) -> str:
-    """A new path in the shared folder the cluster names; a temporary folder only where none is set."""
+    """A new path in the shared folder the cluster names in ``spark.checkpoint.dir``.
+
+    Without one a cluster has no folder that all its machines see, so that is an
+    error; a local session, being one machine, gets a temporary folder.
+    """
     root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    root = root or tempfile.mkdtemp(prefix="awardtrace-")
+    if not root:
+        if not spark.sparkContext.master.split("[")[0] == "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+        root = tempfile.mkdtemp(prefix="awardtrace-")
     return f"{root.rstrip('/')}/awardtrace/{name}-{uuid.uuid4().hex}"
 
 

@@ -19,6 +19,10 @@ SELECT concat('https://works.example/W', CAST(o_orderkey AS VARCHAR(20))) AS wor
   'grants' AS field_name,
   concat('grants.', CAST(o_orderkey % 3 AS VARCHAR(20))) AS subfield_path,
   CASE WHEN o_orderkey % 19 = 0 THEN NULL
+       WHEN o_orderkey % 211 = 0 THEN '{"funder":"https://funders.example/F1","award_id":"DMS-0000001"} trailing'
+       WHEN o_orderkey % 223 = 0 THEN concat('{', chr(39), 'funder', chr(39), ':', chr(39), 'https://funders.example/F1', chr(39), '}')
+       WHEN o_orderkey % 227 = 0 THEN '{"funder":"https://funders.example/F1","award_id":"DMS-00'
+       WHEN o_orderkey % 229 = 0 THEN '{"funder":"https://funders.example/F1","funder":"https://funders.example/F2","award_id":"DMS-0000002"}'
        WHEN o_orderkey % 13 = 0 THEN concat('{"funder":"https://funders.example/F', CAST(o_orderkey % 5 AS VARCHAR(20)), '","award_id":null}')
        ELSE concat('{"funder":"https://funders.example/F', CAST(o_custkey % 5 AS VARCHAR(20)), '","award_id":"',
          CASE o_orderkey % 7

@@ -13,7 +13,8 @@ CTES: dict[str, str] = {
     "grants_raw": GRANTS_RAW,
     "grants": """
         SELECT work_id, lower(trim(doi)) AS doi, field_name, subfield_path,
-               json_extract_string(value, '$.funder') AS funder, json_extract_string(value, '$.award_id') AS award_id,
+               CASE WHEN json_valid(value) THEN json_extract_string(value, '$.funder') END AS funder,
+               CASE WHEN json_valid(value) THEN json_extract_string(value, '$.award_id') END AS award_id,
                source_id, doi_prefix, source_file_path
         FROM grants_raw""",
     "mine": f"SELECT DISTINCT work_id, doi, award_id FROM grants WHERE funder = '{FUNDER}'",
@@ -212,16 +213,20 @@ CONSOLIDATED = {
                coalesce(match_type, 'no_match') AS match_type, funder_award_id,
                CASE WHEN match_type IS NULL THEN 'award_differs' ELSE 'matched' END AS category,
                CAST(NULL AS VARCHAR) AS matching_input_award_id, CAST(NULL AS BOOLEAN) AS has_award_overlap,
-               CAST(NULL AS BOOLEAN) AS has_no_award_id
+               CAST(NULL AS BOOLEAN) AS has_no_award_id, similarity_score
         FROM compared
         UNION ALL
-        SELECT doi, award_id, programme, NULL, work_id, NULL, NULL, 'absent_from_corpus', NULL, NULL, NULL FROM absent
+        SELECT doi, award_id, programme, NULL, work_id, NULL, NULL, 'absent_from_corpus', NULL, NULL, NULL, NULL FROM absent
         UNION ALL
         SELECT doi, award_id, NULL, NULL, work_id, match_type, NULL, 'corpus_only', matching_input_award_id,
-               has_award_overlap, has_no_award_id
-        FROM corpus_only""",
+               has_award_overlap, has_no_award_id, similarity_score
+        FROM corpus_only LEFT JOIN (SELECT id1, id2, similarity_score FROM scored)
+        ON award_id = id1 AND matching_input_award_id = id2""",
 }
-ALL_STRICT = STRICT | COMPARED | OVERLAP | CORPUS_ONLY | ABSENT | CONSOLIDATED
+# Pairs of either result, scored together; the id of the corpus comes first among overlaps.
+REPORT_PAIRS = {"report_pairs": "SELECT id1, id2 FROM joined_pairs UNION SELECT id1, id2 FROM best"}
+ALL_RESULTS = (OVERLAP | REPORT_PAIRS | _scored("report_pairs", FULL_TYPE) | COMPARED | CORPUS_ONLY | ABSENT
+               | CONSOLIDATED)
 
 PROFILE = "count(DISTINCT doi) AS unique_dois, count(DISTINCT award_id) AS unique_awards, count(*) AS total_records"
 
@@ -368,12 +373,32 @@ ORACLES: dict[str, str] = {
     "build_metadata": _with(
         "SELECT 'total_rows' AS key, CAST(count(*) AS VARCHAR) AS value FROM grants UNION ALL "
         "SELECT 'parsed_rows', CAST(count(*) FILTER (WHERE funder IS NOT NULL) AS VARCHAR) FROM grants"),
+    "input_renamed": _with("SELECT * FROM input"),
+    "database_info": _with(
+        "SELECT 'metadata' AS section, 'total_rows' AS key, CAST(count(*) AS VARCHAR) AS value FROM grants UNION ALL "
+        "SELECT 'metadata', 'parsed_rows', CAST(count(funder) AS VARCHAR) FROM grants UNION ALL "
+        "SELECT 'profile', 'total_records', CAST(count(*) AS VARCHAR) FROM grants UNION ALL "
+        "SELECT 'profile', 'unique_dois', CAST(count(DISTINCT doi) AS VARCHAR) FROM grants UNION ALL "
+        "SELECT 'profile', 'unique_funders', CAST(count(DISTINCT funder) AS VARCHAR) FROM grants UNION ALL "
+        "SELECT 'profile', 'unique_awards', CAST(count(DISTINCT award_id) AS VARCHAR) FROM grants UNION ALL "
+        "SELECT 'profile', 'parsed_rows', CAST(count(funder) AS VARCHAR) FROM grants UNION ALL "
+        "SELECT 'funders', funder, CAST(n AS VARCHAR) FROM (SELECT funder, count(*) AS n FROM grants "
+        "WHERE funder IS NOT NULL GROUP BY funder ORDER BY n DESC, funder LIMIT 10)"),
+    "award_differs_missing": _with(
+        "SELECT DISTINCT i.award_id, i.doi, i.programme, i.award_id AS funder_award_id, g.award_id AS corpus_award_id, "
+        "g.work_id, 'missing' AS match_type, CASE WHEN i.award_id IS NULL AND g.award_id IS NULL THEN 1.0::DOUBLE "
+        "ELSE 0.0::DOUBLE END AS similarity_score "
+        "FROM input i JOIN mine g ON i.doi = g.doi WHERE i.award_id IS NULL OR g.award_id IS NULL"),
+    "largest_products": _with(
+        "SELECT doi, a.n * b.n AS pairs FROM (SELECT doi, count(*) AS n FROM (SELECT DISTINCT * FROM input) GROUP BY doi) a "
+        "JOIN (SELECT doi, count(*) AS n FROM mine GROUP BY doi) b USING (doi) ORDER BY pairs DESC, doi LIMIT 10"),
     "quality_checks": _with(
         "SELECT 'grants_not_empty' AS check_name, count(*) > 0 AS passed, count(*) AS observed FROM grants UNION ALL "
         "SELECT 'some_funder_parsed', count(funder) > 0, count(funder) FROM grants UNION ALL "
         "SELECT 'value_is_json', count(*) = 0, count(*) FROM grants_raw "
         "WHERE value IS NOT NULL AND NOT json_valid(value) UNION ALL "
-        "SELECT 'metadata_keys_unique', true, 0"),
+        "SELECT 'metadata_keys_unique', count(*) = count(DISTINCT key), count(*) - count(DISTINCT key) FROM ("
+        "SELECT unnest(['source_file', 'total_rows', 'parsed_rows', 'build_date']) AS key)"),
     "table_profile": _with(
         "SELECT count(*) AS total_records, count(DISTINCT doi) AS unique_dois, count(DISTINCT funder) AS unique_funders, "
         "count(DISTINCT award_id) AS unique_awards, count(*) FILTER (WHERE funder IS NOT NULL) AS parsed_rows FROM grants"),
@@ -442,8 +467,9 @@ ORACLES: dict[str, str] = {
     "corpus_only": _with(
         "SELECT corpus_only.*, similarity_score FROM corpus_only "
         "LEFT JOIN scored ON award_id = id1 AND matching_input_award_id = id2", OVERLAP, CORPUS_ONLY, BEST_SCORED),
-    "consolidated_report": _with("SELECT * FROM consolidated", ALL_STRICT),
-    "result_counts": _with("SELECT category, count(*) AS n FROM consolidated GROUP BY category", ALL_STRICT),
+    "consolidated_report": _with("SELECT * FROM consolidated", ALL_RESULTS),
+    "result_files": _with("SELECT category AS name, count(*) AS rows FROM consolidated GROUP BY category", ALL_RESULTS),
+    "result_counts": _with("SELECT category, count(*) AS n FROM consolidated GROUP BY category", ALL_RESULTS),
     "match_type_breakdown": _with(
         f"SELECT {_types('true', '', '_matches')} FROM compared",
         _scored("joined_pairs", FULL_TYPE, with_score=False), COMPARED),
@@ -455,10 +481,10 @@ ORACLES: dict[str, str] = {
         "SELECT count(*) FILTER (WHERE has_award_overlap AND matching_input_award_id IN "
         "(SELECT award_id FROM input WHERE doi IS NULL AND award_id IS NOT NULL)) AS overlap_from_no_doi, "
         "count(*) FILTER (WHERE award_id IS NULL) AS rows_without_award_id FROM corpus_only", OVERLAP, CORPUS_ONLY),
-    "recon_stats": _with(_statistics(), ALL_STRICT, SUMMARY),
+    "recon_stats": _with(_statistics(), ALL_RESULTS, SUMMARY),
     "recon_percentages": _with(
         "SELECT pct_work_and_award_matched, pct_work_matched_award_differs, pct_records_not_in_corpus FROM summary",
-        ALL_STRICT, SUMMARY),
-    "report_lines": _with(_report_lines(), ALL_STRICT, SUMMARY),
-    "report_sheet": _with(_sheet(), ALL_STRICT, SUMMARY),
+        ALL_RESULTS, SUMMARY),
+    "report_lines": _with(_report_lines(), ALL_RESULTS, SUMMARY),
+    "report_sheet": _with(_sheet(), ALL_RESULTS, SUMMARY),
 }

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -11,7 +12,7 @@ from awardtrace.functions import award as A
 from awardtrace.functions.ratio import similarity_ratio
 from awardtrace.operators import clean, doi, overlap, profiles
 from awardtrace.operators.pairs import DEFAULT_TIERS, STRICT_TIERS, STRUCTURED_TIERS, score_pairs
-from awardtrace.plans import reconcile, report
+from awardtrace.plans import build, reconcile, report
 from awardtrace.sources import csv, tables
 from checks.adapter import FUNDER, funder_list, grants, grants_raw, input_raw
 
@@ -95,6 +96,30 @@ def build_metadata(spark, sf_dir):
     return metadata.filter(F.col("key").isin("total_rows", "parsed_rows")).select("key", "value")
 
 
+@query
+def input_renamed(spark, sf_dir):
+    """A list whose award column has another name."""
+    raw = input_raw(spark, sf_dir).withColumnRenamed("award_id", "grant_no")
+    return clean.clean_input(raw, award_field="grant_no")
+
+
+@query
+def database_info(spark, sf_dir):
+    """Metadata and profile that a build leaves, as (section, key, value); times and paths left out."""
+    folder = tables.staging_path(spark, "database")
+    table = grants(spark, sf_dir)
+    tables.write_grants(table, f"{folder}/grants")
+    profiles.build_metadata(table, sf_dir).write.parquet(f"{folder}/metadata")
+    metadata, profile, top = build.database_info(spark, folder)
+    numbers = F.array(*[F.struct(F.lit(c).alias("key"), F.col(c).cast("string").alias("value")) for c in profile.columns])
+    return (
+        metadata.filter(F.col("key").isin("total_rows", "parsed_rows")).select(F.lit("metadata").alias("section"), "key", "value")
+        .unionByName(profile.select(F.lit("profile").alias("section"), F.inline(numbers)))
+        .unionByName(top.select(F.lit("funders").alias("section"), F.col("funder").alias("key"),
+                                F.col("n").cast("string").alias("value")))
+    )
+
+
 @query
 def quality_checks(spark, sf_dir):
     table = grants(spark, sf_dir)
@@ -282,6 +307,18 @@ def award_differs(spark, sf_dir):
     return doi.award_differs(compared(spark, sf_dir, DEFAULT_TIERS, with_score=True))
 
 
+@query
+def award_differs_missing(spark, sf_dir):
+    """Rows on one DOI of which one side has no award id."""
+    rows = doi.compare_on_doi(*sources(spark, sf_dir), emit_missing=True)
+    return doi.award_differs(rows).filter("match_type = 'missing'")
+
+
+@query
+def largest_products(spark, sf_dir):
+    return doi.largest_products(*sources(spark, sf_dir), k=10)
+
+
 @query
 def absent_from_corpus(spark, sf_dir):
     return doi.absent_from_corpus(*sources(spark, sf_dir))
@@ -322,27 +359,37 @@ def corpus_only(spark, sf_dir):
 # --- reports --------------------------------------------------------------------------------------
 
 
-def strict_results(spark, sf_dir) -> DataFrame:
+def results(spark, sf_dir) -> DataFrame:
     """Consolidated results, written first as in a real run, since several reports read them."""
     path = tables.staging_path(spark, "results")
-    table = reconcile.consolidated(*sources(spark, sf_dir), STRICT_TIERS, with_score=False)
+    table = reconcile.consolidated(*sources(spark, sf_dir))
     tables.write_by_category(table, path)
     return spark.read.schema(table.schema).parquet(path)
 
 
-def strict_summary(spark, sf_dir) -> DataFrame:
-    return report.summary(*sources(spark, sf_dir), strict_results(spark, sf_dir))
+def full_summary(spark, sf_dir) -> DataFrame:
+    return report.summary(*sources(spark, sf_dir), results(spark, sf_dir))
 
 
 @query
 def consolidated_report(spark, sf_dir):
-    return strict_results(spark, sf_dir)
+    return results(spark, sf_dir)
+
+
+@query
+def result_files(spark, sf_dir):
+    """Rows of each result, counted in the files that were written."""
+    folder = tables.staging_path(spark, "files")
+    parts = reconcile.by_category(results(spark, sf_dir), funder_list(spark, sf_dir).columns)
+    written = tables.write_result_files(parts, folder)
+    counts = [csv.scan_csv(spark, f"{folder}/{name}", multi_line=False).agg(F.count("*").alias("rows"))
+              .select(F.lit(name).alias("name"), "rows") for name in written]
+    return functools.reduce(DataFrame.unionByName, counts)
 
 
 @query
 def result_counts(spark, sf_dir):
-    table = reconcile.consolidated(*sources(spark, sf_dir), STRICT_TIERS, with_score=False)
-    return report.result_counts(table)
+    return report.result_counts(reconcile.consolidated(*sources(spark, sf_dir)))
 
 
 @query
@@ -363,19 +410,19 @@ def overlap_from_no_doi(spark, sf_dir):
 
 @query
 def recon_stats(spark, sf_dir):
-    return report.statistics(strict_summary(spark, sf_dir))
+    return report.statistics(full_summary(spark, sf_dir))
 
 
 @query
 def recon_percentages(spark, sf_dir):
-    return report.percentages(strict_summary(spark, sf_dir))
+    return report.percentages(full_summary(spark, sf_dir))
 
 
 @query
 def report_lines(spark, sf_dir):
-    return report.report_lines(strict_summary(spark, sf_dir), FUNDER, "input", dated=False)
+    return report.report_lines(full_summary(spark, sf_dir), FUNDER, "input", dated=False)
 
 
 @query
 def report_sheet(spark, sf_dir):
-    return report.sheet(strict_summary(spark, sf_dir), FUNDER, "input", dated=False)
+    return report.sheet(full_summary(spark, sf_dir), FUNDER, "input", dated=False)

@@ -2,12 +2,11 @@ from __future__ import annotations
 
 import random
 
-import pytest
 from pyspark.sql import functions as F
 
 from awardtrace.functions import award as A
 from awardtrace.functions.text import strip
-from awardtrace.operators.overlap import best_overlap, block_sizes
+from awardtrace.operators.overlap import best_overlap, block_sizes, described, grams, short_pieces
 from awardtrace.plans.reconcile import award_overlap
 
 
@@ -38,8 +37,7 @@ def brute_force(spark, corpus, funder):
     return best
 
 
-@pytest.mark.parametrize("broadcast_limit", [0, 1_000_000])
-def test_best_overlap_equals_brute_force(spark, broadcast_limit):
+def test_best_overlap_equals_brute_force(spark):
     rng = random.Random(3)
     parts = ["GRANT", "GRANT", "R01", "12", "7", "0012", "A", "AB", "#", "é1", "B(2", "GRANTS", "COUNCIL"]
 
@@ -50,7 +48,7 @@ def test_best_overlap_equals_brute_force(spark, broadcast_limit):
     corpus = sorted({award() for _ in range(400)})
     funder = sorted({award() for _ in range(400)})
     expected = brute_force(spark, corpus, funder)
-    got = best_overlap(awards(spark, corpus), awards(spark, funder), broadcast_limit).collect()
+    got = best_overlap(awards(spark, corpus), awards(spark, funder)).collect()
     assert len(expected) > 100
     assert {r.award_id: (not r.exact, r.length_gap, r.matching_input_award_id) for r in got} == expected
 
@@ -76,3 +74,27 @@ def test_hot_segment_stays_linear(spark):
     got = award_overlap(corpus, funder)
     assert got.count() == n // 3  # the multiples of six
     assert got.select("match_type", "similarity_score").distinct().collect() == [("substring", 0.767)]
+
+
+def test_long_ids_against_brute_force(spark):
+    """Ids up to some hundred characters, each a part of another one or nearly so."""
+    rng = random.Random(5)
+    words = ["PROGRAMME", "COUNCIL", "GRANT2019", "R01", "HORIZON", "ABCDEFGHIJ", "X", "0042"]
+    long = ["-".join(rng.choice(words) for _ in range(rng.randint(10, 35))) for _ in range(60)]
+    parts = []
+    for text in long:
+        pieces = text.split("-")
+        a = rng.randrange(len(pieces))
+        parts += ["-".join(pieces[a:a + rng.randint(1, 12)]), "/".join(pieces[:a + 1]) + rng.choice(["", "-ZZ"])]
+    corpus, funder = sorted(set(long[:30] + parts[60:])), sorted(set(long[30:] + parts[:60] + parts[90:]))
+    expected = brute_force(spark, corpus, funder)
+    got = best_overlap(awards(spark, corpus), awards(spark, funder)).collect()
+    assert len(expected) > 60
+    assert {r.award_id: (not r.exact, r.length_gap, r.matching_input_award_id) for r in got} == expected
+
+
+def test_rows_grow_with_the_length_of_ids(spark):
+    rng = random.Random(6)
+    ids = [" ".join("".join(rng.choice("abcdefgh") for _ in range(9)) for _ in range(16)) for _ in range(200)]
+    rows = described(awards(spark, ids))
+    assert grams(rows).count() + short_pieces(rows).count() < 500_000

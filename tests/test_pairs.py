@@ -180,3 +180,21 @@ def test_random_ids_equal_sql(spark):
     assert len({r[2] for r in got}) == 4
     assert got == expected
     assert all(0.0 <= r[3] <= 1.0 for r in got)
+
+
+def test_ratio_equals_difflib():
+    """Around 200 characters, from where on difflib sets frequent characters aside, and for short ids."""
+    import random
+
+    from awardtrace.functions.ratio import ratios
+
+    rng = random.Random(2)
+    pairs = []
+    for n in (0, 1, 7, 30, 198, 199, 200, 201, 350):
+        for letters in ("AB", "ABCDEFGH0123456789", "AAAAAAAAAAAAAAABCDEFGHIJKLMNOP"):
+            for m in (n, max(0, n - 9), 25):
+                pairs += [("".join(rng.choice(letters) for _ in range(m)), "".join(rng.choice(letters) for _ in range(n)))
+                          for _ in range(4)]
+    got = ratios([a for a, _ in pairs], [b for _, b in pairs])
+    want = [SequenceMatcher(None, a, b).ratio() if a and b else 0.0 for a, b in pairs]
+    assert got.tolist() == want

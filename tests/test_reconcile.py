@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from awardtrace.operators import clean, doi, profiles
 from awardtrace.operators.joins import (
-    anti_join_spreading_nulls, keep_if_few_keys, left_join_spreading_nulls, skew_join,
+    anti_join_spreading_nulls, keep_if_small_keys, left_join_spreading_nulls, skew_join,
 )
 from awardtrace.operators.pairs import STRICT_TIERS
 from awardtrace.plans import reconcile, report
@@ -129,13 +129,17 @@ def test_json_cases(spark):
         ('{"funder":"F1","award_id":"A"}', "F1", "A"), ('{"funder":"F1"}', "F1", None),
         ('{"funder":null,"award_id":12}', None, "12"), ('{"funder":"a\\"b","award_id":1.50}', 'a"b', "1.5"),
         ('{"funder":{"a": 1},"award_id":[1, 2]}', '{"a":1}', "[1,2]"), ('{"award_id":true,"funder":""}', "", "true"),
+        ('{"funder":"F1","funder":"F2","award_id":"A"}', "F1", "A"),
         ('{"funder":"F1", bad', None, None), ("no json", None, None), (None, None, None),
+        ('{"funder":"F1","award_id":"A"} junk', None, None), ("{'funder':'F1','award_id':'A'}", None, None),
+        ('{"funder":"F1"},{"funder":"F2"}', None, None), ('{"funder":"F1"}] , [2', None, None), ('{"funder":NaN}', None, None),
+        ('{"funder":"F1"', None, None), ("", None, None),
     ]
     df = spark.createDataFrame([(c[0],) for c in cases], "value string")
     assert [tuple(r) for r in clean.extract_json(df).collect()] == cases
     raw = df.select(*[F.lit("x").alias(c) for c in clean.RAW_COLUMNS if c != "value"], "value")
     bad = profiles.json_checks(clean.clean_and_flag(raw)).first()
-    assert (bad.passed, bad.observed) == (False, 2)
+    assert (bad.passed, bad.observed) == (False, 9)
 
 
 def test_top_funders_breaks_ties(spark):
@@ -176,10 +180,10 @@ def test_a_doi_with_a_third_of_all_rows(spark):
     assert doi.matched(doi.compare_on_doi(rows, table, F1)).count() == 1_001
 
 
-@pytest.mark.parametrize("limit", [0, 100])
+@pytest.mark.parametrize("limit", [0, 10_000])
 def test_filter_by_few_keys_changes_no_result(spark, small, limit):
     rows, table = small
-    kept = keep_if_few_keys(table, doi.input_dois(rows), "doi", limit)
+    kept = keep_if_small_keys(table, doi.input_dois(rows), "doi", limit)
     assert kept.count() == (10 if limit == 0 else 6)
     assert values(doi.doi_profile(kept, F1).join(doi.input_dois(rows), "doi")) == values(
         doi.doi_profile(table, F1).join(doi.input_dois(rows), "doi"))
