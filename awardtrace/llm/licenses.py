@@ -97,14 +97,16 @@ def rules() -> list[tuple[str, str, int, str]]:
             made.append((keyword, label, 3, rf"(?<![\w.-])(?:https?://)?(?:www\.)?(?:{address})[^\s]*"))
             made.append((keyword, label, 2, rf"(?<!\w)(?:{name})(?!\w)"))
             made.append((keyword, label, 2, rf"licen[sc]e: *(?:{identifier})(?![\w.-])"))
-    return made + [(keyword, label, priority, pattern) for label, keyword, pattern, priority in SENTENCES]
+    made += [(keyword, label, priority, pattern) for label, keyword, pattern, priority in SENTENCES]
+    # A space stands for any white space, as sentences run over lines.
+    return [(keyword, label, priority, pattern.replace(" ", r"\s")) for keyword, label, priority, pattern in made]
 
 
 def _starts(words: list[str], boundary: str = "(?<![a-z0-9])") -> str:
     """A pattern for any of the words, behind no letter or digit; by first letter, the longest first."""
     by_letter: dict[str, list[str]] = {}
     for w in sorted(set(words), key=lambda w: (-len(w), w)):
-        by_letter.setdefault(w[0], []).append(w[1:].replace(".", r"\.").replace("-", r"\-"))
+        by_letter.setdefault(w[0], []).append(w[1:].replace(".", r"\.").replace("-", r"\-").replace(" ", r"\s"))
     return boundary + "(?:" + "|".join(f"{x}(?:{'|'.join(rest)})" for x, rest in sorted(by_letter.items())) + ")"
 
 
@@ -154,8 +156,9 @@ def detections(text: Column) -> Column:
     # The longest keyword at each place; shorter ones inside it are asked for too.
     inside = F.create_map(*chain.from_iterable(
         (F.lit(k), F.array(*[F.lit(x) for x in by_keyword if x in k])) for k in by_keyword))
-    held = F.array_distinct(F.flatten(F.transform(
-        F.array_distinct(F.regexp_extract_all(text, F.lit(f"(?=({_keyword_pattern()}))"), F.lit(1))), lambda k: F.element_at(inside, k))))
+    words = F.transform(F.regexp_extract_all(text, F.lit(f"(?=({_keyword_pattern()}))"), F.lit(1)),
+                        lambda k: F.regexp_replace(k, r"\s", " "))
+    held = F.array_distinct(F.flatten(F.transform(F.array_distinct(words), lambda k: F.element_at(inside, k))))
     asked = F.flatten(F.transform(held, lambda k: F.element_at(table, k)))
     found = F.flatten(F.transform(asked, lambda r: F.transform(spans(text, r["pattern"]), lambda s: F.struct(
         s["start"].alias("start"), s["end"].alias("end"), r["label"].alias("label"), r["priority"].alias("priority")))))
