@@ -27,7 +27,7 @@ MODEL = "piece_bpe_32k.model"
 #: A piece of rank r weighs (r + FIRST) ** -POWER: the vocabulary holds ranks of merges instead of probabilities.
 POWER, FIRST = 1.0, 10.0
 #: Characters of text that go through the passes at once.
-BATCH_CHARS = 1_000_000
+BATCH_CHARS = 2_000_000
 
 _UNITS = re.compile(r" ?[^ \n]{1,200}|[ \n]")
 _FACTOR = np.uint64(0x100000001B3)
@@ -43,13 +43,17 @@ def _splitmix(x: np.ndarray) -> np.ndarray:
 
 @dataclass
 class Vocabulary:
-    """Bytes of every piece by id, log weights, the ids of single bytes, and hashes to look pieces up by length."""
+    """Bytes of every piece by id, log weights, the ids of single bytes, and hashes to look pieces up by length.
+
+    ``prefixes`` marks the slots of all beginnings of pieces: most places of a text are
+    done with after a few bytes.
+    """
 
     pieces: list[bytes]
     weights: np.ndarray
     of_byte: np.ndarray
     by_length: dict[int, tuple[np.ndarray, np.ndarray]]
-    filter: np.ndarray
+    prefixes: np.ndarray
 
 
 def _slot(hashes: np.ndarray) -> np.ndarray:
@@ -86,14 +90,15 @@ def vocabulary(path: str) -> Vocabulary:
             lookup.setdefault(len(pieces[i]), []).append((_hash(pieces[i]), i))
     if (of_byte < 0).any():
         raise ValueError("the model has no byte fallback, so decoding could lose text")
-    known = np.zeros(1 << _FILTER_BITS, dtype=bool)
+    prefixes = np.zeros(1 << _FILTER_BITS, dtype=bool)
     by_length = {}
     for length, found in sorted(lookup.items()):
         found.sort()
         hashes = np.array([h for h, _ in found], dtype=np.uint64)
         by_length[length] = (hashes, np.array([i for _, i in found], dtype=np.int32))
-        known[_slot(hashes)] = True
-    return Vocabulary(pieces, weights, of_byte, by_length, known)
+    begun = {pieces[i][:k] for found in lookup.values() for _, i in found for k in range(1, len(pieces[i]) + 1)}
+    prefixes[_slot(np.array([_hash(b) for b in begun], dtype=np.uint64))] = True
+    return Vocabulary(pieces, weights, of_byte, by_length, prefixes)
 
 
 def _lattice(units: list[bytes], v: Vocabulary) -> tuple[np.ndarray, ...]:
@@ -109,20 +114,21 @@ def _lattice(units: list[bytes], v: Vocabulary) -> tuple[np.ndarray, ...]:
     state = np.arange(len(text), dtype=np.int32) + unit  # the state before the byte
     sources, targets, ids = [], [], []
     whole = np.zeros(len(text), dtype=np.int8)  # length of the character's own piece
-    rolled = np.zeros(len(text), dtype=np.uint64)
-    alive = np.arange(len(text), dtype=np.int32)
+    alive, rolled = np.arange(len(text), dtype=np.int32), np.zeros(len(text), dtype=np.uint64)
     for length in range(1, max(v.by_length) + 1):
-        alive = alive[alive + length <= ends[alive]]
+        inside = alive + length <= ends[alive]
+        alive, rolled = alive[inside], rolled[inside]
         if not len(alive):
             break
-        rolled[alive] = rolled[alive] * _FACTOR + text[alive + length - 1] + np.uint64(1)
+        rolled = rolled * _FACTOR + text[alive + (length - 1)] + np.uint64(1)
+        begun = v.prefixes[_slot(rolled)]
+        alive, rolled = alive[begun], rolled[begun]
         if length not in v.by_length:
             continue
         hashes, own = v.by_length[length]
-        at = alive[v.filter[_slot(rolled[alive])]]
-        place = np.minimum(np.searchsorted(hashes, rolled[at]), len(hashes) - 1)
-        hit = hashes[place] == rolled[at]
-        at, place = at[hit], place[hit]
+        place = np.minimum(np.searchsorted(hashes, rolled), len(hashes) - 1)
+        hit = hashes[place] == rolled
+        at, place = alive[hit], place[hit]
         sources.append(state[at])
         targets.append(state[at] + length)
         ids.append(own[place])
@@ -211,7 +217,7 @@ def decode(ids: np.ndarray, v: Vocabulary) -> str:
     return b"".join([v.pieces[i] for i in ids.tolist()]).decode("utf-8")
 
 
-def _batches(texts: list[str]) -> Iterator[slice]:
+def _batches(texts) -> Iterator[slice]:
     first = size = 0
     for i, t in enumerate(texts):
         size += len(t)
@@ -223,19 +229,21 @@ def _batches(texts: list[str]) -> Iterator[slice]:
 
 
 def codec(spark: SparkSession, path: str):
-    """Column functions ``encoded(text, key)`` and ``decoded(ids)``. The vocabulary is of fixed size, so it is broadcast."""
+    """Column functions ``coded(text, key)``, pieces and the text decoded from them, and ``decoded(ids)``.
+
+    The vocabulary is of fixed size, so it is broadcast.
+    """
     own = vocabulary(path)
     # As plain values, since a broadcast names its classes by module.
-    shared = spark.sparkContext.broadcast((own.pieces, own.weights, own.of_byte, own.by_length, own.filter))
+    shared = spark.sparkContext.broadcast((own.pieces, own.weights, own.of_byte, own.by_length, own.prefixes))
 
-    @F.pandas_udf("array<int>")
-    def encoded(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+    @F.pandas_udf("pieces array<int>, decoded string")
+    def coded(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
         v = Vocabulary(*shared.value)
         for texts, keys in batches:
-            texts, keys, done = texts.tolist(), keys.tolist(), []
-            for part in _batches(texts):
-                done += encode(texts[part], keys[part], v)
-            yield pd.Series(done, dtype=object)
+            for part in _batches(texts):  # a result for each part, so that little is held at once
+                ids = encode(texts.iloc[part].tolist(), keys.iloc[part].tolist(), v)
+                yield pd.DataFrame({"pieces": ids, "decoded": [decode(i, v) for i in ids]})
 
     @F.pandas_udf("string")
     def decoded(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
@@ -243,7 +251,7 @@ def codec(spark: SparkSession, path: str):
         for ids in batches:
             yield pd.Series([decode(i, v) for i in ids], dtype=object)
 
-    return encoded, decoded
+    return coded, decoded
 
 
 def default_path() -> str:
@@ -258,11 +266,11 @@ def with_pieces(docs: DataFrame, path: str | None = None, text: str = "text", ke
     A null text counts as empty and has no pieces; a null key is a key of its own; rows
     of equal text and key are cut alike. An empty table gives no rows.
     """
-    encoded, decoded = codec(docs.sparkSession, path or default_path())
+    coded, _ = codec(docs.sparkSession, path or default_path())
     row_key: Column = F.coalesce(F.concat(F.lit("="), quoted(key).cast("string")), F.lit(""))
     rows = docs.select(F.struct(*[quoted(c) for c in docs.columns]).alias("row"),
-                       encoded(text_or_empty(text), row_key).alias("pieces"))
-    return rows.withColumn("decoded", decoded("pieces"))
+                       coded(text_or_empty(text), row_key).alias("_coded"))
+    return rows.select("row", "_coded.pieces", "_coded.decoded")
 
 
 def op6_sentencepiece(spark, sf_dir):
