@@ -321,7 +321,9 @@ def linked(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100, text: str
     rows = stage(described(docs, n, num, den, text, key), "join-sets")
     full = rows.where("n > 0 AND _key IS NOT NULL")
     sets = full.groupBy("set").agg(F.min("_key").alias("_key"))  # equal sets are combined on the map side
-    reps = full.join(sets, ["set", "_key"]).withColumn("sid", F.monotonically_increasing_id())
+    # One row of each set, also where rows repeat; the join has dealt them by these columns already.
+    reps = full.join(sets, ["set", "_key"]).dropDuplicates(["set", "_key"])
+    reps = reps.withColumn("sid", F.monotonically_increasing_id())
     reps = stage(reps, "join-reps")
     classes = stage(_classes(reps, num, den), "join-classes")
     members = classes.join(reps.select("sid", "_key", "set", "n"), "sid")
