@@ -9,6 +9,7 @@ is not averaged away in a long text.
 from __future__ import annotations
 
 import zlib
+from array import array
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -21,7 +22,7 @@ from awardtrace.llm.common import documents, quoted, text_or_empty
 
 #: The fit draws at most so many labelled rows of each class, of texts up to so many characters. Scores, classes and
 #: the share of the classes cover all rows.
-ROWS_PER_CLASS = 3000
+ROWS_PER_CLASS = 2000
 FIT_CHARS = 20_000
 BUCKETS = 1 << 17
 NGRAMS = (3, 4, 5)
@@ -93,13 +94,12 @@ def fit(texts: list[str], labels: list[int], prior: float, seed: int = 11) -> Mo
     stand for. Without rows of both classes the score is the prior everywhere.
     """
     share = float(np.clip(prior, 1e-4, 1 - 1e-4))
-    rows = [(t.lower().split(), y) for t, y in zip(texts, labels)]
-    rows = [(words, y) for words, y in rows if words]
+    rows = [(t, y) for t, y in zip(texts, labels) if t.split()]
     apart = {y: [i for i, r in enumerate(rows) if r[1] == y][::5] for y in (0, 1)}
     held = {i for own in apart.values() if len(own) > 4 for i in own}
     model = _train([r for i, r in enumerate(rows) if i not in held], share, seed)
     known: dict[str, float] = {}
-    logits = np.array([model.logit(rows[i][0], known) for i in sorted(held)])
+    logits = np.array([model.logit(rows[i][0].lower().split(), known) for i in sorted(held)])
     return _scaled(model, logits, np.array([rows[i][1] for i in sorted(held)]), share)
 
 
@@ -119,14 +119,14 @@ def _scaled(model: Model, logits: np.ndarray, y: np.ndarray, share: float) -> Mo
     return Model(model.by_bucket, model.bias * scale + float(at[1]), scale)
 
 
-def _train(rows: list[tuple[list[str], int]], share: float, seed: int) -> Model:
+def _train(rows: list[tuple[str, int]], share: float, seed: int) -> Model:
     y = np.array([y for _, y in rows], dtype=np.float64)
     if not len(y) or y.min() == y.max():
         return Model([0.0] * BUCKETS, float(np.log(share / (1 - share))))
     vocabulary: dict[str, int] = {}
     tokens, new, first, starts, ends, of_text, distinct, distinct_of = [], [], 0, [], [], [], [], []
-    for i, (words, _) in enumerate(rows):
-        ids = np.array([vocabulary.setdefault(w, len(vocabulary)) for w in words], dtype=np.int32)
+    for i, (text, _) in enumerate(rows):
+        ids = np.array([vocabulary.setdefault(w, len(vocabulary)) for w in text.lower().split()], dtype=np.int32)
         s, e = _windows(len(ids))
         tokens.append(ids)
         new.append(_new(ids))
@@ -140,11 +140,14 @@ def _train(rows: list[tuple[list[str], int]], share: float, seed: int) -> Model:
         np.concatenate, (tokens, new, starts, ends, of_text, distinct, distinct_of))
     first_window = np.flatnonzero(np.r_[True, of_text[1:] != of_text[:-1]])
     per_text = np.bincount(distinct_of, minlength=len(y))
-    parts = [subwords(w) for w in vocabulary]
-    sizes = np.array([len(p) for p in parts])
-    grams = np.concatenate([np.array(p, dtype=np.int32) for p in parts])
+    flat, sizes = array("i"), array("i")  # a list of numbers would take ten times the memory
+    for w in vocabulary:
+        own = subwords(w)
+        flat.extend(own)
+        sizes.append(len(own))
+    grams, sizes = np.frombuffer(flat, dtype=np.int32), np.frombuffer(sizes, dtype=np.int32)
     gram_at = np.r_[0, np.cumsum(sizes)]
-    del parts, rows
+    del vocabulary
 
     draw = np.random.default_rng(seed)
     embeddings = draw.normal(0, 0.1, (BUCKETS, DIMENSIONS))
