@@ -18,12 +18,18 @@ def frame(spark, rows):
     return spark.createDataFrame(rows, "a string, b string")
 
 
+def placed(spark, rows):
+    """The rows with their place, as scored pairs come back in any order."""
+    return spark.createDataFrame([(i, *r) for i, r in enumerate(rows)], "i int, a string, b string")
+
+
 def typed(spark, rows, tiers=DEFAULT_TIERS):
-    return [(r.match_type, r.is_match) for r in score_pairs(frame(spark, rows), "a", "b", tiers, False).collect()]
+    found = score_pairs(placed(spark, rows), "a", "b", tiers, False).orderBy("i")
+    return [(r.match_type, r.is_match) for r in found.collect()]
 
 
 def scores(spark, rows):
-    return [r.similarity_score for r in score_pairs(frame(spark, rows), "a", "b").collect()]
+    return [r.similarity_score for r in score_pairs(placed(spark, rows), "a", "b").orderBy("i").collect()]
 
 
 @pytest.mark.parametrize(
