@@ -24,7 +24,7 @@ LICENSES = [
     ("apache-1.1", "apache", r"apache(?: software)? licen[sc]e,? (?:version |v)?1\.1", r"apache-1\.1", r"apache\.org/licenses/license-1\.1"),
     ("apache-2.0", "apache", r"apache(?: software)? licen[sc]e(?:,? (?:version |v)?2(?:\.0)?)?", r"apache-2\.0", r"apache\.org/licenses/license-2\.0"),
     ("mit", "mit", r"mit(?:/expat)? licen[sc]e", r"mit", r"opensource\.org/licen[sc]es?/mit"),
-    ("mit-0", "mit", r"mit no attribution licen[sc]e", r"mit-0", r"opensource\.org/licen[sc]es?/mit-0"),
+    ("mit-0", "mit", r"mit no attribution(?: licen[sc]e)?", r"mit-0", r"opensource\.org/licen[sc]es?/mit-0"),
     ("bsd-2-clause", "bsd", r"(?:simplified bsd|bsd[ -]2[ -]clause|2[ -]clause bsd)(?: licen[sc]e)?", r"bsd-2-clause", r"opensource\.org/licen[sc]es?/bsd-2-clause"),
     ("bsd-3-clause", "bsd", r"(?:new bsd|modified bsd|bsd[ -]3[ -]clause|3[ -]clause bsd)(?: licen[sc]e)?", r"bsd-3-clause", r"opensource\.org/licen[sc]es?/bsd-3-clause"),
     ("bsd-4-clause", "bsd", r"(?:original bsd|bsd[ -]4[ -]clause|4[ -]clause bsd)(?: licen[sc]e)?", r"bsd-4-clause", r"spdx\.org/licenses/bsd-4-clause"),
@@ -110,17 +110,26 @@ def _starts(words: list[str], boundary: str = "(?<![a-z0-9])") -> str:
     return boundary + "(?:" + "|".join(f"{x}(?:{'|'.join(rest)})" for x, rest in sorted(by_letter.items())) + ")"
 
 
+def _anywhere(words: list[str]) -> str:
+    return _starts(words, "")
+
+
 def _keyword_pattern() -> str:
-    return _starts([r[0] for r in rules()])
+    """Keywords at the start of a word; those that lead a rule without a leading boundary, anywhere."""
+    return _starts([r[0] for r in rules()]) + "|" + _anywhere(LEADING)
 
 
 _WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 _CASED_WORD = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 _BETWEEN = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 _PHRASE_GATE = "(?i)" + "|".join(p.replace(" ", _BETWEEN) for p in PHRASES)
-#: Every match of a rule holds one of these at the start of a word; few other texts do.
+#: Keywords with which a rule starts that asks for no word start: text glued to them must not hide them.
+LEADING = ["permission is hereby granted", "permission to use", "redistribution and use", "proprietary", "unauthori", "copyright"]
+#: Every match of a rule holds one of ANCHORS at the start of a word or one of LOOSE anywhere; few other texts do.
+LOOSE = ["license:", "licence:", "permission is hereby granted", "permission to use", "redistribution and use",
+         "proprietary and confidential", "unauthorized", "unauthorised", "copyright"]
 ANCHORS = [
-    "license", "licence", "licensed", "licenced", "licensing", "spdx", "unlicense", "copyright", "public domain", "rights reserved",
+    "license", "licence", "mit no attribution", "licensed", "licenced", "licensing", "spdx", "unlicense", "copyright", "public domain", "rights reserved",
     "permission is", "permission to", "redistribution and", "free software", "proprietary and", "unauthorized", "unauthorised",
     "non commercial", "non-commercial", "noncommercial", "creative commons", "creativecommons", "cc by", "cc-by", "cc0",
     "gpl", "lgpl", "agpl", "gfdl", "mpl", "cddl", "eupl", "odbl", "sspl", "wtfpl", "ms-pl", "bsd", "0bsd", "gnu.org",
@@ -128,6 +137,7 @@ ANCHORS = [
     "mariadb.com", "mongodb.com", "elastic.co", "scripts.sil", "docs.python", "huggingface.co", "simplified bsd", "modified bsd", "new bsd",
     "original bsd", "zero clause", "zero-clause", "joinup",
 ]
+_ANCHOR_GATE = "(?i)" + _starts(ANCHORS, "(?<![a-zA-Z0-9])") + "|" + _anywhere(LOOSE)
 _SPAN = "struct<start:int,end:int,label:string,priority:int>"
 
 
@@ -202,7 +212,7 @@ def scan(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
     rows = rows.select(
         "_key", F.regexp_count(raw, F.lit(_CASED_WORD)).cast("long").alias("n_words"),
         F.when(raw.rlike(_PHRASE_GATE), phrase_places(words)).otherwise(places_none).alias("places"),
-        F.when(raw.rlike("(?i)" + _starts(ANCHORS, "(?<![a-zA-Z0-9])")), kept(detections(lower_ascii(raw))))
+        F.when(raw.rlike(_ANCHOR_GATE), kept(detections(lower_ascii(raw))))
         .otherwise(F.array().cast(f"array<{_SPAN}>")).alias("found"))
     best = F.greatest(F.coalesce(F.array_max(F.transform("found", lambda s: s["priority"])), F.lit(0)),
                       F.when(F.size("places") > 0, 3).otherwise(0))

@@ -1,8 +1,10 @@
 from __future__ import annotations
 
+import random
 import re
 from collections import defaultdict
 
+from awardtrace.llm import licenses
 from awardtrace.llm.licenses import PHRASES, rules, scan
 from tests.llm.cases import documents, empty, texts
 
@@ -50,3 +52,64 @@ def test_against_brute_force(spark):
 
 def test_empty_table(spark):
     assert scan(empty(spark)).count() == 0
+
+
+GATED = ["Released under MIT No Attribution", "projectLicense: MIT", "Terms of UseCopyright (c) 2021", "xxPermission to use, copy, modify and/or "
+         "distribute this software for any purpose", "endPermission is hereby granted, free of charge, to any person obtaining a copy",
+         "1Redistribution and use in source and binary forms, with or without modification, are permitted", "subLicence:mpl-2.0",
+         "aProprietary and confidential", "bUnauthorised use of it is prohibited"]
+
+
+def test_gates_let_through_what_rules_match(spark):
+    rows = [(i, t) for i, t in enumerate(GATED)]
+    for r in scan(documents(spark, rows)).collect():
+        assert sorted(tuple(s) for s in r.found) == _brute(GATED[r.doc_id])[2] != [], GATED[r.doc_id]
+
+
+def _draw(tree, draw):
+    """A random text that a parsed pattern matches, but for what its assertions ask of the text around it."""
+    out = ""
+    for op, value in tree:
+        op = str(op)
+        if op == "LITERAL":
+            out += chr(value)
+        elif op == "NOT_LITERAL":
+            out += "x"
+        elif op == "IN":
+            kind, one = draw.choice(value)
+            if str(value[0][0]) == "NEGATE":
+                out += "x"
+            elif str(kind) == "RANGE":
+                out += chr(draw.randint(*one))
+            else:
+                out += chr(one) if str(kind) == "LITERAL" else draw.choice(" \n")
+        elif op == "BRANCH":
+            out += _draw(draw.choice(value[1]), draw)
+        elif op == "SUBPATTERN":
+            out += _draw(value[3], draw)
+        elif op == "MAX_REPEAT":
+            least, most, inner = value
+            out += "".join(_draw(inner, draw) for _ in range(draw.randint(least, min(most, least + 1))))
+        else:
+            assert op == "ASSERT_NOT", op
+    return out
+
+
+def test_every_rule_passes_both_gates():
+    """Texts drawn from each rule, bare and glued to what stands before."""
+    draw = random.Random(3)
+    gate, words = re.compile(licenses._ANCHOR_GATE, re.A), re.compile(f"(?=({licenses._keyword_pattern()}))", re.A)
+    keywords = defaultdict(set)
+    for keyword, label, priority, pattern in rules():
+        keywords[label, priority, pattern].add(keyword)
+    for (_, _, pattern), own in keywords.items():
+        rule, tree, matched = re.compile(pattern, re.A), re._parser.parse(pattern), 0
+        for k in range(150):
+            text = ("", "x", "9", " ")[k % 4] + _draw(tree, draw)
+            if not rule.search(text):
+                continue
+            matched += 1
+            held = {re.sub(r"\s", " ", m[1]) for m in words.finditer(text)}
+            assert gate.search(text), (pattern, text)
+            assert any(o in h for h in held for o in own), (pattern, text)
+        assert matched, pattern
