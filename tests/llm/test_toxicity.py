@@ -5,6 +5,7 @@ import zlib
 
 import pytest
 
+from awardtrace.llm import toxicity
 from awardtrace.llm.toxicity import fit, not_toxic, scored, train
 from tests.llm.cases import SCHEMA, documents, empty, prose
 
@@ -64,3 +65,12 @@ def test_stage_keeps_columns(spark, trained):
     assert 0.6 * docs.count() < kept.count() < 0.75 * docs.count()
     assert not_toxic(empty(spark), labels).count() == 0
     assert not_toxic(docs, labels.limit(0)).count() == docs.count()
+
+
+def test_fit_gets_3000_rows_of_a_class(spark, monkeypatch):
+    seen = []
+    monkeypatch.setattr(toxicity, "fit", lambda texts, labels, prior: seen.append((len(texts), sum(labels))))
+    docs = spark.range(6000).selectExpr("id AS doc_id", "concat('words ', id) AS text")
+    train(docs, docs.selectExpr("doc_id", "cast(doc_id < 1000 AS int) AS toxic"))
+    toxic = sum(zlib.crc32(str(i).encode()) % 5 != 0 for i in range(1000))
+    assert seen == [(3000 + toxic, toxic)]
