@@ -268,8 +268,12 @@ def _only(docs: DataFrame, keys: DataFrame, key: str) -> DataFrame:
         F.getbit("_bits", (F.col("_slot") % 64).cast("int")) == 1).drop("_slot", "_word", "_bits")
 
 
-def _exact(n: int, num: int, den: int):
-    """Within each (class, i, j): sets made anew from the texts, and a set of its component for each."""
+def _exact(n: int, num: int, den: int, every: bool = False):
+    """Within each (class, i, j): sets made anew from the texts, and a set of its component for each.
+
+    With ``every`` all links instead, as pairs ``a, b`` of sets. Two sets of one block
+    meet in every unit of it; their link comes from the unit of the block with itself.
+    """
     def unit(df: pd.DataFrame, known: dict[bytes, int]) -> pd.DataFrame:
         sets = [shingles(t, n, known) for t in df["_text"]]
         same = [hashlib.blake2b(s.tobytes(), digest_size=16).digest() == bytes(k) for s, k in zip(sets, df["set"])]
@@ -277,7 +281,16 @@ def _exact(n: int, num: int, den: int):
         at = at[np.argsort([len(sets[p]) for p in at], kind="stable")]
         sets = [sets[p] for p in at]
         sizes = np.array([len(s) for s in sets], dtype=np.int64)
-        classes = Classes(len(sets))
+        sid = df["sid"].to_numpy(dtype=np.int64)[at]
+        own, apart = df["b"].to_numpy()[at], df["i"].iloc[0] != df["j"].iloc[0]
+        classes, left, right = Classes(len(sets)), [sid[:0]], [sid[:0]]
+
+        def link(i: int, js: np.ndarray) -> None:
+            if apart:
+                js = js[own[js] != own[i]]
+            left.append(np.full(len(js), sid[i]))
+            right.append(sid[js])
+
         if len(sets) > 1:
             width = width_for(2 * int(sizes[-1]))
             maps = np.stack([bitmap(s, width) for s in sets])
@@ -286,8 +299,9 @@ def _exact(n: int, num: int, den: int):
                 shared = np.array([np.isin(sets[j], sets[i], assume_unique=True).sum() for j in js])
                 return shared >= needed(sizes[i], sizes[js], num, den)
 
-            walk(sizes, maps, num, den, classes, check)
-        sid = df["sid"].to_numpy(dtype=np.int64)[at]
+            walk(sizes, maps, num, den, classes, check, link=link if every else None)
+        if every:
+            return pd.DataFrame({"a": np.concatenate(left), "b": np.concatenate(right)})
         return pd.DataFrame({"sid": sid, "root": sid[classes.label], "blocks": df["blocks"].to_numpy()[at]})
 
     def exact(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -307,17 +321,9 @@ def _exact(n: int, num: int, den: int):
     return exact
 
 
-def linked(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100, text: str = "text",
-           key: str = "doc_id") -> DataFrame:
-    """``key, n_shingles, component_id`` for every row of ``docs``.
-
-    Two rows link if intersection / union of their sets of n-word shingles is at least
-    num / den; a component is what links reach, named by its smallest key. A text of
-    fewer words has all of them as its one shingle. Null and empty texts and texts
-    without words have an empty set and link with nothing, so the component is the
-    row's own key. Rows without a key have a size, link with nothing and have no
-    component. An empty table gives no rows.
-    """
+def _dealt(docs: DataFrame, n: int, num: int, den: int, text: str,
+           key: str) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """Rows, distinct sets, their representatives, and the units of whole texts of each class."""
     rows = stage(described(docs, n, num, den, text, key), "join-sets")
     full = rows.where("n > 0 AND _key IS NOT NULL")
     sets = full.groupBy("set").agg(F.min("_key").alias("_key"))  # equal sets are combined on the map side
@@ -335,8 +341,41 @@ def linked(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100, text: str
     texts = _only(docs.select(quoted(key).alias("_key"), text_or_empty(text).alias("_text")), members, "_key")
     dealt = members.withColumn("b", own).join(texts, "_key").withColumn(
         "o", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    dealt = dealt.select("class", F.least("b", "o").alias("i"), F.greatest("b", "o").alias("j"), "blocks", "sid", "set", "_text")
-    units = dealt.repartition("class", "i", "j").sortWithinPartitions("class", "i", "j")
+    dealt = dealt.select("class", F.least("b", "o").alias("i"), F.greatest("b", "o").alias("j"), "b", "blocks", "sid", "set", "_text")
+    return rows, sets, reps, dealt.repartition("class", "i", "j").sortWithinPartitions("class", "i", "j")
+
+
+def links(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100, text: str = "text",
+          key: str = "doc_id") -> DataFrame:
+    """``a, b``: every link between two different sets, once, by the smallest keys of their rows; a < b.
+
+    Rows of equal sets share a key here, and no pair between them is listed. The pairs
+    grow with the square of a group of near copies; ``linked`` gives the components
+    without them.
+    """
+    _, _, reps, units = _dealt(docs, n, num, den, text, key)
+    # A key whose rows repeat with one text gives one set several times: they would meet themselves.
+    once = units.dropDuplicates(["class", "i", "j", "sid", "_text"]).sortWithinPartitions("class", "i", "j")
+    pairs = once.mapInPandas(_exact(n, num, den, every=True), "a long, b long").where("a <> b")
+    pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    keys = reps.select("sid", "_key")
+    pairs = pairs.join(keys.select(F.col("sid").alias("a"), F.col("_key").alias("_a")), "a")
+    pairs = pairs.join(keys.select(F.col("sid").alias("b"), F.col("_key").alias("_b")), "b")
+    return pairs.select(F.least("_a", "_b").alias("a"), F.greatest("_a", "_b").alias("b"))
+
+
+def linked(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100, text: str = "text",
+           key: str = "doc_id") -> DataFrame:
+    """``key, n_shingles, component_id`` for every row of ``docs``.
+
+    Two rows link if intersection / union of their sets of n-word shingles is at least
+    num / den; a component is what links reach, named by its smallest key. A text of
+    fewer words has all of them as its one shingle. Null and empty texts and texts
+    without words have an empty set and link with nothing, so the component is the
+    row's own key. Rows without a key have a size, link with nothing and have no
+    component. An empty table gives no rows.
+    """
+    rows, sets, reps, units = _dealt(docs, n, num, den, text, key)
     found = stage(units.mapInPandas(_exact(n, num, den), "sid long, root long, blocks int"), "join-links")
     roots = found.where("blocks = 1").select("sid", "root").distinct()
     several = found.where("blocks > 1").select(F.col("sid").alias("u"), F.col("root").alias("v"))

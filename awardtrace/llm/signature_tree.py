@@ -78,14 +78,16 @@ def _levels(sizes: np.ndarray, maps: np.ndarray) -> list[tuple[np.ndarray, ...]]
 
 
 def walk(sizes: np.ndarray, maps: np.ndarray, num: int, den: int, classes: Classes,
-         check: Callable[[int, np.ndarray], np.ndarray] | None = None, first: np.ndarray | None = None) -> None:
+         check: Callable[[int, np.ndarray], np.ndarray] | None = None, first: np.ndarray | None = None,
+         link: Callable[[int, np.ndarray], None] | None = None) -> None:
     """Join the classes of all positions whose sets link.
 
     Sets must be in the order of their sizes, with bitmaps of one width. Without
     ``check`` two sets link if their bound lets them; with it, ``check(i, js)`` says
     which do. Pairs within a class are not looked at again, so a group of near copies
     costs about as many checks as it has sets, not as it has pairs. With ``first``
-    only pairs of which one set is marked are looked at.
+    only pairs of which one set is marked are looked at. With ``link`` every pair is
+    looked at, also within a class, and ``link(i, js)`` is told all those that link, once.
     """
     levels = _levels(sizes, maps)
 
@@ -99,7 +101,7 @@ def walk(sizes: np.ndarray, maps: np.ndarray, num: int, den: int, classes: Class
     stack = [(len(levels) - 1, 0, 0)]
     while stack:
         level, a, b = stack.pop()
-        if uniform(level, a, b):
+        if link is None and uniform(level, a, b):
             continue
         if level:
             low, high, bits, hid = levels[level - 1]
@@ -118,7 +120,8 @@ def walk(sizes: np.ndarray, maps: np.ndarray, num: int, den: int, classes: Class
         end_a, end_b = min((a + 1) * LEAF, len(sizes)), min((b + 1) * LEAF, len(sizes))
         for i in range(a * LEAF, end_a):
             js = np.arange(max(b * LEAF, i + 1), end_b)
-            js = js[classes.label[js] != classes.label[i]]
+            if link is None:
+                js = js[classes.label[js] != classes.label[i]]
             if first is not None and not first[i]:
                 js = js[first[js]]
             if not len(js):
@@ -127,5 +130,7 @@ def walk(sizes: np.ndarray, maps: np.ndarray, num: int, den: int, classes: Class
             js = js[most_shared(sizes[i], maps[i], sizes[js], maps[js]) >= least]
             if check is not None and len(js):
                 js = js[check(i, js)]
+            if link is not None and len(js):
+                link(i, js)
             for j in js:
                 classes.join(i, int(j))

@@ -115,3 +115,23 @@ def test_components_of_paths_and_stars(spark):
     got = {r.u: r.component for r in components(spark.createDataFrame(edges, "u long, v long")).collect()}
     assert got == {i: 0 for i in range(41)} | {i: 100 for i in range(100, 160)} | {-5: -5, 300: -5}
     assert components(spark.createDataFrame([], "u long, v long")).count() == 0
+
+
+@pytest.mark.parametrize("run, blocks", [(1024, 2000), (20, 15)])
+def test_links_against_all_pairs(spark, monkeypatch, run, blocks):
+    monkeypatch.setattr(ngram_join, "RUN", run)
+    monkeypatch.setattr(ngram_join, "BLOCK_SETS", blocks)
+    rows = rows_with_near_copies()
+    least = {}
+    for k, s in _sets(rows, 3):
+        if k is not None and s:
+            least[s] = min(k, least.get(s, k))
+    want = []
+    for s, a in least.items():
+        for t, b in least.items():
+            if a < b and 100 * len(s & t) >= 90 * len(s | t):
+                want.append((a, b))
+    got = sorted(tuple(r) for r in ngram_join.links(documents(spark, rows), 3, 90, 100).collect())
+    assert got == sorted(want)
+    assert len(got) >= len({k for pair in got for k in pair})  # more than a tree of each component has
+    assert ngram_join.links(empty(spark)).count() == 0
