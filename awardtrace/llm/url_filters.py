@@ -24,7 +24,11 @@ RULES = (
     ("com", "/de/", "block"),
 )
 DAMPING = 0.85
+#: The rounds of the SQL. Spark goes on after them until the ranks stay the same.
 ROUNDS = 8
+#: They do if the changes of a kind's ranks in a round add up to less than this; a change passes at most DAMPING on,
+#: so what all later rounds would still change is below TOLERANCE * DAMPING / (1 - DAMPING).
+TOLERANCE = 1e-6
 #: A host is blocked if its distrust is above so many times its trust.
 MARGIN = 1.05
 
@@ -69,12 +73,14 @@ def host_links(pages: DataFrame, html: str = "html") -> DataFrame:
     return linked.unionByName(_parents(hosts)).groupBy("source", "target").agg(F.sum("links").alias("links"))
 
 
-def spread(seeds: DataFrame, links: DataFrame, damping: float = DAMPING, rounds: int = ROUNDS) -> DataFrame:
-    """``host, trust, distrust`` after so many rounds of personalised PageRank.
+def spread(seeds: DataFrame, links: DataFrame, damping: float = DAMPING, tolerance: float = TOLERANCE) -> DataFrame:
+    """``host, trust, distrust`` of personalised PageRank, in rounds until the ranks stay the same.
 
     ``seeds`` has ``host, kind, weight``. Trust leaves a host along its links, distrust
     against them, in parts by number of links. What a host without links holds is not
-    passed on. Each round is written to the shared folder.
+    passed on. Each round is written to the shared folder. The last one is that in which
+    the changes of a kind's ranks, summed over hosts, are below ``tolerance``; with a
+    damping below 1 they shrink by it in every round.
     """
     ways = links.select(F.explode(F.array(
         F.struct(F.lit("trust").alias("kind"), F.col("source").alias("host"), F.col("target").alias("to"), "links"),
@@ -88,10 +94,16 @@ def spread(seeds: DataFrame, links: DataFrame, damping: float = DAMPING, rounds:
         "kind", "host", (F.col("weight") / F.col("all")).alias("rank")), "link-seeds")
     base = start.withColumn("rank", F.col("rank") * (1 - damping))
     ranks = start
-    for _ in range(rounds):
+    while True:
         moved = skew_join(ways, ranks, ["kind", "host"]).select(
             "kind", F.col("to").alias("host"), (F.col("rank") * F.col("part") * damping).alias("rank"))
+        before = ranks.select("kind", "host", (-F.col("rank")).alias("change"))
         ranks = stage(base.unionByName(moved).groupBy("kind", "host").agg(F.sum("rank").alias("rank")), "link-ranks")
+        change = ranks.select("kind", "host", F.col("rank").alias("change")).unionByName(before)
+        change = change.groupBy("kind", "host").agg(F.abs(F.sum("change")).alias("change"))
+        most = change.groupBy("kind").agg(F.sum("change").alias("change")).agg(F.max("change")).first()[0]
+        if most is None or most < tolerance:
+            break
     of = lambda kind: F.sum(F.when(F.col("kind") == kind, F.col("rank")).otherwise(0.0)).alias(kind)
     return ranks.groupBy("host").agg(of("trust"), of("distrust"))
 

@@ -69,3 +69,14 @@ def test_without_rows_or_seeds(spark):
     assert judge(spark.createDataFrame([], schema)).count() == 0
     one = spark.createDataFrame([(1, "http://lone.net/", None), (1, "http://lone.net/", None)], schema)
     assert [r.verdict for r in judge(one).collect()] == ["allow", "allow"]
+
+
+def test_chain_longer_than_the_rounds_of_the_sql(spark):
+    """Distrust reaches the start of a chain of links to a blocked host, as in converged ranks."""
+    rows = [(i, f"http://h{i}.net/", f'<a href="http://h{i + 1}.net/">') for i in range(20)]
+    rows[-1] = (19, "http://h19.net/", '<a href="http://bad.com/x">')
+    rows.append((20, "http://bad.com/de/1", ""))
+    got = {r.page_id: r for r in judge(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert all(r.verdict == "block" for r in got.values())
+    for i in range(20):  # 20 - i links from the seed, which no link leads back to
+        assert abs(got[i].distrust - (1 - DAMPING) * DAMPING ** (20 - i)) < 1e-5 and got[i].trust == 0
