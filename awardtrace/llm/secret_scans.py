@@ -100,8 +100,14 @@ def ownership(found: DataFrame) -> DataFrame:
 
 
 def scan(docs: DataFrame, text: str = "text", key: str = "doc_id", owner: str = "source",
-         repository: str = "lang", copied_owners: int = COPIED_OWNERS) -> DataFrame:
-    """``key, base, spans, n_live, n_copied`` for every row of ``docs``.
+         repository: str = "lang", copied_owners: int = COPIED_OWNERS,
+         copied_repositories: float | None = None) -> DataFrame:
+    """``key, base, spans, n_live, n_copied, holders`` for every row of ``docs``.
+
+    A value is live if fewer than ``copied_owners`` hold it and, if that is given, these
+    hold it in fewer than ``copied_repositories`` repositories each on average. The query
+    leaves the latter out: its SQL counts owners alone. ``holders`` has (start, order,
+    owners, repositories) of all spans, base ones and others, in order.
 
     ``base`` and ``spans`` are arrays of (start, order, end, kind, hash) in order. A
     null text counts as empty; null owners or repositories are one of their own. An
@@ -112,15 +118,21 @@ def scan(docs: DataFrame, text: str = "text", key: str = "doc_id", owner: str =
     found = found.withColumn("hash", F.col("_span.hash"))
     known = skew_join(found.select("_row", "_span", "hash"), ownership(found), ["hash"])
     live = F.col("owners") < copied_owners
+    if copied_repositories is not None:
+        live = live & (F.col("repositories") < F.col("owners") * copied_repositories)
     is_base = F.col("_span.order") <= 3
     judged = known.groupBy("_row").agg(  # bounded by the spans of one document
         F.array_sort(F.collect_list(F.when(live | is_base, F.col("_span")))).alias("spans"),
-        F.count_if(live).alias("n_live"), F.count_if(~live).alias("n_copied"))
+        F.count_if(live).alias("n_live"), F.count_if(~live).alias("n_copied"),
+        F.array_sort(F.collect_list(F.struct(F.col("_span.start").alias("start"), F.col("_span.order").alias("order"),
+                                             "owners", "repositories"))).alias("holders"))
     nothing = F.expr("slice(base, 1, 0)")
     return rows.join(judged, "_row", "left").select(
         F.col("_key").alias(key), "base", F.coalesce("spans", nothing).alias("spans"),
         F.coalesce("n_live", F.lit(0).cast("long")).alias("n_live"),
-        F.coalesce("n_copied", F.lit(0).cast("long")).alias("n_copied"))
+        F.coalesce("n_copied", F.lit(0).cast("long")).alias("n_copied"),
+        F.coalesce("holders", F.array().cast("array<struct<start:int,order:int,owners:bigint,repositories:bigint>>"))
+        .alias("holders"))
 
 
 def op8_secret_scans(spark, sf_dir):

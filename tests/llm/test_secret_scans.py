@@ -50,3 +50,14 @@ def test_copied_values_are_no_secrets(spark):
 
 def test_empty_table(spark):
     assert scan(empty(spark)).count() == 0
+
+
+def test_one_owner_in_many_repositories(spark):
+    rows = [(i, f"k {COPIED}", "web", f"repo{i}") for i in range(6)] + [(i, f"k {OWN}", "web", "repo0") for i in (6, 7)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, lang string")
+    for limit, live in ((None, range(8)), (3, (6, 7))):
+        got = {r.doc_id: r for r in scan(docs, copied_repositories=limit).collect()}
+        assert [k for k in sorted(got) if got[k].n_live == 1 and len(got[k].spans) == 1] == list(live)
+        assert all(got[k].n_live + got[k].n_copied == 1 for k in got)
+        assert [(h.owners, h.repositories) for h in got[0].holders] == [(1, 6)]
+        assert [(h.owners, h.repositories) for h in got[6].holders] == [(1, 1)]
