@@ -3,14 +3,17 @@
 from __future__ import annotations
 
 from awardtrace.llm.exact_dedup import OP7_SQL, op7_exact_dedup
+from awardtrace.llm.hard_negatives import OP13_SQL, op13_hard_negatives
 from awardtrace.llm.licenses import op3_license_scans
 from awardtrace.llm.mixing import OP5_SQL, op5_mixing
 from awardtrace.llm.ngram_join import OP1_SQL, op1_ngram_jaccard_join
+from awardtrace.llm.packing import op12_packing
 from awardtrace.llm.quality import OP4_SQL, op4_quality_rules
 from awardtrace.llm.sampled_pieces import op6_sentencepiece
 from awardtrace.llm.secret_scans import OP8_SQL, op8_secret_scans
 from awardtrace.llm.sharding import OP9_SQL, op9_sharding
 from awardtrace.llm.toxicity import op2_toxicity
+from awardtrace.llm.turn_repair import OP11_SQL, op11_turn_repair
 from awardtrace.llm.url_filters import OP10_SQL, op10_url_filters
 
 QUERIES = {
@@ -24,6 +27,9 @@ QUERIES = {
     "op8_secret_scans": op8_secret_scans,
     "op9_sharding": op9_sharding,
     "op10_url_filters": op10_url_filters,
+    "op11_turn_repair": op11_turn_repair,
+    "op12_packing": op12_packing,
+    "op13_hard_negatives": op13_hard_negatives,
 }
 
 ORACLES = {
@@ -34,4 +40,6 @@ ORACLES = {
     "op8_secret_scans": OP8_SQL,
     "op9_sharding": OP9_SQL,
     "op10_url_filters": OP10_SQL,
+    "op11_turn_repair": OP11_SQL,
+    "op13_hard_negatives": OP13_SQL,
 }
