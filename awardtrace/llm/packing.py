@@ -17,13 +17,13 @@ import zlib
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import LongType
 
 from awardtrace.llm.common import documents, quoted, stage, text_or_empty
 
@@ -40,25 +40,29 @@ PART_CHARS = 1_000_000
 _BLANK_RUN = re.compile(rf"\s{{{LONG_RUN}}}")
 _BREAK = re.compile(r"(?<=[A-Za-z]) (?=[A-Za-z])")
 
-_ENCODERS: dict[tuple[str, str], tuple] = {}
 
 
-def _encoders(tokenizer: str, ranks: str) -> tuple:
-    """The tokenizer and a faster encoder with the same vocabulary, once per worker."""
-    if (tokenizer, ranks) not in _ENCODERS:
-        import base64
+@lru_cache(maxsize=1)
+def _tokenizer(path: str):
+    """The tokenizer, once per worker that needs it."""
+    from tokenizers import Tokenizer
 
-        import public_tokenizers
-        import tiktoken
-        from tokenizers import Tokenizer
+    exact = Tokenizer.from_file(path)
+    exact.encode_special_tokens = True  # their strings in a text are ordinary text
+    return exact
 
-        exact = Tokenizer.from_file(tokenizer)
-        exact.encode_special_tokens = True  # their strings in a text are ordinary text
-        with open(ranks, "rb") as lines:
-            merges = {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
-        fast = tiktoken.Encoding("ranks", pat_str=public_tokenizers.PATTERN, mergeable_ranks=merges, special_tokens={})
-        _ENCODERS[tokenizer, ranks] = exact, fast
-    return _ENCODERS[tokenizer, ranks]
+
+@lru_cache(maxsize=1)
+def _encoder(path: str):
+    """A faster encoder with the same vocabulary, once per worker."""
+    import base64
+
+    import public_tokenizers
+    import tiktoken
+
+    with open(path, "rb") as lines:
+        merges = {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
+    return tiktoken.Encoding("ranks", pat_str=public_tokenizers.PATTERN, mergeable_ranks=merges, special_tokens={})
 
 
 def _parts(text: str) -> Iterator[str]:
@@ -80,10 +84,10 @@ def _short_runs(text: str) -> bool:
 
 def encode(text: str, tokenizer: str, ranks: str) -> np.ndarray:
     """The tokenizer's ids of a text and the end id."""
-    exact, fast = _encoders(tokenizer, ranks)
     ids: list[int] = []
     for part in _parts(text):
-        ids += fast.encode_ordinary(part) if _short_runs(part) else exact.encode(part, add_special_tokens=False).ids
+        ids += (_encoder(ranks).encode_ordinary(part) if _short_runs(part)
+                else _tokenizer(tokenizer).encode(part, add_special_tokens=False).ids)
     ids.append(END)
     return np.array(ids, dtype="<u4")
 
@@ -245,15 +249,15 @@ def _ranked(tokens: DataFrame, window: int) -> DataFrame:
 
 def packed(docs: DataFrame, window: int = WINDOW, paths: tuple[str, str] | None = None, text: str = "text",
            key: str = "doc_id") -> DataFrame:
-    """One row per piece: ``key, start, length, ids, doc_tokens, sequence_id, offset``.
+    """One row per piece: ``key, start, length, ids, ids_crc32, doc_tokens, sequence_id, offset``.
 
     A row's ids are those of its text and an end id; each lies in exactly one piece.
-    ``ids`` is binary, 16 bits an id, low byte first. All sequences have ``window`` ids
-    but a few at the end, whose numbers are different powers of two below it. A null
-    text counts as empty and is one end id; a very long one is encoded in parts cut where
-    no token crosses, and fills whole windows. Rows are packed one by one, also those
-    that repeat or lack a key; the key decides nothing. An empty table gives no rows.
-    Other columns are ignored.
+    ``ids`` is binary, 16 bits an id, low byte first; the check sum is that of the ids as
+    32-bit numbers, low byte first. All sequences have ``window`` ids but a few at the
+    end, whose numbers are different powers of two below it. A null text counts as empty
+    and is one end id; a very long one is encoded in parts cut where no token crosses, and
+    fills whole windows. Rows are packed one by one, also those that repeat or lack a key;
+    the key decides nothing. An empty table gives no rows. Other columns are ignored.
     """
     tokens = tokenised(docs, paths, text, key)
     ordered = _ranked(tokens, window)
@@ -266,34 +270,31 @@ def packed(docs: DataFrame, window: int = WINDOW, paths: tuple[str, str] | None
     parts = parts.select("part", F.coalesce(F.sum("rows").over(before), F.lit(0)).alias("rows_before"),
                          F.coalesce(F.sum("all").over(before), F.lit(0)).alias("all_before"))
 
-    @F.pandas_udf("array<struct<start:long,length:long,sequence_id:long,offset:long>>")
-    def pieces(rest: pd.Series, place: pd.Series) -> pd.Series:
-        length = rest.to_numpy(dtype=np.int64)
-        some = np.flatnonzero(length)
-        of, start, size, sequence, offset = places(
-            places_of, length[some], place.to_numpy(dtype=np.int64)[some] - first[length[some]])
-        out = [[] for _ in range(len(length))]
-        for i, s, n, q, o in zip(some[of].tolist(), start.tolist(), size.tolist(), sequence.tolist(), offset.tolist()):
-            out[i].append({"start": s, "length": n, "sequence_id": q, "offset": o})
-        return pd.Series(out)
+    @F.pandas_udf("array<struct<start:long,length:long,ids:binary,ids_crc32:long,sequence_id:long,offset:long>>")
+    def pieces(batches: Iterator[tuple[pd.Series, ...]]) -> Iterator[pd.Series]:
+        for batch in batches:
+            rest, place, windows, sequence = (c.to_numpy(dtype=np.int64) for c in batch[:4])
+            whole = np.repeat(np.arange(len(rest)), windows)
+            nth = np.arange(len(whole)) - np.repeat(np.cumsum(windows) - windows, windows)
+            some = np.flatnonzero(rest)
+            of, start, size, at, offset = places(places_of, rest[some], place[some] - first[rest[some]])
+            of = some[of]
+            columns = [np.r_[whole, of], np.r_[nth * window, windows[of] * window + start],
+                       np.r_[np.full(len(whole), window), size], np.r_[sequence[whole] + nth, at],
+                       np.r_[np.zeros(len(whole), dtype=np.int64), offset]]
+            ids, out = batch[4].tolist(), [[] for _ in range(len(rest))]
+            for i, s, n, q, o in zip(*(c.tolist() for c in columns)):
+                own = ids[i][2 * s:2 * (s + n)]
+                out[i].append({"start": s, "length": n, "ids": own, "ids_crc32": ids_crc32(own), "sequence_id": q, "offset": o})
+            yield pd.Series(out, dtype=object)
 
     placed = ordered.join(F.broadcast(parts), "part").select(
-        "_row", "windows", (F.col("all_before") + F.col("windows_before") + places_of.sequences).alias("first_sequence"),
-        pieces("rest", F.col("rows_before") + F.col("place")).alias("rests"))
-
-    def piece(start, length, sequence, offset):
-        return F.struct(start.alias("start"), length.alias("length"),
-                        F.substring("ids", (start * 2 + 1).cast("int"), (length * 2).cast("int")).alias("ids"),
-                        sequence.alias("sequence_id"), offset.alias("offset"))
-
-    full = F.when(F.col("windows") > 0, F.transform(F.sequence(F.lit(0).cast("long"), F.col("windows") - 1), lambda i: piece(
-        i * window, F.lit(window).cast("long"), F.col("first_sequence") + i, F.lit(0).cast("long"))))
-    rests = F.transform("rests", lambda r: piece(
-        F.col("windows") * window + r["start"], r["length"], r["sequence_id"], r["offset"]))
-    cut = F.concat(F.coalesce(full, F.filter(rests, lambda _: F.lit(False))), rests)
-    joined = tokens.join(placed, "_row")
-    return joined.select("_key", "n", F.explode(cut).alias("p")).select(
-        F.col("_key").alias(key), "p.start", "p.length", "p.ids", F.col("n").alias("doc_tokens"), "p.sequence_id", "p.offset")
+        "_row", "rest", "windows", (F.col("rows_before") + F.col("place")).alias("place"),
+        (F.col("all_before") + F.col("windows_before") + places_of.sequences).alias("first_sequence"))
+    cut = tokens.join(placed, "_row").withColumn("p", pieces("rest", "place", "windows", "first_sequence", "ids"))
+    return cut.select("_key", "n", F.explode("p").alias("p")).select(
+        F.col("_key").alias(key), "p.start", "p.length", "p.ids", "p.ids_crc32", F.col("n").alias("doc_tokens"),
+        "p.sequence_id", "p.offset")
 
 
 def ids_of(packed_ids: bytes) -> np.ndarray:
@@ -301,13 +302,11 @@ def ids_of(packed_ids: bytes) -> np.ndarray:
     return np.frombuffer(packed_ids, dtype="<u2")
 
 
-@F.pandas_udf(LongType())
-def ids_crc32(ids: pd.Series) -> pd.Series:
+def ids_crc32(packed_ids: bytes) -> int:
     """CRC-32 of the ids as 32-bit numbers, low byte first."""
-    return pd.Series([zlib.crc32(ids_of(x).astype("<u4").tobytes()) for x in ids])
+    return zlib.crc32(ids_of(packed_ids).astype("<u4").tobytes())
 
 
 def op12_packing(spark, sf_dir):
     docs = documents(spark, sf_dir).select("doc_id", "text")
-    return packed(docs).select("doc_id", "start", "length", ids_crc32("ids").alias("ids_crc32"), "doc_tokens",
-                               "sequence_id", "offset")
+    return packed(docs).drop("ids")

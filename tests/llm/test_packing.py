@@ -27,13 +27,13 @@ def _ids(tokenizer, text):
 @pytest.mark.parametrize("window", [1024, 64])
 def test_every_id_in_one_piece_and_no_padding(spark, tokenizer, window):
     rows = texts() + [(900, "<|endoftext|> text"), (901, "a" * 5000), (902, " " * 3000 + "b"), (903, "word " * 50_000)]
-    got = packing.packed(documents(spark, rows), window).withColumn("crc", packing.ids_crc32("ids")).collect()
+    got = packing.packed(documents(spark, rows), window).collect()
     by_key, by_sequence = defaultdict(list), defaultdict(list)
     for r in got:
         by_key[r.doc_id].append(r)
         by_sequence[r.sequence_id].append(r)
         ids = packing.ids_of(r.ids)
-        assert len(ids) == r.length > 0 and r.crc == zlib.crc32(np.asarray(ids, dtype="<u4").tobytes())
+        assert len(ids) == r.length > 0 and r.ids_crc32 == zlib.crc32(np.asarray(ids, dtype="<u4").tobytes())
     want = defaultdict(Counter)
     for key, text in rows:
         want[key][tuple(_ids(tokenizer, text))] += 1
