@@ -23,23 +23,26 @@ RESERVED_COLUMNS = frozenset(
      "matching_input_award_id", "has_award_overlap", "has_no_award_id"}
 ) | FEATURE_COLUMNS
 # How the names of columns begin that exist within an operator only.
-INTERNAL = ("_pair_", "_key_hash", "_left_key", "_right_key", "_place")
+INTERNAL = ("_pair_", "_key_hash", "_left_key", "_right_key", "_place", "_overlap_")
 
 
-# Stands behind a value to show that the value ended where it should.
-_END = "end of value"
+_STRICT = {"allowSingleQuotes": "false", "allowNonNumericNumbers": "false"}
+
+
+def _mark(value: Column) -> Column:
+    """Stands behind a value to show that it ended where it should; no text holds its own hash."""
+    return F.md5(value.cast("binary"))
 
 
 def is_json(value: Column) -> Column:
     """Whether a text is exactly one JSON value; null for null.
 
     The value is parsed as the first of two elements of an array. Text behind it, a
-    comma or a bracket too many, or single quotes leave another number of elements.
+    comma or a bracket too many, or single quotes leave other elements.
     """
-    wrapped = F.concat(F.lit("["), value, F.lit(f',"{_END}"]'))
-    strict = {"allowSingleQuotes": "false", "allowNonNumericNumbers": "false"}
-    parts = F.from_json(wrapped, "array<string>", strict)
-    sound = (F.size(parts) == 2) & F.coalesce(F.get(parts, F.lit(1)) == _END, F.lit(False))
+    wrapped = F.concat(F.lit("["), value, F.lit(',"'), _mark(value), F.lit('"]'))
+    parts = F.from_json(wrapped, "array<string>", _STRICT)
+    sound = (F.size(parts) == 2) & F.coalesce(F.get(parts, F.lit(1)) == _mark(value), F.lit(False))
     return F.when(value.isNotNull(), F.coalesce(sound, F.lit(False)))
 
 
@@ -52,12 +55,28 @@ def extract_json(raw: DataFrame) -> DataFrame:
 
 
 def _extracted(raw: DataFrame) -> DataFrame:
-    """The fields, and ``malformed`` where ``value`` is there but no JSON."""
+    """The fields, and ``malformed`` where ``value`` is there but no JSON.
+
+    One parse gives both fields of an object and, by a mark of its own in a second object,
+    its soundness. What it does not settle is looked at again: other values, broken ones,
+    and those that may repeat a key.
+    """
     rest = [quoted(c) for c in raw.columns if c not in ("funder", "award_id")]
-    sound = raw.select(*rest, is_json(F.col("value")).alias("_sound"))
-    field = lambda name: F.when(F.col("_sound"), F.get_json_object("value", f"$.{name}")).alias(name)
-    return sound.select(*rest, field("funder"), field("award_id"),
-                        F.coalesce(~F.col("_sound"), F.lit(False)).alias("malformed"))
+    value, fields = F.col("value"), F.col("_fields")
+    wrapped = F.concat(F.lit("["), value, F.lit(',{"funder":"'), _mark(value), F.lit('"}]'))
+    parsed = F.from_json(wrapped, "array<struct<funder:string,award_id:string>>", _STRICT)
+    repeats = value.rlike(r'(?s)"(funder|award_id)".*"\1"') | value.contains("\\u")
+    at_once = (F.size(fields) == 2) & (F.get(fields, F.lit(1))["funder"] == _mark(value)) & ~repeats
+    rows = raw.select(*rest, parsed.alias("_fields"))
+    rows = rows.withColumn("_at_once", F.coalesce(at_once, F.lit(False)))
+    rows = rows.withColumn("_sound", F.when(F.col("_at_once"), True).otherwise(is_json(value)))
+
+    def field(name: str) -> Column:
+        alone = F.when(F.col("_sound"), F.get_json_object("value", f"$.{name}"))
+        return F.when(F.col("_at_once"), F.get(fields, F.lit(0))[name]).otherwise(alone).alias(name)
+
+    return rows.select(*rest, field("funder"), field("award_id"),
+                       F.coalesce(~F.col("_sound"), F.lit(False)).alias("malformed"))
 
 
 def clean_grants(raw: DataFrame) -> DataFrame:
@@ -105,9 +124,18 @@ def split_by_doi(cleaned: DataFrame) -> tuple[DataFrame, DataFrame]:
     return cleaned.filter(F.col("doi").isNotNull()), cleaned.filter(F.col("doi").isNull())
 
 
-def funder_grants(grants: DataFrame, funder: str) -> DataFrame:
-    """Distinct (work, DOI, award) of one funder; the filter reaches the Parquet scan."""
-    return grants.filter(F.col("funder") == funder).select("work_id", "doi", "award_id").distinct()
+def group_by(funder: str | None) -> list[str]:
+    """What rows are told apart by besides their DOI: the funder, where a job serves all of them."""
+    return [] if funder is not None else ["funder"]
+
+
+def funder_grants(grants: DataFrame, funder: str | None) -> DataFrame:
+    """Distinct (work, DOI, award) of one funder; the filter reaches the Parquet scan.
+
+    Without a funder those of every one, with their ``funder``.
+    """
+    own = F.col("funder") == funder if funder is not None else F.col("funder").isNotNull()
+    return grants.filter(own).select(*group_by(funder), "work_id", "doi", "award_id").distinct()
 
 
 def split_by_award(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -115,5 +143,5 @@ def split_by_award(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
     return rows.filter(F.col("award_id").isNotNull()), rows.filter(F.col("award_id").isNull())
 
 
-def distinct_awards(rows: DataFrame) -> DataFrame:
-    return rows.select("award_id").dropna().distinct()
+def distinct_awards(rows: DataFrame, by: list[str] | tuple[str, ...] = ()) -> DataFrame:
+    return rows.select(*by, "award_id").dropna().distinct()

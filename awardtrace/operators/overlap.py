@@ -9,8 +9,11 @@ once. Ids shorter than a gram are met whole. So rows grow with the number of ids
 with their length, not with the square of either, and containment and the shared
 segment are tested on what meets.
 
-Taking grams multiplies rows in a way Spark does not foresee when it estimates sizes,
-so these sides are joined by sorting and merging, where AQE splits a very common gram.
+Each distinct id has a number, and a gram its hash, so the table of grams has two numbers
+a row and is written once for both sides and both directions. (Grams of one hash only add
+ids to compare.) Taking grams multiplies rows in a way Spark does not foresee when it
+estimates sizes, so these are joined by sorting and merging, where AQE splits a very
+common gram.
 """
 
 from __future__ import annotations
@@ -51,103 +54,117 @@ def block_sizes(corpus_awards: DataFrame, input_awards: DataFrame) -> DataFrame:
     )
 
 
-def described(awards: DataFrame) -> DataFrame:
+def described(awards: DataFrame, by: list[str] | tuple[str, ...] = ()) -> DataFrame:
     """(award_id, norm, segs): distinct ids with their indexed segments in order; ids without any are left out."""
     segs = F.array_sort(F.array_distinct(F.filter(segments(F.col("award_id")), indexed)))
-    rows = awards.select("award_id", normalize(F.col("award_id")).alias("norm"), segs.alias("segs"))
+    rows = awards.select(*by, "award_id", normalize(F.col("award_id")).alias("norm"), segs.alias("segs"))
     return rows.filter(F.size("segs") > 0)
 
 
-def _sharing(rows: DataFrame, other: DataFrame) -> DataFrame:
-    """The rows that share a segment with the other side, with the shared ones only."""
-    theirs = other.select(F.explode("segs").alias("segment")).distinct()
-    mine = skew_join(rows.withColumn("segment", F.explode("segs")), theirs, ["segment"], "left_semi")
-    return mine.groupBy("award_id", "norm").agg(F.array_sort(F.collect_list("segment")).alias("segs"))
-
-
 def _substrings(text: Column, length: Column | int) -> Column:
     """All pieces of that length."""
     places = F.char_length(text) - length + 1
-    return F.when(places > 0, F.transform(F.sequence(F.lit(1), places), lambda i: F.substring(text, i, F.lit(length))))
-
-
-def grams(rows: DataFrame) -> DataFrame:
-    """One row for each distinct gram of each id."""
-    return rows.withColumn("gram", F.explode(F.array_distinct(_substrings(F.col("norm"), GRAM))))
-
+    pieces = F.transform(F.sequence(F.lit(1), places), lambda i: F.substring(text, i, F.lit(length)))
+    return F.when(places > 0, pieces).otherwise(F.array().cast("array<string>"))
 
-def short_pieces(rows: DataFrame) -> DataFrame:
-    """One row for each distinct piece below the length of a gram, the empty one included."""
-    pieces = [F.coalesce(_substrings(F.col("norm"), n), F.array().cast("array<string>")) for n in range(1, GRAM)]
-    return rows.withColumn("gram", F.explode(F.array_distinct(F.concat(F.array(F.lit("")), *pieces))))
 
+def grams(ids: DataFrame, by: list[str]) -> DataFrame:
+    """``side, id, total, gram``: one row for each distinct gram of each id, as a hash, and how many it has."""
+    hashes = F.array_distinct(F.transform(_substrings(F.col("norm"), GRAM), lambda g: F.xxhash64(*by, g)))
+    held = ids.select("side", "id", hashes.alias("grams"))
+    return held.select("side", "id", F.size("grams").alias("total"), F.explode("grams").alias("gram"))
 
-def _anchored(short: DataFrame, counts: DataFrame) -> DataFrame:
-    """Ids of a gram's length and more, with the gram that is rarest on the other side.
 
-    An id of which the other side lacks a gram lies in none of its ids.
-    """
-    own = grams(short)
-    met = skew_join(own, counts, ["gram"]).groupBy("norm", "segs").agg(
-        F.min(F.struct("n", "gram")).alias("rarest"), F.count("*").alias("found"),
-        F.max(F.size(F.array_distinct(_substrings(F.col("norm"), GRAM)))).alias("distinct"))
-    return met.filter("found = distinct").select("norm", "segs", "rarest.gram")
+def _by_grams(held: DataFrame) -> DataFrame:
+    """``side, id, other``: ids whose grams the other side has all, with the ids there that hold the rarest of them."""
+    on = [F.count_if(F.col("side") == side).alias(f"on{side}") for side in (0, 1)]
+    counts = held.groupBy("gram").agg(*on).filter("on0 > 0 AND on1 > 0")
+    there = F.when(F.col("side") == 0, F.col("on1")).otherwise(F.col("on0"))
+    shared = stage(skew_join(held, counts, ["gram"], merge=True).select("side", "id", "total", "gram", there.alias("n")),
+                   "overlap-grams-shared")
+    anchors = shared.groupBy("side", "id").agg(
+        F.min(F.struct("n", "gram")).alias("rarest"), F.count("*").alias("found"), F.max("total").alias("total"))
+    # An id of which the other side lacks a gram lies in none of its ids.
+    anchors = anchors.filter("found = total").select("side", "id", "rarest.gram")
+    others = shared.select((1 - F.col("side")).alias("side"), F.col("id").alias("other"), "gram")
+    return skew_join(others, anchors, ["side", "gram"], merge=True).select("side", "id", "other")
 
 
-def contained(short: DataFrame, long: DataFrame) -> DataFrame:
-    """(norm, segs, long_norm, long_segs): every id of ``short`` inside one of ``long`` with a common segment.
+def short_pieces(ids: DataFrame, lengths: dict[int, list[int]]) -> DataFrame:
+    """``side, other, piece``: distinct pieces, of the given lengths for each side, of the ids of the other side.
 
-    Both have distinct (norm, segs).
+    Of length 0 there are the segments without a letter or digit, as an id whose text is
+    empty has no others to share.
     """
-    theirs = grams(long)
-    anchors = _anchored(short, theirs.groupBy("gram").agg(F.count("*").alias("n")))
-    whole = short.filter(F.char_length("norm") < GRAM).withColumn("gram", F.col("norm"))
-    named = lambda rows: rows.select(F.col("norm").alias("long_norm"), F.col("segs").alias("long_segs"), "gram")
-    met = skew_join(named(theirs), anchors, ["gram"], merge=True).unionByName(
-        skew_join(named(short_pieces(long)), whole, ["gram"], merge=True))
-    holds = F.col("long_norm").contains(F.col("norm")) & F.arrays_overlap("segs", "long_segs")
-    return met.filter(holds).select("norm", "segs", "long_norm", "long_segs")
-
-
-def best_overlap(corpus_awards: DataFrame, input_awards: DataFrame) -> DataFrame:
+    none = F.array().cast("array<string>")
+    of_side = []
+    for side, wanted in lengths.items():
+        pieces = [F.filter("segs", lambda x: ~x.rlike("[A-Z0-9]")) if n == 0 else _substrings(F.col("norm"), n) for n in wanted]
+        of_side.append(F.when(F.col("side") == 1 - side, F.array_distinct(F.concat(none, *pieces))))
+    held = ids.withColumn("piece", F.explode(F.coalesce(*of_side, none)))
+    return held.withColumn("side", 1 - F.col("side")).withColumnRenamed("id", "other")
+
+
+def _by_whole_text(ids: DataFrame, by: list[str]) -> DataFrame | None:
+    """The same for ids shorter than a gram; None if there is none."""
+    short = ids.filter(F.char_length("norm") < GRAM)
+    found = short.select("side", F.char_length("norm").alias("n")).distinct().collect()  # a row per length and side
+    if not found:
+        return None
+    lengths = {side: sorted(r.n for r in found if r.side == side) for side in {r.side for r in found}}
+    whole = short.withColumn("piece", F.explode(F.when(F.col("norm") == "", F.col("segs")).otherwise(F.array("norm"))))
+    on = ["side", *by, "piece"]
+    pieces = short_pieces(ids, lengths).select(*on, "other")
+    return skew_join(pieces, whole.select(*on, "id"), on, merge=True).select("side", "id", "other").distinct()
+
+
+def best_overlap(corpus_awards: DataFrame, input_awards: DataFrame, by: list[str] | tuple[str, ...] = ()) -> DataFrame:
     """(award_id, matching_input_award_id, exact, length_gap): the best input id per corpus id that has one.
 
     Equal ids come first, then the smallest difference in normalised length, then
-    the smallest input id. Both sides are read by several branches, so they are written
-    to the staging folder when this is called.
+    the smallest input id. Ids meet only where the columns ``by``, which begin the result,
+    are equal too. The ids of both sides and their grams are written to the staging folder
+    when this is called.
     """
-    corpus = stage(described(corpus_awards), "corpus_ids")
-    shared = _sharing(described(input_awards), corpus)
+    by = list(by)
+    text = strip(F.col("award_id")).alias("text")
+    sides = [described(awards, by).withColumn("side", F.lit(side)) for side, awards in enumerate((corpus_awards, input_awards))]
+    rows = stage(sides[0].unionByName(sides[1]), "overlap-rows")
     # Ids of equal normalised text and segments are one, under the smallest of them.
-    funder = stage(shared.groupBy("norm", "segs").agg(F.min("award_id").alias("match")), "input_ids")
-    ids = corpus.select("norm", "segs").distinct()
+    ids = rows.groupBy("side", *by, "norm", "segs").agg(F.min("award_id").alias("match"))
+    ids = stage(ids.withColumn("id", F.monotonically_increasing_id()), "overlap-ids")
 
     def candidate(not_exact: int, gap: Column, match: Column) -> Column:
         return F.struct(F.lit(not_exact).alias("not_exact"), gap.alias("gap"), match.alias("match"))
 
     # The same text on both sides; ids without an indexed segment are not compared at all.
-    text = strip(F.col("award_id")).alias("text")
-    same = input_awards.groupBy(text).agg(F.min("award_id").alias("match"))
-    equal = skew_join(corpus.select("award_id", text), same, ["text"]).select(
-        "award_id", candidate(0, F.lit(0), F.col("match")).alias("best"))
-
-    inputs = funder.select("norm", "segs")
-    in_input = contained(ids, inputs).select(
-        "norm", "segs", F.col("long_norm").alias("other"), F.col("long_segs").alias("other_segs"))
-    in_corpus = contained(inputs, ids).filter(F.col("norm") != F.col("long_norm")).select(
-        F.col("long_norm").alias("norm"), F.col("long_segs").alias("segs"), F.col("norm").alias("other"),
-        F.col("segs").alias("other_segs"))
-    matches = funder.select(F.col("norm").alias("other"), F.col("segs").alias("other_segs"), "match")
-    gap = F.abs(F.char_length("norm") - F.char_length("other"))
-    near = (skew_join(in_input.unionByName(in_corpus), matches, ["other", "other_segs"])
-            .groupBy("norm", "segs").agg(F.min(candidate(1, gap, F.col("match"))).alias("best")))
-    within = skew_join(corpus, near, ["norm", "segs"]).select("award_id", "best")
+    corpus, funder = (rows.filter(F.col("side") == side) for side in (0, 1))
+    same = funder.groupBy(*by, text).agg(F.min("award_id").alias("match"))
+    equal = skew_join(corpus.select(*by, "award_id", text), same, [*by, "text"]).select(
+        *by, "award_id", candidate(0, F.lit(0), F.col("match")).alias("best"))
+
+    met = _by_grams(stage(grams(ids, by), "overlap-grams"))
+    by_text = _by_whole_text(ids, by)
+    met = met if by_text is None else met.unionByName(by_text)
+    own = ids.select("id", "norm", "segs")
+    other = ids.select(F.col("id").alias("other"), F.col("norm").alias("long"), F.col("segs").alias("long_segs"))
+    held = skew_join(skew_join(met, own, ["id"]), other, ["other"])
+    holds = F.col("long").contains(F.col("norm")) & F.arrays_overlap("segs", "long_segs")
+    of_corpus = F.col("side") == 0
+    near = held.filter(holds).select(
+        F.when(of_corpus, F.col("id")).otherwise(F.col("other")).alias("id"),
+        F.when(of_corpus, F.col("other")).otherwise(F.col("id")).alias("input"),
+        (F.char_length("long") - F.char_length("norm")).alias("gap"))
+    matches = ids.filter("side = 1").select(F.col("id").alias("input"), "match")
+    near = skew_join(near, matches, ["input"]).groupBy("id").agg(F.min(candidate(1, F.col("gap"), F.col("match"))).alias("best"))
+    named = ids.filter("side = 0").select(*by, "norm", "segs", "id").join(near, "id").drop("id")
+    within = skew_join(corpus.select(*by, "award_id", "norm", "segs"), named, [*by, "norm", "segs"]).select(*by, "award_id", "best")
 
     return (
         equal.unionByName(within)
-        .groupBy("award_id").agg(F.min("best").alias("best"))
+        .groupBy(*by, "award_id").agg(F.min("best").alias("best"))
         .select(
-            "award_id",
+            *by, "award_id",
             F.col("best.match").alias("matching_input_award_id"),
             (F.col("best.not_exact") == 0).alias("exact"),
             F.col("best.gap").alias("length_gap"),

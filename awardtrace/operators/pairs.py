@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from awardtrace.functions import award as A
 from awardtrace.functions.names import all_quoted
 from awardtrace.functions.ratio import similarity_ratio
+from awardtrace.operators.joins import skew_join
 from awardtrace.sources.tables import stage
 
 # The tiers in the order they are tried; exact equality always comes first.
@@ -76,6 +77,21 @@ def _native_score(l: str, r: str) -> tuple[Column, Column]:
     return settled, F.greatest(containment, edit, common)
 
 
+def with_pair_features(df: DataFrame, left: str, right: str) -> DataFrame:
+    """Add the features of both ids (prefixes ``LEFT`` and ``RIGHT``), worked out once for each distinct id.
+
+    The table of features is written to the staging folder when this is called. Where an id
+    is null, so are its features.
+    """
+    ids = df.select(F.col(left).alias("_pair_id")).unionByName(df.select(F.col(right).alias("_pair_id")))
+    features = A.with_features(ids.dropna().distinct(), "_pair_id", "_pair_")
+    features = stage(features, "award-features")
+    for award, prefix in ((left, A.LEFT), (right, A.RIGHT)):
+        own = features.select(F.col("_pair_id").alias(award), *[F.col(f"_pair_{c}").alias(prefix + c) for c in A.FEATURES])
+        df = skew_join(df, own, [award], "left")
+    return df
+
+
 def score_pairs(
     df: DataFrame,
     left: str,
@@ -85,12 +101,11 @@ def score_pairs(
 ) -> DataFrame:
     """Add ``match_type`` (null: no match), ``is_match`` and, if asked for, ``similarity_score``.
 
-    ``df`` has the features of both ids (``with_features``, prefixes ``LEFT`` and
-    ``RIGHT``) or gets them here. Where an id is null the results are null.
-    Native rules run first; the Python ratio sees only the pairs whose type or
-    score it can still change, the others reach it as null. Where it is needed the
-    scored pairs are written to the staging folder, so nothing that is done with them
-    later can call it again.
+    ``df`` has the features of both ids (``with_pair_features``) or gets them here, so it
+    is best written or cheap. Where an id is null the results are null. Native rules run
+    first; the Python ratio sees only the pairs whose type or score it can still change,
+    the others reach it as null. Where segments are compared the scored pairs are written
+    to the staging folder, so nothing that is done with them later does it again.
     """
     unknown = set(tiers) - KNOWN_TIERS
     if unknown:
@@ -98,7 +113,7 @@ def score_pairs(
     l, r = A.LEFT, A.RIGHT
     kept = [c for c in df.columns if c not in A.FEATURE_COLUMNS]
     if f"{l}norm" not in df.columns:
-        df = A.with_features(A.with_features(df, left, l), right, r)
+        df = with_pair_features(df, left, right)
 
     fuzzy = "fuzzy" in tiers
     if fuzzy or "structured" in tiers or with_score:
@@ -111,6 +126,9 @@ def score_pairs(
         ).withColumn(
             _WORK + "structured", A.structured_match(segs1, segs2, _col("confidence"))
         )
+        if not (fuzzy or with_score):
+            # The verdict names the confidence many times; without a Python stage between, each would work it out.
+            df = stage(df, "pair-confidences")
 
     need_ratio = F.lit(False)
     if with_score:

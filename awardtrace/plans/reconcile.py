@@ -7,60 +7,68 @@ from pyspark.sql import functions as F
 
 from awardtrace.functions.names import all_quoted
 from awardtrace.operators import doi
-from awardtrace.operators.clean import clean_input, distinct_awards
+from awardtrace.operators.clean import clean_input, distinct_awards, group_by
 from awardtrace.operators.joins import left_join_spreading_nulls
 from awardtrace.operators.overlap import best_overlap
 from awardtrace.operators.pairs import DEFAULT_TIERS, score_pairs
 from awardtrace.plans import report
 from awardtrace.sources.csv import scan_input_csv
-from awardtrace.sources.tables import write_by_category, write_input, write_result_files
+from awardtrace.sources.tables import stage, staging, write_by_category, write_input, write_result_files
 
 CATEGORIES = ("matched", "award_differs", "absent_from_corpus", "corpus_only")
 
 
-def award_overlap(corpus_awards: DataFrame, input_awards: DataFrame, with_score: bool = True) -> DataFrame:
+def award_overlap(
+    corpus_awards: DataFrame, input_awards: DataFrame, with_score: bool = True, by: list[str] | tuple[str, ...] = ()
+) -> DataFrame:
     """Per corpus award id found in the input under any DOI: the best input id, type and score.
 
     Overlap means containment, so the type is ``exact`` or ``substring``. The score
     takes the corpus id first, as the ratio depends on the order.
     """
-    best = best_overlap(corpus_awards, input_awards)
+    best = best_overlap(corpus_awards, input_awards, by)
     kind = F.when(F.col("exact"), "exact").otherwise("substring")
-    found = best.select("award_id", "matching_input_award_id", kind.alias("overlap_type"))
-    columns = ["award_id", "matching_input_award_id", F.col("overlap_type").alias("match_type")]
+    found = best.select(*by, "award_id", "matching_input_award_id", kind.alias("overlap_type"))
+    columns = [*by, "award_id", "matching_input_award_id", F.col("overlap_type").alias("match_type")]
     if with_score:
-        found = score_pairs(found, "award_id", "matching_input_award_id", tiers=())
+        found = score_pairs(stage(found, "overlap-pairs"), "award_id", "matching_input_award_id", tiers=())
         columns.append(F.round("similarity_score", 3).alias("similarity_score"))
     return found.select(*columns)
 
 
-def corpus_only(cleaned: DataFrame, grants: DataFrame, funder: str, with_score: bool = True) -> DataFrame:
+def corpus_only(cleaned: DataFrame, grants: DataFrame, funder: str | None, with_score: bool = True) -> DataFrame:
     """The funder's assertions whose DOI the input lacks, and whether their award id occurs in it.
 
-    The DOI anti-join comes first, so only the award ids that remain are compared.
+    The DOI anti-join comes first, so only the award ids that remain are compared. It runs
+    once: its rows are written to the staging folder, for the ids and for the result.
     """
-    rows = doi.unmatched_by_doi(cleaned, grants, funder)
-    overlap = award_overlap(distinct_awards(rows), distinct_awards(cleaned), with_score)
-    joined = left_join_spreading_nulls(rows, overlap, "award_id", spread_by=["work_id", "doi"])
+    by = group_by(funder)
+    rows = stage(doi.unmatched_by_doi(cleaned, grants, funder), "unmatched")
+    overlap = award_overlap(distinct_awards(rows, by), distinct_awards(cleaned, by), with_score, by)
+    if by:
+        key = lambda award: F.concat_ws("\x00", "funder", award)
+        rows = rows.withColumn("_overlap_key", F.when(F.col("award_id").isNotNull(), key("award_id")))
+        overlap = overlap.select(key("award_id").alias("_overlap_key"), *[c for c in overlap.columns if c not in ("funder", "award_id")])
+    joined = left_join_spreading_nulls(rows, overlap, "_overlap_key" if by else "award_id", spread_by=["work_id", "doi"])
     flags = {
         "has_award_overlap": F.col("matching_input_award_id").isNotNull(),
         "has_no_award_id": F.when(F.col("award_id").isNull(), True),
     }
     last = ["match_type"] + (["similarity_score"] if with_score else [])
     return joined.withColumns(flags).select(
-        "work_id", "doi", "award_id", "matching_input_award_id", *flags, *last
+        *by, "work_id", "doi", "award_id", "matching_input_award_id", *flags, *last
     )
 
 
 def reconcile(
     cleaned: DataFrame,
     grants: DataFrame,
-    funder: str,
+    funder: str | None,
     tiers=DEFAULT_TIERS,
     with_score: bool = True,
     emit_missing: bool = False,
 ) -> dict[str, DataFrame]:
-    """The four results for one funder, by category."""
+    """The four results by category, for one funder or (None) for all of them at once."""
     compared = doi.compare_on_doi(cleaned, grants, funder, tiers, with_score, emit_missing)
     return {
         "matched": doi.matched(compared),
@@ -73,7 +81,7 @@ def reconcile(
 def consolidated(
     cleaned: DataFrame,
     grants: DataFrame,
-    funder: str,
+    funder: str | None,
     tiers=DEFAULT_TIERS,
     with_score: bool = True,
     emit_missing: bool = False,
@@ -96,14 +104,17 @@ def consolidated(
 
 
 def by_category(table: DataFrame, input_columns: list[str]) -> dict[str, DataFrame]:
-    """Split a consolidated table into the four results, each with its own columns."""
+    """Split a consolidated table into the four results, each with its own columns.
+
+    Of a table for all funders ``input_columns`` has the ``funder``, and so has each result.
+    """
     verdict = ["funder_award_id", "corpus_award_id", "work_id", "match_type", "similarity_score"]
     overlap = ["matching_input_award_id", "has_award_overlap", "has_no_award_id", "match_type", "similarity_score"]
     columns = {
         "matched": [c for c in input_columns if c != "award_id"] + verdict,
         "award_differs": input_columns + verdict,
         "absent_from_corpus": input_columns + ["work_id"],
-        "corpus_only": ["work_id", "doi", "award_id"] + overlap,
+        "corpus_only": [c for c in ("funder",) if c in input_columns] + ["work_id", "doi", "award_id"] + overlap,
     }
     return {
         name: table.filter(F.col("category") == name).select(*all_quoted([c for c in wanted if c in table.columns]))

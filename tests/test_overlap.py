@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from awardtrace.functions import award as A
 from awardtrace.functions.text import strip
-from awardtrace.operators.overlap import best_overlap, block_sizes, described, grams, short_pieces
+from awardtrace.operators.overlap import GRAM, best_overlap, block_sizes, described, grams, short_pieces
 from awardtrace.plans.reconcile import award_overlap
 
 
@@ -96,5 +96,17 @@ def test_long_ids_against_brute_force(spark):
 def test_rows_grow_with_the_length_of_ids(spark):
     rng = random.Random(6)
     ids = [" ".join("".join(rng.choice("abcdefgh") for _ in range(9)) for _ in range(16)) for _ in range(200)]
-    rows = described(awards(spark, ids))
-    assert grams(rows).count() + short_pieces(rows).count() < 500_000
+    rows = described(awards(spark, ids)).withColumn("side", F.lit(1)).withColumn("id", F.monotonically_increasing_id())
+    assert grams(rows, []).count() + short_pieces(rows, {0: list(range(GRAM))}).count() < 500_000
+
+
+def test_groups_do_not_meet(spark):
+    """Each group alone gives what all of them give at once."""
+    rng = random.Random(9)
+    words = ["GRANT", "R01", "0042", "ABCDEFGHIJ", "#", "X1"]
+    draw = lambda: sorted({"-".join(rng.choice(words) for _ in range(rng.randint(1, 4))) for _ in range(60)})
+    sides = [[(f, a) for f in "FG" for a in draw()] for _ in range(2)]
+    left, right = (spark.createDataFrame(rows, "funder string, award_id string") for rows in sides)
+    together = {tuple(r) for r in best_overlap(left, right, ["funder"]).collect()}
+    alone = {(f, *r) for f in "FG" for r in best_overlap(*(df.filter(F.col("funder") == f).select("award_id") for df in (left, right))).collect()}
+    assert together == alone and len(alone) > 40
