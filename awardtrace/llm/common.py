@@ -5,9 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from awardtrace.sources.tables import stage
+from awardtrace.sources.tables import drop, stage, staging
 
-__all__ = ["SPACES", "WORD", "documents", "hash_bits", "lower_ascii", "quoted", "stage", "text_or_empty", "word_count"]
+__all__ = ["SPACES", "WORD", "documents", "drop", "hash_bits", "lower_ascii", "quoted", "stage", "staging", "text_or_empty",
+           "word_count"]
 
 SPACES = r"\x20\x09-\x0D"
 WORD = rf"[^{SPACES}]+"

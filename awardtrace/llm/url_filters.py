@@ -12,8 +12,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from awardtrace.llm.common import lower_ascii, quoted, stage
-from awardtrace.operators.joins import skew_join
+from awardtrace.llm.common import drop, lower_ascii, quoted, stage, staging
+from awardtrace.operators.joins import BROADCAST_BYTES, skew_join
 
 #: (host, path, verdict).
 RULES = (
@@ -24,9 +24,11 @@ RULES = (
     ("com", "/de/", "block"),
 )
 DAMPING = 0.85
-#: The rounds of the SQL. Spark goes on after them until the ranks stay the same.
-ROUNDS = 8
-#: They do if the changes of a kind's ranks in a round add up to less than this; a change passes at most DAMPING on,
+#: Rounds between two written tables of ranks, and links that one task passes ranks along.
+ROUNDS, LINKS_A_TASK = 8, 500_000
+#: Bytes of a host's rank that may be broadcast, its name at most 253 characters.
+RANK_BYTES = 320
+#: Rounds go on until the ranks stay the same. They do if the changes of a kind's ranks in a round add up to less than this; a change passes at most DAMPING on,
 #: so what all later rounds would still change is below TOLERANCE * DAMPING / (1 - DAMPING).
 TOLERANCE = 1e-6
 #: A host is blocked if its distrust is above so many times its trust.
@@ -73,39 +75,60 @@ def host_links(pages: DataFrame, html: str = "html") -> DataFrame:
     return linked.unionByName(_parents(hosts)).groupBy("source", "target").agg(F.sum("links").alias("links"))
 
 
+def _round(ways: DataFrame, ranks: DataFrame, base: DataFrame, damping: float, small: bool) -> DataFrame:
+    """The ranks of the next round, ungrouped."""
+    on = ["kind", "host"]
+    along = ways.join(F.broadcast(ranks), on) if small else skew_join(ways, ranks, on)
+    return base.unionByName(along.select(
+        "kind", F.col("to").alias("host"), (F.col("rank") * F.col("part") * damping).alias("rank")))
+
+
 def spread(seeds: DataFrame, links: DataFrame, damping: float = DAMPING, tolerance: float = TOLERANCE) -> DataFrame:
     """``host, trust, distrust`` of personalised PageRank, in rounds until the ranks stay the same.
 
     ``seeds`` has ``host, kind, weight``. Trust leaves a host along its links, distrust
     against them, in parts by number of links. What a host without links holds is not
-    passed on. Each round is written to the shared folder. The last one is that in which
-    the changes of a kind's ranks, summed over hosts, are below ``tolerance``; with a
-    damping below 1 they shrink by it in every round.
+    passed on. The ranks are written to the shared folder every ``ROUNDS`` rounds, those of
+    the last round beside the ones before it, and older ones removed. Rounds end when the
+    changes of a kind's ranks, summed over hosts, are below ``tolerance``; with a damping
+    below 1 they shrink by it in every round.
     """
     ways = links.select(F.explode(F.array(
         F.struct(F.lit("trust").alias("kind"), F.col("source").alias("host"), F.col("target").alias("to"), "links"),
         F.struct(F.lit("distrust").alias("kind"), F.col("target").alias("host"), F.col("source").alias("to"), "links"),
     )).alias("w")).select("w.*")
     out = ways.groupBy("kind", "host").agg(F.sum("links").alias("all"))
-    ways = stage(skew_join(ways, out, ["kind", "host"]).select(
-        "kind", "host", "to", (F.col("links") / F.col("all")).alias("part")), "link-parts")
-    total = seeds.groupBy("kind").agg(F.sum("weight").alias("all"))  # two rows
-    start = stage(seeds.join(F.broadcast(total), "kind").select(
-        "kind", "host", (F.col("weight") / F.col("all")).alias("rank")), "link-seeds")
-    base = start.withColumn("rank", F.col("rank") * (1 - damping))
-    ranks = start
-    while True:
-        moved = skew_join(ways, ranks, ["kind", "host"]).select(
-            "kind", F.col("to").alias("host"), (F.col("rank") * F.col("part") * damping).alias("rank"))
-        before = ranks.select("kind", "host", (-F.col("rank")).alias("change"))
-        ranks = stage(base.unionByName(moved).groupBy("kind", "host").agg(F.sum("rank").alias("rank")), "link-ranks")
-        change = ranks.select("kind", "host", F.col("rank").alias("change")).unionByName(before)
-        change = change.groupBy("kind", "host").agg(F.abs(F.sum("change")).alias("change"))
-        most = change.groupBy("kind").agg(F.sum("change").alias("change")).agg(F.max("change")).first()[0]
-        if most is None or most < tolerance:
-            break
-    of = lambda kind: F.sum(F.when(F.col("kind") == kind, F.col("rank")).otherwise(0.0)).alias(kind)
-    return ranks.groupBy("host").agg(of("trust"), of("distrust"))
+    with staging(links.sparkSession) as scope:
+        ways = stage(skew_join(ways, out, ["kind", "host"]).select(
+            "kind", "host", "to", (F.col("links") / F.col("all")).alias("part")), "link-parts")
+        total = seeds.groupBy("kind").agg(F.sum("weight").alias("all"))  # two rows
+        start = stage(seeds.join(F.broadcast(total), "kind").select(
+            "kind", "host", (F.col("weight") / F.col("all")).alias("rank")), "link-seeds")
+        # A host with a rank is a seed or at the end of a link, so this bounds them, and with them what is broadcast.
+        most = ways.count() + start.count()
+        small, tasks = most * RANK_BYTES <= BROADCAST_BYTES, 1 + most // LINKS_A_TASK
+        ways, start = ways.coalesce(tasks), start.coalesce(tasks)
+        base = start.withColumn("rank", F.col("rank") * (1 - damping))
+        ranks = start
+        while True:
+            now = ranks
+            for left in range(ROUNDS - 1, -1, -1):
+                before, now = now, _round(ways, now, base, damping, small)
+                if left:
+                    now = now.groupBy("kind", "host").agg(F.sum("rank").alias("rank")).coalesce(tasks)
+            was = before.select("kind", "host", F.lit(0.0).alias("rank"), F.col("rank").alias("was"))
+            now = now.withColumn("was", F.lit(0.0)).unionByName(was).groupBy("kind", "host").agg(
+                F.sum("rank").alias("rank"), F.sum("was").alias("was")).coalesce(tasks)
+            now = stage(now, "link-ranks")
+            drop(ranks)
+            ranks = now.drop("was")
+            change = now.groupBy("kind").agg(F.sum(F.abs(F.col("rank") - F.col("was"))).alias("change"))
+            most_change = change.agg(F.max("change")).first()[0]
+            if most_change is None or most_change < tolerance:
+                break
+            ranks = now
+        of = lambda kind: F.sum(F.when(F.col("kind") == kind, F.col("rank")).otherwise(0.0)).alias(kind)
+        return scope.keep(ranks.groupBy("host").agg(of("trust"), of("distrust")).coalesce(tasks), "host-trust")
 
 
 def judge(pages: DataFrame, rules: Sequence[tuple[str, str, str]] = RULES, url: str = "url", html: str = "html",
@@ -142,13 +165,9 @@ def _sql() -> str:
         for h, p, v in sorted(RULES, key=lambda r: (-len(r[0] + r[1]), -len(r[0]), r)))
     link = _LINK.replace("'", "''")
     upper, lower = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-    rounds = ", ".join(f"""
-r{i + 1} AS (SELECT kind, host, sum(rank) AS rank FROM (
-  SELECT kind, host, rank * (1 - {DAMPING}::DOUBLE) AS rank FROM r0
-  UNION ALL SELECT w.kind, w.dst, r.rank * w.part * {DAMPING}::DOUBLE FROM r{i} AS r JOIN ways AS w USING (kind, host))
-  GROUP BY kind, host)""" for i in range(ROUNDS))
+    # Rounds far beyond TOLERANCE. The host '*' always has rank 1 and gives the seeds their share in every round.
     return rf"""
-WITH p AS (
+WITH RECURSIVE p AS (
   SELECT row_number() OVER () AS r, page_id, html,
          translate(coalesce(regexp_extract(url, '(?s)^.*?://([^/?#]*)', 1), ''), '{upper}', '{lower}') AS host,
          coalesce(regexp_extract(url, '(?s)^.*?://[^/?#]*([^?#]*)', 1), '') AS path FROM pages),
@@ -164,14 +183,22 @@ edges AS (
     UNION ALL SELECT host, up, 1 FROM above WHERE up <> '' UNION ALL SELECT up, host, 1 FROM above WHERE up <> '')
   GROUP BY src, dst),
 directed AS (SELECT 'trust' AS kind, src AS host, dst, n FROM edges UNION ALL SELECT 'distrust', dst, src, n FROM edges),
-ways AS (SELECT kind, host, dst, n / sum(n) OVER (PARTITION BY kind, host) AS part FROM directed),
+parts AS (SELECT kind, host, dst, n / sum(n) OVER (PARTITION BY kind, host) AS part FROM directed),
 seeds AS (
   SELECT CASE WHEN rule.verdict = 'allow' THEN 'trust' ELSE 'distrust' END AS kind, host, count(*) AS n
   FROM ruled WHERE rule IS NOT NULL AND host <> '' GROUP BY ALL),
-r0 AS (SELECT kind, host, n / sum(n) OVER (PARTITION BY kind) AS rank FROM seeds), {rounds},
+shares AS (SELECT kind, host, n / sum(n) OVER (PARTITION BY kind) AS rank FROM seeds),
+ways AS (
+  SELECT kind, host, dst, part * {DAMPING}::DOUBLE AS part FROM parts
+  UNION ALL SELECT kind, '*', host, rank * (1 - {DAMPING}::DOUBLE) FROM shares
+  UNION ALL SELECT DISTINCT kind, '*', '*', 1 FROM shares),
+ranks(round, kind, host, rank) AS (
+  SELECT 0, kind, host, rank FROM shares UNION ALL SELECT DISTINCT 0, kind, '*', 1 FROM shares
+  UNION ALL SELECT round + 1, kind, w.dst, sum(r.rank * w.part) FROM ranks AS r JOIN ways AS w USING (kind, host)
+  WHERE round < 120 GROUP BY round, kind, w.dst),
 scores AS (
   SELECT host, coalesce(sum(rank) FILTER (kind = 'trust'), 0) AS trust,
-         coalesce(sum(rank) FILTER (kind = 'distrust'), 0) AS distrust FROM r{ROUNDS} GROUP BY host)
+         coalesce(sum(rank) FILTER (kind = 'distrust'), 0) AS distrust FROM ranks WHERE round = 120 GROUP BY host)
 SELECT page_id, ruled.host, path, rule.rule AS rule,
        coalesce(rule.verdict, CASE WHEN coalesce(distrust, 0) > coalesce(trust, 0) * {MARGIN}::DOUBLE
                               THEN 'block' ELSE 'allow' END) AS verdict

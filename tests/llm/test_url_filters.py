@@ -3,7 +3,8 @@ from __future__ import annotations
 import re
 from collections import defaultdict
 
-from awardtrace.llm.url_filters import DAMPING, MARGIN, ROUNDS, RULES, judge
+import awardtrace.llm.url_filters as url_filters
+from awardtrace.llm.url_filters import DAMPING, MARGIN, RULES, judge
 
 URLS = [None, "", "no scheme", "http://", "HTTP://Sub.EXAMPLE.org/en/1x?q#f", "http://example.org/es/a", "http://example.org/es",
         "http://notexample.org/es/", "http://org/x", "http://example.org", "http://a.com/fr/x#y", "http://b.com/de/", "ftp://b.com?x=/de/",
@@ -46,7 +47,7 @@ def _brute(rows):
                 seeds[host] += 1
         total = sum(seeds.values())
         rank = {h: n / total for h, n in seeds.items()}
-        for _ in range(ROUNDS):
+        for _ in range(200):  # far beyond the tolerance
             new = defaultdict(float, {h: n / total * (1 - DAMPING) for h, n in seeds.items()})
             for (a, b), n in ways.items():
                 new[b] += DAMPING * rank.get(a, 0) * n / out[a]
@@ -71,7 +72,7 @@ def test_without_rows_or_seeds(spark):
     assert [r.verdict for r in judge(one).collect()] == ["allow", "allow"]
 
 
-def test_chain_longer_than_the_rounds_of_the_sql(spark):
+def test_chain_longer_than_the_rounds_between_two_tables(spark):
     """Distrust reaches the start of a chain of links to a blocked host, as in converged ranks."""
     rows = [(i, f"http://h{i}.net/", f'<a href="http://h{i + 1}.net/">') for i in range(20)]
     rows[-1] = (19, "http://h19.net/", '<a href="http://bad.com/x">')
@@ -80,3 +81,22 @@ def test_chain_longer_than_the_rounds_of_the_sql(spark):
     assert all(r.verdict == "block" for r in got.values())
     for i in range(20):  # 20 - i links from the seed, which no link leads back to
         assert abs(got[i].distrust - (1 - DAMPING) * DAMPING ** (20 - i)) < 1e-5 and got[i].trust == 0
+
+
+def test_few_staged_folders_and_both_joins(spark, monkeypatch, tmp_path):
+    """At most three tables are alive at any time and one is left; a join without broadcast gives the same ranks."""
+    from awardtrace.sources import tables
+
+    monkeypatch.setattr(tables, "staging_root", lambda _: str(tmp_path))
+    alive = []
+    write = tables.stage
+    monkeypatch.setattr(url_filters, "stage", lambda df, name: (write(df, name), alive.append(len(list(tmp_path.iterdir()))))[0])
+    rows = [(i, f"http://h{i % 7}.net/{i}", f'<a href="http://h{i * 3 % 11}.net/"><a href="http://bad.com/">') for i in range(40)]
+    rows += [(99, "http://bad.com/de/1", "x" * 200_000 + "<a href=//h3.net>"), (98, "http://org/", '<a href="http://h1.net">')]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    got = {r.page_id: (r.verdict, round(r.trust, 5), round(r.distrust, 5)) for r in judge(pages).collect()}
+    assert max(alive) <= 4 and len(list(tmp_path.iterdir())) == 1  # links, seeds, old and new ranks
+    monkeypatch.setattr(url_filters, "BROADCAST_BYTES", 0)
+    monkeypatch.setattr(url_filters, "LINKS_A_TASK", 5)
+    assert got == {r.page_id: (r.verdict, round(r.trust, 5), round(r.distrust, 5)) for r in judge(pages).collect()}
+    assert {k: v[0] for k, v in got.items()} == {k: v[3] for k, v in _brute(rows).items()}
