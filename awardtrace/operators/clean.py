@@ -49,7 +49,7 @@ def is_json(value: Column) -> Column:
 def extract_json(raw: DataFrame) -> DataFrame:
     """Add ``funder`` and ``award_id`` as text; null where absent or where ``value`` is no JSON.
 
-    Of a repeated key the first counts.
+    Of a repeated key the first one that is not null counts.
     """
     return _extracted(raw).drop("malformed")
 

@@ -44,8 +44,8 @@ def top_funders(grants: DataFrame, k: int = 10) -> DataFrame:
     return counts.orderBy(F.desc("n"), "funder").limit(k)
 
 
-def input_profile(cleaned: DataFrame) -> DataFrame:
-    return cleaned.agg(
+def input_profile(cleaned: DataFrame, by: list[str] | tuple[str, ...] = ()) -> DataFrame:
+    return cleaned.groupBy(*by).agg(
         F.count("*").alias("total_records"),
         F.count("doi").alias("records_with_doi"),
         F.count_if(F.col("doi").isNull()).alias("records_without_doi"),

@@ -126,7 +126,7 @@ def run(
     spark: SparkSession,
     input_csv: str,
     grants: DataFrame,
-    funder: str,
+    funder: str | None,
     folder: str,
     award_field: str = "award_id",
     tiers=DEFAULT_TIERS,
@@ -136,26 +136,34 @@ def run(
 ) -> DataFrame:
     """Reconcile a CSV list and write everything below ``folder``; returns the statistics.
 
-    The cleaned list is written before it is joined several times, and the results
+    Without a funder the list has a ``funder`` column and all of them are reconciled in
+    one job. The cleaned list is written before it is joined several times, and the results
     before they are counted and exported, so nothing is computed twice and lost
-    executors cost a stage at most. Folders: ``input``, ``results`` (by category),
-    ``csv`` (a dataset per result with rows), ``stats``, ``sheet``, ``report``. A list
-    without line breaks inside quotes is split over tasks with ``multi_line=False``.
+    executors cost a stage at most; nothing staged is left behind. Folders: ``input``,
+    ``products`` (the DOIs with most pairs, written before the join), ``results`` (by
+    category), ``csv`` (a dataset per result with rows), ``summary``, ``stats``, ``sheet``,
+    ``report``. A list without line breaks inside quotes is split over tasks with
+    ``multi_line=False``.
     """
     mode = "overwrite" if force else "errorifexists"
     write_input(clean_input(scan_input_csv(spark, input_csv, multi_line), award_field), f"{folder}/input", force)
     cleaned = spark.read.parquet(f"{folder}/input")
+    if funder is None and "funder" not in cleaned.columns:
+        raise ValueError("a list for all funders needs a column 'funder'")
 
-    table = consolidated(cleaned, grants, funder, tiers, emit_missing=emit_missing)
-    write_by_category(table, f"{folder}/results", force)
-    results = spark.read.schema(table.schema).parquet(f"{folder}/results")
-    write_result_files(by_category(results, cleaned.columns), f"{folder}/csv", force)
+    with staging(spark):
+        doi.largest_products(cleaned, grants, funder).write.mode(mode).parquet(f"{folder}/products")
+        table = consolidated(cleaned, grants, funder, tiers, emit_missing=emit_missing)
+        write_by_category(table, f"{folder}/results", force)
+        results = spark.read.schema(table.schema).parquet(f"{folder}/results")
+        write_result_files(by_category(results, cleaned.columns), f"{folder}/csv", force)
+        report.summary(cleaned, grants, funder, results).write.mode(mode).parquet(f"{folder}/summary")
 
-    report.summary(cleaned, grants, funder, results).write.mode(mode).parquet(f"{folder}/summary")
     summary = spark.read.parquet(f"{folder}/summary")
     stats = report.statistics(summary)
     stats.write.option("header", True).mode(mode).csv(f"{folder}/stats")
     report.sheet(summary, funder, input_csv).write.option("header", True).mode(mode).csv(f"{folder}/sheet")
-    lines = report.report_lines(summary, funder, input_csv)
-    lines.orderBy("position").coalesce(1).select("line").write.mode(mode).text(f"{folder}/report")
+    lines = report.report_lines(summary, funder, input_csv).orderBy(*group_by(funder), "position")
+    lines = lines.coalesce(1) if funder is not None else lines  # one funder's report is some fifty lines
+    lines.select("line").write.mode(mode).text(f"{folder}/report")
     return stats

@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from awardtrace.operators.profiles import funder_profile, input_profile
+from awardtrace.operators.clean import group_by
+from awardtrace.operators.profiles import funder_profile, funder_profile_all, input_profile
 
 MATCH_TYPES = ("exact", "substring", "normalized", "fuzzy")
 
@@ -73,38 +74,50 @@ def result_counts(consolidated: DataFrame) -> DataFrame:
     return consolidated.groupBy("category").agg(F.count("*").alias("n"))
 
 
-def summary(cleaned: DataFrame, grants: DataFrame, funder: str, consolidated: DataFrame) -> DataFrame:
-    """One row with every metric: three aggregates, each over its table once."""
-    corpus = funder_profile(grants, funder).select(
+def summary(cleaned: DataFrame, grants: DataFrame, funder: str | None, consolidated: DataFrame) -> DataFrame:
+    """One row with every metric: three aggregates, each over its table once.
+
+    For all funders a row for each one that the list or the corpus knows.
+    """
+    by = group_by(funder)
+    profile = funder_profile(grants, funder) if funder is not None else funder_profile_all(grants)
+    corpus = profile.select(
+        *by,
         F.col("unique_dois").alias("funder_unique_dois"),
         F.col("unique_awards").alias("funder_unique_awards"),
         F.col("total_records").alias("funder_total_mappings"),
     )
-    results = consolidated.agg(
+    results = consolidated.groupBy(*by).agg(
         *[F.count_if(_is(c)).alias(c) for c in RESULTS[2]],
         *_type_counts(_is("matched"), "", "_matches"),
         *_overlap_counts(_is("corpus_only")),
     )
-    parts = input_profile(cleaned).unionByName(corpus, allowMissingColumns=True)
+    listed = cleaned if funder is not None else cleaned.filter(F.col("funder").isNotNull())
+    parts = input_profile(listed, by).unionByName(corpus, allowMissingColumns=True)
     parts = parts.unionByName(results, allowMissingColumns=True)
-    row = parts.agg(*[F.max(c).alias(c) for c in parts.columns])
+    counts = [F.coalesce(F.max(c), F.lit(0).cast("long")).alias(c) for c in parts.columns if c not in by]
+    row = parts.groupBy(*by).agg(*counts)
     base = F.col("records_with_doi")
     shares = dict(zip(PERCENTAGES[2], ["matched", "award_differs", "absent_from_corpus"]))
     return row.withColumns({name: F.when(base > 0, 100.0 * F.col(n) / base) for name, n in shares.items()})
 
 
+def _of_funder(summary: DataFrame) -> list[str]:
+    return ["funder"] if "funder" in summary.columns else []
+
+
 def statistics(summary: DataFrame) -> DataFrame:
-    """(section, metric, value), one row per number."""
+    """(section, metric, value), one row per number; of all funders each row with its own."""
     rows = [
         F.struct(F.lit(section).alias("section"), F.lit(metric).alias("metric"),
                  F.col(metric).cast("double").alias("value"))
         for section, _, metrics in SECTIONS for metric in metrics
     ]
-    return summary.select(F.inline(F.array(*rows)))
+    return summary.select(*_of_funder(summary), F.inline(F.array(*rows)))
 
 
 def percentages(summary: DataFrame) -> DataFrame:
-    return summary.select(*PERCENTAGES[2])
+    return summary.select(*_of_funder(summary), *PERCENTAGES[2])
 
 
 def _shown(section: tuple) -> Column:
@@ -130,12 +143,13 @@ def _numbered(summary: DataFrame, rows: list[tuple[Column, Column]]) -> DataFram
     """The rows whose condition holds, with their place in the list as ``position``."""
     entries = [F.struct(F.lit(i).alias("position"), shown.alias("shown"), row.alias("row"))
                for i, (shown, row) in enumerate(rows)]
-    return summary.select(F.inline(F.array(*entries))).filter("shown").select("position", "row.*")
+    by = _of_funder(summary)
+    return summary.select(*by, F.inline(F.array(*entries))).filter("shown").select(*by, "position", "row.*")
 
 
-def _head(funder: str, source: str) -> list[tuple[str, Column]]:
+def _head(funder: str | None, source: str) -> list[tuple[str, Column]]:
     now = F.date_format(F.current_timestamp(), "yyyy-MM-dd'T'HH:mm:ss")
-    return [("generated", now), ("input", F.lit(source)), ("funder", F.lit(funder))]
+    return [("generated", now), ("input", F.lit(source)), ("funder", F.lit(funder) if funder is not None else F.col("funder"))]
 
 
 def _no_doi_note() -> tuple[Column, Column]:
@@ -144,7 +158,7 @@ def _no_doi_note() -> tuple[Column, Column]:
     return (F.col("corpus_only") > 0) & (F.col("records_without_doi") > 0), note
 
 
-def report_lines(summary: DataFrame, funder: str, source: str, dated: bool = True) -> DataFrame:
+def report_lines(summary: DataFrame, funder: str | None, source: str, dated: bool = True) -> DataFrame:
     """(position, line): the report as text."""
 
     def line(text: Column) -> Column:
@@ -164,7 +178,7 @@ def report_lines(summary: DataFrame, funder: str, source: str, dated: bool = Tru
     return _numbered(summary, rows)
 
 
-def sheet(summary: DataFrame, funder: str, source: str, dated: bool = True) -> DataFrame:
+def sheet(summary: DataFrame, funder: str | None, source: str, dated: bool = True) -> DataFrame:
     """(position, metric, value): the statistics sheet, labels in title case."""
 
     def cells(metric: Column, value: Column) -> Column:

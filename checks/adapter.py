@@ -5,10 +5,12 @@ One SQL text serves Spark and DuckDB.
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 
 from awardtrace.operators.clean import clean_grants, clean_input
-from awardtrace.sources.tables import read_grants, staging_path, write_grants, write_input
+from awardtrace.sources.tables import read_grants, staging_root, write_grants, write_input
 
 FUNDER = "https://funders.example/F1"
 
@@ -58,6 +60,12 @@ SELECT CASE WHEN l_orderkey % 11 = 0 THEN CASE l_linenumber % 3 WHEN 0 THEN NULL
 FROM lineitem JOIN orders ON l_orderkey = o_orderkey
 """
 
+# A list of all funders; its last column is called "list no.", with a blank and a dot, on both sides.
+LISTED_RAW = INPUT_RAW.replace("AS programme", """AS programme,
+  CASE WHEN l_linenumber = 6 THEN NULL
+       ELSE concat('https://funders.example/F', CAST((o_custkey + CAST(l_linenumber = 5 AS INT)) % 6 AS VARCHAR(20))) END AS funder,
+  concat('n', CAST(l_linenumber % 2 AS VARCHAR(20))) AS list_no""")
+
 
 def _from_tables(spark: SparkSession, sf_dir: str, text: str) -> DataFrame:
     tables = {name: spark.read.parquet(f"{sf_dir}/{name}.parquet") for name in ("orders", "lineitem")}
@@ -83,6 +91,10 @@ def input_raw(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _from_tables(spark, sf_dir, INPUT_RAW)
 
 
+def listed_raw(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _from_tables(spark, sf_dir, LISTED_RAW).withColumnRenamed("list_no", "list no.")
+
+
 # What queries start from: the tables a build leaves behind, made once per session.
 _BUILT: dict[tuple[str, str], str] = {}
 
@@ -90,9 +102,10 @@ _BUILT: dict[tuple[str, str], str] = {}
 def _built(spark: SparkSession, sf_dir: str) -> str:
     key = (spark.sparkContext.applicationId, sf_dir)
     if key not in _BUILT:
-        folder = staging_path(spark, "build")
+        folder = f"{staging_root(spark)}/build-{uuid.uuid4().hex}"  # beyond any scope
         write_grants(clean_grants(grants_raw(spark, sf_dir)), f"{folder}/grants")
         write_input(clean_input(input_raw(spark, sf_dir)), f"{folder}/input")
+        write_input(clean_input(listed_raw(spark, sf_dir)), f"{folder}/listed")
         _BUILT[key] = folder
     return _BUILT[key]
 
@@ -103,3 +116,7 @@ def grants(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def funder_list(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{_built(spark, sf_dir)}/input")
+
+
+def all_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.read.parquet(f"{_built(spark, sf_dir)}/listed")

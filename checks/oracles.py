@@ -7,7 +7,7 @@ by place, and the similarity ratio is a recursive query over matching blocks.
 
 from __future__ import annotations
 
-from checks.adapter import FUNDER, GRANTS_RAW, INPUT_RAW
+from checks.adapter import FUNDER, GRANTS_RAW, INPUT_RAW, LISTED_RAW
 
 CTES: dict[str, str] = {
     "grants_raw": GRANTS_RAW,
@@ -19,6 +19,7 @@ CTES: dict[str, str] = {
         FROM grants_raw""",
     "mine": f"SELECT DISTINCT work_id, doi, award_id FROM grants WHERE funder = '{FUNDER}'",
     "input_raw": INPUT_RAW,
+    "listed_raw": LISTED_RAW,
     "input": """
         SELECT CASE WHEN d IN ('', 'nan') THEN NULL ELSE d END AS doi, award_id, programme
         FROM (SELECT lower(trim(doi)) AS d, award_id, programme FROM input_raw)""",
@@ -230,6 +231,53 @@ ALL_RESULTS = (OVERLAP | REPORT_PAIRS | _scored("report_pairs", FULL_TYPE) | COM
 
 PROFILE = "count(DISTINCT doi) AS unique_dois, count(DISTINCT award_id) AS unique_awards, count(*) AS total_records"
 
+# The same for all funders: rows meet within their funder.
+ALL = {
+    "input": """
+        SELECT CASE WHEN d IN ('', 'nan') THEN NULL ELSE d END AS doi, award_id, programme, funder, list_no AS "list no."
+        FROM (SELECT *, lower(trim(doi)) AS d FROM listed_raw)""",
+    "mine": "SELECT DISTINCT funder, work_id, doi, award_id FROM grants WHERE funder IS NOT NULL",
+    "joined": """
+        SELECT DISTINCT i.doi, i.award_id, i.programme, i.funder, i."list no.", g.award_id AS corpus_award_id, g.work_id
+        FROM input i JOIN mine g ON i.doi = g.doi AND i.funder = g.funder
+        WHERE i.award_id IS NOT NULL AND g.award_id IS NOT NULL""",
+    "absent": """
+        SELECT DISTINCT i.*, w.work_id
+        FROM input i LEFT JOIN (SELECT doi, min(work_id) AS work_id FROM grants GROUP BY doi) w ON w.doi = i.doi
+        WHERE i.doi IS NOT NULL AND i.funder IS NOT NULL
+          AND NOT EXISTS (SELECT 1 FROM mine g WHERE g.doi = i.doi AND g.funder = i.funder)""",
+    "unmatched": """
+        SELECT * FROM mine g WHERE NOT EXISTS (SELECT 1 FROM input i WHERE i.doi = g.doi AND i.funder = g.funder)""",
+    "corpus_index": f"""
+        SELECT DISTINCT funder, award_id, unnest({_segs('award_id')}) AS segment
+        FROM (SELECT DISTINCT funder, award_id FROM unmatched WHERE award_id IS NOT NULL)""",
+    "input_index": f"""
+        SELECT funder, award_id, segment FROM (
+          SELECT DISTINCT funder, award_id, unnest({_segs('award_id')}) AS segment
+          FROM (SELECT DISTINCT funder, award_id FROM input WHERE award_id IS NOT NULL AND funder IS NOT NULL))
+        WHERE length(segment) > 2 OR NOT {_digits('segment')}""",
+    "candidates": """
+        SELECT DISTINCT c.funder, c.award_id AS id1, i.award_id AS id2
+        FROM corpus_index c JOIN input_index i USING (funder, segment)""",
+    "contained_pairs": f"""
+        SELECT *, abs(length(n1) - length(n2)) AS gap FROM (
+          SELECT funder, id1, id2, trim(id1) AS t1, trim(id2) AS t2, {_norm('id1')} AS n1, {_norm('id2')} AS n2 FROM candidates)
+        WHERE t1 = t2 OR {SUBSTRING}""",
+    "best": """
+        SELECT funder, id1, id2, t1 = t2 AS exact, gap FROM contained_pairs
+        QUALIFY row_number() OVER (PARTITION BY funder, id1 ORDER BY t1 <> t2, gap, id2) = 1""",
+    "corpus_only": """
+        SELECT u.funder, work_id, doi, award_id, id2 AS matching_input_award_id, id2 IS NOT NULL AS has_award_overlap,
+               CASE WHEN award_id IS NULL THEN true END AS has_no_award_id,
+               CASE WHEN exact THEN 'exact' WHEN id2 IS NOT NULL THEN 'substring' END AS match_type
+        FROM unmatched u LEFT JOIN best b ON award_id = id1 AND u.funder = b.funder""",
+    "consolidated": """
+        SELECT funder, coalesce(match_type, 'no_match') AS match_type, NULL AS has_award_overlap,
+               CASE WHEN match_type IS NULL THEN 'award_differs' ELSE 'matched' END AS category FROM compared
+        UNION ALL SELECT funder, NULL, NULL, 'absent_from_corpus' FROM absent
+        UNION ALL SELECT funder, match_type, has_award_overlap, 'corpus_only' FROM corpus_only""",
+}
+
 
 def _types(condition: str, prefix: str, suffix: str) -> str:
     return ", ".join(
@@ -262,6 +310,28 @@ SUMMARY = {
         FROM numbers""",
 }
 
+# The same by funder, for every one that the list or the corpus knows.
+SUMMARY_ALL = {
+    "numbers": f"""
+        SELECT * FROM
+          (SELECT funder, count(*) AS total_records, count(doi) AS records_with_doi, count(*) - count(doi) AS records_without_doi,
+                  count(DISTINCT doi) AS unique_dois, count(DISTINCT award_id) AS unique_award_ids
+           FROM input WHERE funder IS NOT NULL GROUP BY funder)
+          FULL JOIN (SELECT funder, count(DISTINCT doi) AS funder_unique_dois, count(DISTINCT award_id) AS funder_unique_awards,
+                  count(*) AS funder_total_mappings FROM grants WHERE funder IS NOT NULL GROUP BY funder) USING (funder)
+          FULL JOIN (SELECT funder, count(*) FILTER (WHERE category = 'matched') AS matched,
+                  count(*) FILTER (WHERE category = 'award_differs') AS award_differs,
+                  count(*) FILTER (WHERE category = 'absent_from_corpus') AS absent_from_corpus,
+                  count(*) FILTER (WHERE category = 'corpus_only') AS corpus_only,
+                  {_types("category = 'matched'", "", "_matches")},
+                  count(*) FILTER (WHERE category = 'corpus_only') AS total_not_matched_by_doi,
+                  count(*) FILTER (WHERE has_award_overlap) AS with_award_overlap,
+                  count(*) FILTER (WHERE category = 'corpus_only' AND NOT has_award_overlap) AS truly_missing,
+                  {_types("has_award_overlap", "overlap_", "")}
+           FROM consolidated GROUP BY funder) USING (funder)""",
+    "summary": SUMMARY["summary"].replace("/ records_with_doi", "/ nullif(records_with_doi, 0)"),
+}
+
 # Section, title, condition, and its metrics with their labels.
 SECTIONS = [
     ("input", "Input list", "true",
@@ -296,6 +366,14 @@ def _value(section: str, metric: str) -> str:
     return f"printf('%.2f%%', {metric})" if section == "percentages" else f"format('{{:,}}', {metric})"
 
 
+def _statistics_all() -> str:
+    return " UNION ALL ".join(
+        f"SELECT funder, '{section}' AS section, '{metric}' AS metric, "
+        + (f"{metric} AS value" if section == "percentages" else f"CAST(coalesce({metric}, 0) AS DOUBLE) AS value") + " FROM summary"
+        for section, _, _, metrics in SECTIONS for metric in metrics
+    )
+
+
 def _statistics() -> str:
     return " UNION ALL ".join(
         f"SELECT '{section}' AS section, '{metric}' AS metric, CAST({metric} AS DOUBLE) AS value FROM summary"
@@ -487,4 +565,20 @@ ORACLES: dict[str, str] = {
         ALL_RESULTS, SUMMARY),
     "report_lines": _with(_report_lines(), ALL_RESULTS, SUMMARY),
     "report_sheet": _with(_sheet(), ALL_RESULTS, SUMMARY),
+    "build_over_existing": _with("SELECT *, true AS refused FROM grants"),
+    "matched_all": _with(
+        f'SELECT {RESULT}, funder, "list no.", match_type, similarity_score FROM compared WHERE match_type IS NOT NULL',
+        _scored("joined_pairs", FULL_TYPE), COMPARED, ALL),
+    "award_differs_all": _with(
+        f"""SELECT award_id, {RESULT}, funder, "list no.", 'no_match' AS match_type FROM compared WHERE match_type IS NULL""",
+        _scored("joined_pairs", STRUCTURED_TYPE, with_ratio=False), COMPARED, ALL),
+    "largest_products_all": _with(
+        "SELECT funder, doi, a.n * b.n AS pairs FROM (SELECT funder, doi, count(*) AS n FROM (SELECT DISTINCT * FROM input) "
+        "WHERE funder IS NOT NULL GROUP BY funder, doi) a JOIN (SELECT funder, doi, count(*) AS n FROM mine "
+        "GROUP BY funder, doi) b USING (funder, doi) ORDER BY pairs DESC, funder, doi LIMIT 10", ALL),
+    "absent_from_corpus_all": _with("SELECT * FROM absent", ALL),
+    "corpus_only_all": _with("SELECT * FROM corpus_only", OVERLAP, ALL),
+    "recon_stats_all": _with(
+        _statistics_all(), OVERLAP, _scored("joined_pairs", FULL_TYPE, with_score=False), COMPARED, CORPUS_ONLY, ABSENT,
+        CONSOLIDATED, SUMMARY_ALL, ALL),
 }

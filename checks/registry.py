@@ -5,16 +5,17 @@ from __future__ import annotations
 import functools
 from collections.abc import Callable
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from awardtrace.functions import award as A
 from awardtrace.functions.ratio import similarity_ratio
 from awardtrace.operators import clean, doi, overlap, profiles
-from awardtrace.operators.pairs import DEFAULT_TIERS, STRICT_TIERS, STRUCTURED_TIERS, score_pairs
+from awardtrace.operators.pairs import DEFAULT_TIERS, STRICT_TIERS, STRUCTURED_TIERS, score_pairs, with_pair_features
 from awardtrace.plans import build, reconcile, report
 from awardtrace.sources import csv, tables
-from checks.adapter import FUNDER, funder_list, grants, grants_raw, input_raw
+from checks.adapter import FUNDER, all_lists, funder_list, grants, grants_raw, input_raw
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -49,6 +50,22 @@ def build_grants(spark, sf_dir):
     return tables.read_grants(spark, path)
 
 
+@query
+def build_over_existing(spark, sf_dir):
+    """A table is refused while another one is there, and replaced if that is asked for."""
+    path = tables.staging_path(spark, "grants")
+    table = grants(spark, sf_dir)
+    tables.write_ranges(table.filter(F.col("funder").isNull()), path)
+    try:
+        tables.write_ranges(table, path)
+        refused = False
+    except AnalysisException as error:
+        refused = "PATH_ALREADY_EXISTS" in str(error)
+    before = tables.read_grants(spark, path).filter(F.col("funder").isNotNull()).count()
+    tables.write_ranges(table, path, force=True)
+    return tables.read_grants(spark, path).withColumn("refused", F.lit(refused and before == 0))
+
+
 @query
 def json_extract(spark, sf_dir):
     """Over both JSON columns there are: raw assertions and event properties."""
@@ -168,11 +185,11 @@ def pairs(spark, sf_dir) -> DataFrame:
     """Every distinct (input id, corpus id) on one DOI, all funders."""
     rows = funder_list(spark, sf_dir).select("doi", "award_id").dropna().distinct()
     corpus = grants(spark, sf_dir).select("doi", F.col("award_id").alias("id2")).dropna().distinct()
-    return rows.withColumnRenamed("award_id", "id1").join(corpus, "doi").select("id1", "id2").distinct()
+    return tables.stage(rows.withColumnRenamed("award_id", "id1").join(corpus, "doi").select("id1", "id2").distinct(), "pairs")
 
 
 def featured_pairs(spark, sf_dir) -> DataFrame:
-    return A.with_features(A.with_features(pairs(spark, sf_dir), "id1", A.LEFT), "id2", A.RIGHT)
+    return with_pair_features(pairs(spark, sf_dir), "id1", "id2")
 
 
 def sides(feature: str):
@@ -426,3 +443,44 @@ def report_lines(spark, sf_dir):
 @query
 def report_sheet(spark, sf_dir):
     return report.sheet(full_summary(spark, sf_dir), FUNDER, "input", dated=False)
+
+
+# --- all funders in one job -----------------------------------------------------------------------
+
+
+def all_sources(spark, sf_dir) -> tuple[DataFrame, DataFrame, None]:
+    return all_lists(spark, sf_dir), grants(spark, sf_dir), None
+
+
+@query
+def matched_all(spark, sf_dir):
+    return doi.matched(doi.compare_on_doi(*all_sources(spark, sf_dir)))
+
+
+@query
+def award_differs_all(spark, sf_dir):
+    return doi.award_differs(doi.compare_on_doi(*all_sources(spark, sf_dir), STRUCTURED_TIERS, with_score=False))
+
+
+@query
+def largest_products_all(spark, sf_dir):
+    return doi.largest_products(*all_sources(spark, sf_dir), k=10)
+
+
+@query
+def absent_from_corpus_all(spark, sf_dir):
+    return doi.absent_from_corpus(*all_sources(spark, sf_dir))
+
+
+@query
+def corpus_only_all(spark, sf_dir):
+    return reconcile.corpus_only(*all_sources(spark, sf_dir), with_score=False)
+
+
+@query
+def recon_stats_all(spark, sf_dir):
+    path = tables.staging_path(spark, "results")
+    table = reconcile.consolidated(*all_sources(spark, sf_dir))
+    tables.write_by_category(table, path)
+    results = spark.read.schema(table.schema).parquet(path)
+    return report.statistics(report.summary(*all_sources(spark, sf_dir), results))

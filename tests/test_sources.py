@@ -2,8 +2,9 @@ from __future__ import annotations
 
 import pytest
 from pyspark.errors import AnalysisException
+from pyspark.sql import functions as F
 
-from awardtrace.operators.clean import RAW_COLUMNS, clean_input
+from awardtrace.operators.clean import GRANT_COLUMNS, RAW_COLUMNS, clean_input
 from awardtrace.plans import build, reconcile
 from awardtrace.sources import csv, tables
 from awardtrace.sources.csv import scan_input_csv
@@ -167,3 +168,58 @@ def test_staging_needs_a_shared_folder_on_a_cluster(spark, monkeypatch):
 
     with pytest.raises(ValueError, match="spark.checkpoint.dir"):
         tables.staging_path(Session, "x")
+
+
+@pytest.fixture
+def root(monkeypatch, tmp_path):
+    """A staging folder of its own."""
+    monkeypatch.setattr(tables, "staging_root", lambda _: f"{tmp_path}/staging")
+    (tmp_path / "staging").mkdir()
+    return tmp_path / "staging"
+
+
+def test_scopes_remove_what_they_staged(spark, root):
+    names = lambda: sorted(p.name.split("-")[0] for p in root.iterdir())
+    outside = tables.stage(spark.range(3), "outside")
+    with tables.staging(spark):
+        tables.stage(spark.range(4), "first")
+        with tables.staging(spark) as inner:
+            part = tables.stage(spark.range(5), "part")
+            gone = tables.stage(spark.range(6), "gone")
+            tables.drop(gone)
+            tables.drop(spark.range(1))  # no staged table: left alone
+            assert names() == ["first", "outside", "part"]
+            kept = inner.keep(part.selectExpr("id + 1 AS id"), "kept")
+        assert names() == ["first", "kept", "outside"] and kept.count() == 5
+    assert names() == ["outside"] and outside.count() == 3
+    with pytest.raises(ZeroDivisionError), tables.staging(spark):
+        tables.stage(spark.range(1), "broken")
+        1 / 0
+    assert names() == ["outside"]
+
+
+def test_build_and_run_leave_nothing_behind(spark, root, folder):
+    csv.write_csv(grants_raw(spark, SF), f"{folder}/raw")
+    build.build_from_csv(spark, f"{folder}/raw", f"{folder}/db")
+    table = tables.read_grants(spark, f"{folder}/db/grants")
+    put(f"{folder}/list.csv", f"doi,award_id,funder,no.\n10.5555/ord.2,DMS-0000001,{FUNDER},1\n10.5555/x,A,{FUNDER},2\n,B,F9,3\n")
+    for funder in (FUNDER, None):
+        stats = reconcile.run(spark, f"{folder}/list.csv", table, funder, f"{folder}/out", force=True)
+        assert list(root.iterdir()) == [] and stats.count() > 20
+        assert spark.read.text(f"{folder}/out/report").filter("value = 'RECONCILIATION REPORT'").count() >= 1
+        assert spark.read.parquet(f"{folder}/out/products").columns[-2:] == ["doi", "pairs"]
+
+
+def test_a_build_reads_its_source_once(spark, root, monkeypatch, folder):
+    """The range partitioning takes its splitters from a written table."""
+    calls = spark.sparkContext.accumulator(0)
+
+    @F.udf("string")
+    def counted(value):
+        calls.add(1)
+        return value
+
+    rows = spark.range(100).select(*[F.lit("x").alias(c) for c in RAW_COLUMNS if c != "value"], F.col("id").cast("string").alias("f"))
+    cleaned = rows.select(*[F.lit("x").alias(c) for c in GRANT_COLUMNS if c != "funder"], counted("f").alias("funder"))
+    tables.write_grants(cleaned, f"{folder}/grants")
+    assert calls.value == 100 and tables.read_grants(spark, f"{folder}/grants").count() == 100 and list(root.iterdir()) == []
