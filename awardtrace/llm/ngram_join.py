@@ -3,8 +3,12 @@
 Sets that link share one of their rarest shingles, as many as a set may lack and still
 link. Documents meet under those shingles only, each with its size and bitmap; trees of
 bitmaps drop the pairs that cannot share enough. What is left ties sets into classes
-that no link leaves. Each class then gets its whole sets, once, and a second walk of
-trees with exact counts gives the components. Equal sets are one set throughout.
+that no link leaves. A class is dealt out in blocks by size, each of which gets its whole
+sets, once, and a second walk of trees with exact counts gives the components of each
+block. One set of each component meets those of other blocks, which joins most of what
+belongs together. Where several components are left, blocks of fitting sizes meet as
+bitmaps, and of these only the sets that a bound lets through to another component meet
+whole. Equal sets are one set throughout.
 """
 
 from __future__ import annotations
@@ -15,7 +19,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from awardtrace.llm.common import documents, quoted, stage, text_or_empty
@@ -26,10 +30,11 @@ from awardtrace.operators.joins import skew_join
 #: Rows drawn to rank common shingles, and how many are ranked. The ranks only decide which shingles are tried first.
 SAMPLE_ROWS = 5_000
 RANKED = 50_000
-#: Sets under one shingle that are compared there. Under a shingle with more, all become one class at once.
+#: Sets under one shingle that are compared there. Under a shingle with more, all become one class at once, which costs
+#: more checks later and changes no result.
 RUN = 1024
-#: A class is dealt out in blocks of so many sets and shingles; every two blocks meet.
-BLOCK_SETS, BLOCK_TOKENS = 2000, 2_000_000
+#: A class is dealt out in blocks of some so many sets and shingles; so many blocks meet as one with others.
+BLOCK_SETS, BLOCK_TOKENS, TOGETHER = 256, 400_000, 8
 #: Bits of the filter for the documents whose sets are read again; a fixed size, so it may be broadcast.
 FILTER_BITS = 23
 _BUFFER = 100_000
@@ -113,27 +118,36 @@ def _runs(tokens: np.ndarray) -> np.ndarray:
 def _met(num: int, den: int):
     """Of rows sorted by (token, n) those with another set of a fitting size under the token.
 
-    The first and the last run of a task stay whole: they may go on elsewhere.
+    The first and the last run of a task stay whole, as they may go on elsewhere, and so
+    does a run that fills the buffer.
     """
     def met(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        rest, first = None, True
+        rest, first, long_token = None, True, None
         for batch in batches:
-            df = batch if rest is None else pd.concat([rest, batch], ignore_index=True)
-            edges = _runs(df["token"].to_numpy())
+            rest = batch if rest is None else pd.concat([rest, batch], ignore_index=True)
+            tokens = rest["token"].to_numpy()
+            edges = _runs(tokens)
             cut = edges[-2]  # the last run may go on
-            n = df["n"].to_numpy(dtype=np.int64)
-            fits = (n[:-1] * den >= n[1:] * num) & (df["token"].to_numpy()[1:] == df["token"].to_numpy()[:-1])
-            keep = np.r_[False, fits] | np.r_[fits, False]
-            if first:
-                keep[:edges[1]] = True
-            kept = df.iloc[:cut][keep[:cut]]
-            first = first and cut == 0
-            rest = df.iloc[cut:]
-            if len(kept):
-                yield kept
+            if cut:
+                yield fitting(rest.iloc[:cut], edges[:-1], first, long_token)
+                first, rest = False, rest.iloc[cut:]
+            if len(rest) >= _BUFFER:  # a run that fills the buffer stays whole, and so does what follows of it
+                long_token, first = rest["token"].iloc[-1], False
+                yield rest
+                rest = None
         if rest is not None and len(rest):
             yield rest
 
+    def fitting(df: pd.DataFrame, edges: np.ndarray, first: bool, long_token) -> pd.DataFrame:
+        token, n = df["token"].to_numpy(), df["n"].to_numpy(dtype=np.int64)
+        fits = (n[:-1] * den >= n[1:] * num) & (token[1:] == token[:-1])
+        keep = np.r_[False, fits] | np.r_[fits, False]
+        if first:
+            keep[:edges[1]] = True
+        if long_token is not None:
+            keep |= token == long_token
+        return df[keep]
+
     return met
 
 
@@ -177,18 +191,10 @@ def _small_runs(df: pd.DataFrame, runs: np.ndarray, num: int, den: int) -> tuple
 
 def _long_run(df: pd.DataFrame, num: int, den: int) -> tuple[np.ndarray, np.ndarray]:
     """A set of each class of a longer run against its members; a tree for each width, and for it with the next one."""
-    sizes, bits = df["n"].to_numpy(dtype=np.int64), df["bits"].to_numpy()
-    width = np.fromiter(map(len, bits), dtype=np.int64, count=len(bits))
     classes = Classes(len(df))
-    for w in np.unique(width):
-        at = np.flatnonzero((width == w) | (width == 2 * w))
-        at = at[np.argsort(sizes[at], kind="stable")]
-        maps = np.empty((len(at), w // 8), dtype=np.uint64)
-        for k, p in enumerate(at):
-            own = np.frombuffer(bits[p], dtype=np.uint64)
-            maps[k] = own if width[p] == w else folded(own)
+    for at, maps, sizes, first in _common_widths(df):
         local = Classes(len(at))
-        walk(sizes[at], maps, num, den, local, first=width[at] == w)
+        walk(sizes, maps, num, den, local, first=first)
         for k, label in enumerate(local.label):
             classes.join(int(at[k]), int(at[label]))
     return np.arange(len(df)), classes.label
@@ -268,11 +274,72 @@ def _only(docs: DataFrame, keys: DataFrame, key: str) -> DataFrame:
         F.getbit("_bits", (F.col("_slot") % 64).cast("int")) == 1).drop("_slot", "_word", "_bits")
 
 
+def _common_widths(df: pd.DataFrame) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """Rows in the order of size, their bitmaps at one width, sizes, and which have that width: for each width, with the next."""
+    sizes, bits = df["n"].to_numpy(dtype=np.int64), df["bits"].to_numpy()
+    width = np.fromiter(map(len, bits), dtype=np.int64, count=len(bits))
+    for w in np.unique(width):
+        at = np.flatnonzero((width == w) | (width == 2 * w))
+        at = at[np.argsort(sizes[at], kind="stable")]
+        maps = np.empty((len(at), w // 8), dtype=np.uint64)
+        for k, p in enumerate(at):
+            own = np.frombuffer(bits[p], dtype=np.uint64)
+            maps[k] = own if width[p] == w else folded(own)
+        yield at, maps, sizes[at], width[at] == w
+
+
+def _joined_by(labels: np.ndarray) -> Classes:
+    """Classes of positions by labels that they have already."""
+    classes = Classes(len(labels))
+    first: dict[int, int] = {}
+    for i, label in enumerate(labels.tolist()):
+        classes.join(first.setdefault(label, i), i)
+    return classes
+
+
+def _grouped(unit, names: tuple[str, ...] = ("class", "i", "j")):
+    """``unit`` of every group of rows that stand together."""
+    def grouped(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held: list[pd.DataFrame] = []
+        known: dict[bytes, int] = {}
+        last = None
+        for batch in batches:
+            keys = list(zip(*(batch[c] for c in names)))
+            edges = [k for k in range(len(keys)) if k == 0 or keys[k] != keys[k - 1]] + [len(keys)]
+            for a, b in zip(edges[:-1], edges[1:]):
+                if held and keys[a] != last:
+                    yield unit(pd.concat(held, ignore_index=True), known)
+                    held = []
+                held.append(batch.iloc[a:b])
+                last = keys[a]
+        if held:
+            yield unit(pd.concat(held, ignore_index=True), known)
+
+    return grouped
+
+
+def _possible(num: int, den: int):
+    """Within each (class, i, j): the sets that a bitmap lets link with one of another component."""
+    def unit(df: pd.DataFrame, _) -> pd.DataFrame:
+        labels, involved = df["comp"].to_numpy(dtype=np.int64), np.zeros(len(df), dtype=bool)
+        for at, maps, sizes, first in _common_widths(df):
+            def see(i: int, js: np.ndarray) -> np.ndarray:
+                involved[at[i]] = True
+                involved[at[js]] = True
+                return np.zeros(len(js), dtype=bool)
+
+            walk(sizes, maps, num, den, _joined_by(labels[at]), see, first=first)
+        return df.loc[involved, ["class", "i", "j", "sid"]]
+
+    return _grouped(unit)
+
+
 def _exact(n: int, num: int, den: int, every: bool = False):
     """Within each (class, i, j): sets made anew from the texts, and a set of its component for each.
 
-    With ``every`` all links instead, as pairs ``a, b`` of sets. Two sets of one block
-    meet in every unit of it; their link comes from the unit of the block with itself.
+    Sets of one ``comp`` are joined already. With ``every`` all links instead, as pairs
+    ``a, b`` of sets; two sets of one block may meet in several units of it, so their link
+    comes from the unit of the block with itself.
     """
     def unit(df: pd.DataFrame, known: dict[bytes, int]) -> pd.DataFrame:
         sets = [shingles(t, n, known) for t in df["_text"]]
@@ -283,7 +350,7 @@ def _exact(n: int, num: int, den: int, every: bool = False):
         sizes = np.array([len(s) for s in sets], dtype=np.int64)
         sid = df["sid"].to_numpy(dtype=np.int64)[at]
         own, apart = df["b"].to_numpy()[at], df["i"].iloc[0] != df["j"].iloc[0]
-        classes, left, right = Classes(len(sets)), [sid[:0]], [sid[:0]]
+        classes, left, right = _joined_by(df["comp"].to_numpy(dtype=np.int64)[at]), [sid[:0]], [sid[:0]]
 
         def link(i: int, js: np.ndarray) -> None:
             if apart:
@@ -302,28 +369,33 @@ def _exact(n: int, num: int, den: int, every: bool = False):
             walk(sizes, maps, num, den, classes, check, link=link if every else None)
         if every:
             return pd.DataFrame({"a": np.concatenate(left), "b": np.concatenate(right)})
-        return pd.DataFrame({"sid": sid, "root": sid[classes.label], "blocks": df["blocks"].to_numpy()[at]})
+        return pd.DataFrame({"sid": sid, "root": sid[classes.label], "class": df["class"].iloc[0]})
 
-    def exact(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        known: dict[bytes, int] = {}
-        held: list[pd.DataFrame] = []
-        for batch in batches:
-            names = list(zip(batch["class"], batch["i"], batch["j"]))
-            edges = [k for k in range(len(names)) if k == 0 or names[k] != names[k - 1]] + [len(names)]
-            for a, b in zip(edges[:-1], edges[1:]):
-                if held and tuple(held[0][["class", "i", "j"]].iloc[0]) != names[a]:
-                    yield unit(pd.concat(held, ignore_index=True), known)
-                    held = []
-                held.append(batch.iloc[a:b])
-        if held:
-            yield unit(pd.concat(held, ignore_index=True), known)
+    return _grouped(unit)
 
-    return exact
 
+def _blocked(members: DataFrame) -> DataFrame:
+    """The members with their block ``b``: sets of like sizes, of one size by hash."""
+    counts = members.groupBy("class", "n").agg(F.count("*").alias("c"))
+    weight = F.greatest(F.col("c") / BLOCK_SETS, F.col("c") * F.col("n") / BLOCK_TOKENS)
+    below = Window.partitionBy("class").orderBy("n").rowsBetween(Window.unboundedPreceding, -1)  # a row per size
+    bands = counts.withColumn("w", weight).select(
+        "class", "n", F.floor(F.coalesce(F.sum("w").over(below), F.lit(0.0))).cast("int").alias("band"),
+        F.ceil("w").cast("int").alias("parts"))
+    placed = skew_join(members, bands, ["class", "n"])
+    return placed.withColumn("b", F.col("band") + F.pmod(F.hash("sid"), F.col("parts"))).drop("band", "parts")
 
-def _dealt(docs: DataFrame, n: int, num: int, den: int, text: str,
-           key: str) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
-    """Rows, distinct sets, their representatives, and the units of whole texts of each class."""
+
+def _texts(docs: DataFrame, members: DataFrame, text: str, key: str) -> DataFrame:
+    """Members, each with ``class, i, j``, beside the texts under their keys: what is dealt to the units."""
+    own = _only(docs.select(quoted(key).alias("_key"), text_or_empty(text).alias("_text")), members, "_key")
+    dealt = members.join(own, "_key").select("class", "i", "j", "b", "sid", "set", "comp", "_text")
+    return dealt.repartition("class", "i", "j").sortWithinPartitions("class", "i", "j")
+
+
+def _candidates(docs: DataFrame, n: int, num: int, den: int, text: str,
+                key: str) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """Rows, distinct sets, their representatives, and the members of each class in blocks."""
     rows = stage(described(docs, n, num, den, text, key), "join-sets")
     full = rows.where("n > 0 AND _key IS NOT NULL")
     sets = full.groupBy("set").agg(F.min("_key").alias("_key"))  # equal sets are combined on the map side
@@ -333,35 +405,103 @@ def _dealt(docs: DataFrame, n: int, num: int, den: int, text: str,
     reps = stage(reps, "join-reps")
     classes = stage(_classes(reps, num, den), "join-classes")
     members = classes.join(reps.select("sid", "_key", "set", "n"), "sid")
-    members = stage(members, "join-members")
-    per_class = members.groupBy("class").agg(F.count("*").alias("sets"), F.sum("n").alias("tokens"))
-    blocks = F.greatest(F.ceil(F.col("sets") / BLOCK_SETS), F.ceil(F.col("tokens") / BLOCK_TOKENS)).cast("int")
-    members = skew_join(members, per_class.select("class", blocks.alias("blocks")), ["class"])
-    own: Column = F.pmod(F.hash("sid"), F.col("blocks"))
-    texts = _only(docs.select(quoted(key).alias("_key"), text_or_empty(text).alias("_text")), members, "_key")
-    dealt = members.withColumn("b", own).join(texts, "_key").withColumn(
-        "o", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    dealt = dealt.select("class", F.least("b", "o").alias("i"), F.greatest("b", "o").alias("j"), "b", "blocks", "sid", "set", "_text")
-    return rows, sets, reps, dealt.repartition("class", "i", "j").sortWithinPartitions("class", "i", "j")
+    return rows, sets, reps, stage(_blocked(members), "join-members")
+
+
+def _block_pairs(blocks: DataFrame, num: int, den: int, within: bool) -> DataFrame:
+    """``class, i, j`` of blocks (``class, b, low, high``) some of whose sizes fit; ``within`` adds each with itself."""
+    left = blocks.select("class", F.col("b").alias("i"), F.col("low").alias("_low"), F.col("high").alias("_high"))
+    right = blocks.select("class", F.col("b").alias("j"), "low", "high")
+    fits = (F.least("_high", "high") * den >= F.greatest("_low", "low") * num) & (
+        F.col("i") <= F.col("j") if within else F.col("i") < F.col("j"))
+    return skew_join(left, right, ["class"]).where(fits).select("class", "i", "j")
+
+
+def _sides(members: DataFrame, pairs: DataFrame) -> DataFrame:
+    """Members once for each pair of blocks that their own is in."""
+    units = pairs.select("class", "i", "j", F.explode(F.array_distinct(F.array("i", "j"))).alias("b"))
+    return skew_join(members, units, ["class", "b"])
+
+
+def _roots(docs: DataFrame, reps: DataFrame, members: DataFrame, n: int, num: int, den: int, text: str,
+           key: str) -> DataFrame:
+    """``sid, root``: the component of every member."""
+    def solved(of: DataFrame, name: str) -> DataFrame:
+        return stage(_texts(docs, of, text, key).mapInPandas(_exact(n, num, den), "sid long, root long, class long"), name)
+
+    alone = {"i": F.col("b"), "j": F.col("b"), "comp": F.col("sid")}
+    found = solved(members.withColumns(alone), "join-blocks").distinct()
+    several = members.groupBy("class").agg(F.min("b").alias("low"), F.max("b").alias("high")).where("low < high")
+    several = stage(several.select("class"), "join-several")
+    if several.isEmpty():
+        return found.select("sid", "root")
+    # One set of each component of a block against those of other blocks, as long as that joins half of them.
+    large = found.join(several, "class", "left_semi")
+    edges, at, count = large.select("sid", "root"), large, None
+    while True:
+        chosen = at.select(F.col("root").alias("sid")).distinct()
+        chosen = stage(_blocked(members.join(chosen, "sid", "left_semi").drop("b")).withColumns(alone), "join-chosen")
+        before, count = count, chosen.count()
+        if before is not None and 2 * count > before:
+            break
+        at = solved(chosen, "join-chosen-blocks")
+        edges = edges.unionByName(at.select("sid", "root"))
+    edges = edges.select(F.col("sid").alias("u"), F.col("root").alias("v"))
+    own = components(edges).select(F.col("u").alias("sid"), F.col("component").alias("comp"))
+    labelled = members.join(several, "class", "left_semi").join(own, "sid", "left").withColumn("comp", F.coalesce("comp", "sid"))
+    # Classes of several components yet: their blocks, some at a time, meet those of fitting sizes.
+    split = labelled.groupBy("class").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).where("low < high").select("class")
+    labelled = stage(labelled.join(split, "class", "left_semi").withColumn("b", F.floor(F.col("b") / TOGETHER).cast("int")),
+                     "join-labelled")
+    if not labelled.isEmpty():
+        blocks = labelled.groupBy("class", "b").agg(
+            F.min("n").alias("low"), F.max("n").alias("high"), F.min("comp").alias("least"), F.max("comp").alias("most"))
+        pairs = _block_pairs(blocks, num, den, within=True)
+        met = _sides(labelled, pairs).join(reps.select("sid", "bits"), "sid").select("class", "i", "j", "sid", "n", "bits", "comp")
+        met = met.repartition("class", "i", "j").sortWithinPartitions("class", "i", "j")
+        involved = stage(met.mapInPandas(_possible(num, den), "class long, i int, j int, sid long"), "join-involved").distinct()
+        met = involved.join(labelled.drop("class"), "sid")
+        joined = solved(met, "join-met")
+        edges = edges.unionByName(joined.select(F.col("sid").alias("u"), F.col("root").alias("v")))
+        own = components(edges).select(F.col("u").alias("sid"), F.col("component").alias("comp"))
+    whole = found.join(own, "sid", "left")
+    return whole.select("sid", F.coalesce("comp", "root").alias("root")).distinct()
 
 
 def links(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100, text: str = "text",
           key: str = "doc_id") -> DataFrame:
-    """``a, b``: every link between two different sets, once, by the smallest keys of their rows; a < b.
+    """``a, b, a_set, b_set``: every link between two different sets, once.
 
-    Rows of equal sets share a key here, and no pair between them is listed. The pairs
-    grow with the square of a group of near copies; ``linked`` gives the components
-    without them.
+    A set is named by the smallest key of its rows (``members`` tells which rows have which
+    set) and its hash; (a, a_set) is below (b, b_set), and a = b only where rows of one key
+    have different texts that link. The pairs grow with the square of a group of near
+    copies; ``linked`` gives the components without them.
     """
-    _, _, reps, units = _dealt(docs, n, num, den, text, key)
+    _, _, reps, members = _candidates(docs, n, num, den, text, key)
+    blocks = members.groupBy("class", "b").agg(F.min("n").alias("low"), F.max("n").alias("high"))
+    met = _sides(members.withColumn("comp", F.col("sid")), _block_pairs(blocks, num, den, within=True))
+    units = _texts(docs, met, text, key)
     # A key whose rows repeat with one text gives one set several times: they would meet themselves.
-    once = units.dropDuplicates(["class", "i", "j", "sid", "_text"]).sortWithinPartitions("class", "i", "j")
+    once = units.dropDuplicates(["class", "i", "j", "sid", "_text"]).repartition("class", "i", "j").sortWithinPartitions("class", "i", "j")
     pairs = once.mapInPandas(_exact(n, num, den, every=True), "a long, b long").where("a <> b")
     pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    keys = reps.select("sid", "_key")
-    pairs = pairs.join(keys.select(F.col("sid").alias("a"), F.col("_key").alias("_a")), "a")
-    pairs = pairs.join(keys.select(F.col("sid").alias("b"), F.col("_key").alias("_b")), "b")
-    return pairs.select(F.least("_a", "_b").alias("a"), F.greatest("_a", "_b").alias("b"))
+    name = lambda side: reps.select(F.col("sid").alias(side), F.struct("_key", "set").alias(f"_{side}"))
+    pairs = pairs.join(name("a"), "a").join(name("b"), "b").select(F.least("_a", "_b").alias("a"), F.greatest("_a", "_b").alias("b"))
+    return pairs.select(F.col("a._key").alias("a"), F.col("b._key").alias("b"), F.col("a.set").alias("a_set"), F.col("b.set").alias("b_set"))
+
+
+def members(docs: DataFrame, n: int = 5, text: str = "text", key: str = "doc_id") -> DataFrame:
+    """``key, n_shingles, set, representative``: the set of every row and the smallest key of the rows that have it.
+
+    With ``links`` this is every link: between rows of one set, and between rows of two sets
+    that link. A row without a key or without words has no representative.
+    """
+    rows = stage(described(docs, n, 1, 1, text, key).drop("prefix", "bits"), "join-members")
+    full = (F.col("n") > 0) & F.col("_key").isNotNull()
+    least = rows.where(full).groupBy("set").agg(F.min("_key").alias("representative"))
+    found = skew_join(rows, least, ["set"], "left")
+    return found.select(F.col("_key").alias(key), F.col("n").alias("n_shingles"), "set",
+                        F.when(full, F.col("representative")).alias("representative"))
 
 
 def linked(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100, text: str = "text",
@@ -370,17 +510,13 @@ def linked(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100, text: str
 
     Two rows link if intersection / union of their sets of n-word shingles is at least
     num / den; a component is what links reach, named by its smallest key. A text of
-    fewer words has all of them as its one shingle. Null and empty texts and texts
-    without words have an empty set and link with nothing, so the component is the
+    fewer words has all of them as its one shingle; a very long one is read whole and is one
+    member of its block. Null and empty texts and texts without words have an empty set and link with nothing, so the component is the
     row's own key. Rows without a key have a size, link with nothing and have no
     component. An empty table gives no rows.
     """
-    rows, sets, reps, units = _dealt(docs, n, num, den, text, key)
-    found = stage(units.mapInPandas(_exact(n, num, den), "sid long, root long, blocks int"), "join-links")
-    roots = found.where("blocks = 1").select("sid", "root").distinct()
-    several = found.where("blocks > 1").select(F.col("sid").alias("u"), F.col("root").alias("v"))
-    if not several.isEmpty():
-        roots = roots.unionByName(components(several).select(F.col("u").alias("sid"), F.col("component").alias("root")))
+    rows, sets, reps, dealt = _candidates(docs, n, num, den, text, key)
+    roots = stage(_roots(docs, reps, dealt, n, num, den, text, key), "join-roots")
     roots = roots.join(reps.select("sid", "set", "_key"), "sid")
     least = roots.groupBy("root").agg(F.min("_key").alias("component_id"))
     named = skew_join(roots, least, ["root"]).select("set", "component_id")

@@ -60,7 +60,7 @@ def rows_with_near_copies():
 
 
 @pytest.mark.parametrize("n, num", [(3, 90), (5, 80)])
-@pytest.mark.parametrize("run, blocks", [(1024, 2000), (20, 15)])
+@pytest.mark.parametrize("run, blocks", [(1024, 256), (20, 15), (20, 3)])
 def test_against_all_pairs(spark, monkeypatch, n, num, run, blocks):
     monkeypatch.setattr(ngram_join, "RUN", run)  # few sets under a shingle, small blocks: the ways for large groups
     monkeypatch.setattr(ngram_join, "BLOCK_SETS", blocks)
@@ -117,21 +117,61 @@ def test_components_of_paths_and_stars(spark):
     assert components(spark.createDataFrame([], "u long, v long")).count() == 0
 
 
-@pytest.mark.parametrize("run, blocks", [(1024, 2000), (20, 15)])
+@pytest.mark.parametrize("run, blocks", [(1024, 256), (20, 15)])
 def test_links_against_all_pairs(spark, monkeypatch, run, blocks):
     monkeypatch.setattr(ngram_join, "RUN", run)
     monkeypatch.setattr(ngram_join, "BLOCK_SETS", blocks)
     rows = rows_with_near_copies()
+    rows += [(2000, rows[-1][1] + " tail"), (2000, rows[-1][1] + " other tail"), (2000, rows[-1][1])]  # one key, texts that link
     least = {}
     for k, s in _sets(rows, 3):
         if k is not None and s:
             least[s] = min(k, least.get(s, k))
-    want = []
-    for s, a in least.items():
-        for t, b in least.items():
-            if a < b and 100 * len(s & t) >= 90 * len(s | t):
-                want.append((a, b))
-    got = sorted(tuple(r) for r in ngram_join.links(documents(spark, rows), 3, 90, 100).collect())
-    assert got == sorted(want)
-    assert len(got) >= len({k for pair in got for k in pair})  # more than a tree of each component has
+    want = sorted(sorted((a, b)) for s, a in least.items() for t, b in least.items()
+                  if s != t and 100 * len(s & t) >= 90 * len(s | t))
+    got = ngram_join.links(documents(spark, rows), 3, 90, 100).collect()
+    assert sorted([r.a, r.b] for r in got) == want[::2]  # each pair stands there both ways
+    assert all((r.a, bytes(r.a_set)) < (r.b, bytes(r.b_set)) for r in got) and any(r.a == r.b == 2000 for r in got)
+    assert len(got) >= len({k for r in got for k in (r.a, r.b)})  # more than a tree of each component has
     assert ngram_join.links(empty(spark)).count() == 0
+    # Which rows have which set: with that, every link between rows can be told.
+    mine = ngram_join.members(documents(spark, rows), 3).collect()
+    assert sorted((r.doc_id, r.n_shingles, r.representative) for r in mine if r.doc_id is not None) == sorted(
+        ((k, len(s), least.get(s)) for k, s in _sets(rows, 3) if k is not None), key=lambda x: (x[0], x[1], x[2] or 0))
+    sets = {(r.representative, bytes(r.set)) for r in mine}
+    assert all((r.a, bytes(r.a_set)) in sets and (r.b, bytes(r.b_set)) in sets for r in got)
+
+
+def test_texts_of_a_large_class_are_dealt_in_proportion(spark, monkeypatch):
+    """Twice as many near copies in a class of many blocks take some twice as many rows of text, not four times."""
+    monkeypatch.setattr(ngram_join, "BLOCK_SETS", 10)
+    dealt = []
+    texts_of = ngram_join._texts
+    monkeypatch.setattr(ngram_join, "_texts", lambda docs, members, *a: (out := texts_of(docs, members, *a), dealt.append(out.count()))[0])
+    counts = []
+    for copies in (150, 300):
+        dealt.clear()
+        rows = list(enumerate(near_copies(5, copies, 200, 4)))
+        got = ngram_join.linked(documents(spark, rows), 3, 90, 100).collect()
+        assert sorted((tuple(r) for r in got), key=str) == _brute(rows, 3, 90, 100)
+        assert len({r.component_id for r in got}) < copies / 3
+        counts.append(sum(dealt))
+    assert counts[1] < 3 * counts[0] and counts[1] < 6 * 300, counts
+
+
+def test_long_runs_are_kept_whole(monkeypatch):
+    """Whatever the batches and the buffer, no set with a partner of a fitting size under its shingle is left out."""
+    import pandas as pd
+
+    draw = random.Random(3)
+    rows = sorted((draw.choice([1, 2, 2, 2, 3, 4, 4]), draw.randrange(1, 60), i) for i in range(400))
+    df = pd.DataFrame(rows, columns=["token", "n", "sid"])
+    for size, buffer in ((7, 1000), (400, 1000), (7, 20), (33, 50)):
+        monkeypatch.setattr(ngram_join, "_BUFFER", buffer)
+        parts = [df.iloc[a:a + size].reset_index(drop=True) for a in range(0, len(df), size)]
+        kept = pd.concat(list(ngram_join._met(90, 100)(iter(parts))))
+        assert len(kept) == kept["sid"].nunique()
+        for t, n, i in rows:
+            if any(t == u and i != j and 100 * min(n, m) >= 90 * max(n, m) for u, m, j in rows):
+                assert i in set(kept["sid"])
+        assert set(df["sid"][df["token"].isin([1, 4])]) <= set(kept["sid"])  # they may go on in other tasks
