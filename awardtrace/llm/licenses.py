@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from awardtrace.llm.common import documents, lower_ascii, quoted, text_or_empty
-from awardtrace.llm.spans import spans
+from awardtrace.llm.spans import before, let, spans
 
 #: Fixed phrases and their labels.
 PHRASES = {"cc by": "cc-by", "general public license": "gpl", "all rights reserved": "reserved"}
@@ -143,21 +143,24 @@ _SPAN = "struct<start:int,end:int,label:string,priority:int>"
 
 def phrase_places(words: Column) -> Column:
     """Places (at, label) where the words of a fixed phrase stand consecutively."""
-    def label(word: Column, at: Column) -> Column:
-        found = F.lit(None).cast("string")
-        for phrase, name in PHRASES.items():
-            parts = phrase.split(" ")
-            fits = word == parts[0]
-            for i, part in enumerate(parts[1:], 1):
-                fits = fits & (F.get(words, at + i) == part)
-            found = F.when(fits, name).otherwise(found)
-        return F.struct(at.cast("long").alias("at"), found.alias("label"))
+    def places(words: Column) -> Column:
+        def label(word: Column, at: Column) -> Column:
+            found = F.lit(None).cast("string")
+            for phrase, name in PHRASES.items():
+                parts = phrase.split(" ")
+                fits = word == parts[0]
+                for i, part in enumerate(parts[1:], 1):
+                    fits = fits & (F.get(words, at + i) == part)
+                found = F.when(fits, name).otherwise(found)
+            return F.struct(at.cast("long").alias("at"), found.alias("label"))
 
-    return F.filter(F.transform(words, label), lambda p: p["label"].isNotNull())
+        return F.filter(F.transform(words, label), lambda p: p["label"].isNotNull())
+
+    return let(words, places)
 
 
 def detections(text: Column) -> Column:
-    """All matches of the rules whose keyword the text holds; one scan finds the keywords."""
+    """All matches of the rules whose keyword the text holds, some twice; one scan finds the keywords."""
     by_keyword: dict[str, list[Column]] = {}
     for keyword, label, priority, pattern in rules():
         by_keyword.setdefault(keyword, []).append(
@@ -170,31 +173,35 @@ def detections(text: Column) -> Column:
                         lambda k: F.regexp_replace(k, r"\s", " "))
     held = F.array_distinct(F.flatten(F.transform(F.array_distinct(words), lambda k: F.element_at(inside, k))))
     asked = F.flatten(F.transform(held, lambda k: F.element_at(table, k)))
-    found = F.flatten(F.transform(asked, lambda r: F.transform(spans(text, r["pattern"]), lambda s: F.struct(
+    return F.flatten(F.transform(asked, lambda r: F.transform(spans(text, r["pattern"]), lambda s: F.struct(
         s["start"].alias("start"), s["end"].alias("end"), r["label"].alias("label"), r["priority"].alias("priority")))))
-    return F.array_distinct(found)
 
 
 def kept(found: Column) -> Column:
     """Detections that lie in no other one of the same or a higher priority.
 
-    They are passed once in the order of start, the longer first, then the higher
-    priority; for each priority only the furthest end so far has to be known. Of
-    equal places with equal priority the first label stays.
+    In the order of start, the longer first, then the higher priority, one lies in an
+    earlier one if the furthest end before it, of its priority or higher, is not before its
+    own. Of equal places with equal priority the first label stays.
     """
     order = F.array_sort(F.transform(found, lambda s: F.struct(
         s["start"].alias("start"), (-s["end"]).alias("back"), (-s["priority"]).alias("low"), s["label"].alias("label"))))
 
-    def step(done: Column, s: Column) -> Column:
-        end, priority = -s["back"], -s["low"]
-        covered = F.exists(F.slice(done["ends"], priority, 5), lambda e: e >= end)
-        ends = F.transform(done["ends"], lambda e, i: F.when(i == priority - 1, F.greatest(e, end)).otherwise(e))
-        own = F.array(F.struct(s["start"].alias("start"), end.alias("end"), s["label"].alias("label"), priority.alias("priority")))
-        return F.struct(ends.alias("ends"), F.when(covered, done["kept"]).otherwise(
-            F.concat(done["kept"], own)).alias("kept"))
+    def apart(rows: Column) -> Column:
+        def furthest(priority: int) -> Column:
+            own = F.transform(rows, lambda s: F.when(-s["low"] >= priority, -s["back"]).otherwise(-1))
+            return let(own, lambda ends: before(ends, -1, F.greatest))
+
+        def by_priority(ends: Column) -> Column:
+            stays = F.transform(rows, lambda s, i: F.struct(
+                s["start"].alias("start"), (-s["back"]).alias("end"), s["label"].alias("label"), (-s["low"]).alias("priority"),
+                (F.get(F.get(ends, -s["low"] - 1), i) < -s["back"]).alias("stays")))
+            return F.transform(F.filter(stays, lambda s: s["stays"]), lambda s: F.struct(
+                s["start"].alias("start"), s["end"].alias("end"), s["label"].alias("label"), s["priority"].alias("priority")))
+
+        return let(F.array(*[furthest(p) for p in range(1, 6)]), by_priority)
 
-    nothing = F.struct(F.array(*[F.lit(-1)] * 5).alias("ends"), F.array().cast(f"array<{_SPAN}>").alias("kept"))
-    return F.aggregate(order, nothing, step, lambda done: done["kept"])
+    return let(order, lambda rows: F.when(F.size(rows) > 0, apart(rows)).otherwise(F.array().cast(f"array<{_SPAN}>")))
 
 
 def scan(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
@@ -202,7 +209,8 @@ def scan(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
 
     ``places`` are those of the fixed phrases, ``found`` the detections that stay. The
     score is that of the strongest evidence: its priority in fifths, a fixed phrase
-    counting 3. A null text counts as empty. An empty table gives no rows.
+    counting 3. A null text counts as empty; a very long one takes time in proportion to its
+    length and matches. An empty table gives no rows.
     """
     body = text_or_empty(text)
     rows = docs.select(quoted(key).alias("_key"), body.alias("_text"))

@@ -2,10 +2,13 @@ from __future__ import annotations
 
 import random
 import re
+import time
 from collections import defaultdict
 
+import duckdb
+
 from awardtrace.llm import licenses
-from awardtrace.llm.licenses import PHRASES, rules, scan
+from awardtrace.llm.licenses import PHRASES, op3_license_scans, rules, scan
 from tests.llm.cases import documents, empty, texts
 
 ROWS = texts() + [
@@ -113,3 +116,41 @@ def test_every_rule_passes_both_gates():
             assert gate.search(text), (pattern, text)
             assert any(o in h for h in held for o in own), (pattern, text)
         assert matched, pattern
+
+
+def test_very_many_matches_in_one_text(spark):
+    """Places and detections of a text with 100,000 of them, in time that grows with their number."""
+    unit = "MIT License, all rights reserved; all all Copyright 2021 x "
+    rows = [(1, unit * 25_000), (2, "cc by " * 100_000), (3, unit)]
+    begin = time.time()
+    got = {r.doc_id: r for r in scan(documents(spark, rows)).collect()}
+    assert time.time() - begin < 60
+    one = [tuple(s) for s in got[3].found]
+    assert [tuple(s) for s in got[1].found] == [(a + i * len(unit), b + i * len(unit), *rest) for i in range(25_000) for a, b, *rest in one]
+    assert len(got[1].found) == 75_000 and len(got[1].places) == 25_000 and len(got[2].places) == 100_000
+
+
+BASE_SQL = r"""
+WITH w AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                    '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
+p AS (
+  SELECT doc_id, len(w) AS n_words, list_filter(range(1, len(w) + 1), lambda i: w[i:i + 1] = ['cc', 'by']) AS cc,
+         list_filter(range(1, len(w) + 1), lambda i: w[i:i + 2] = ['general', 'public', 'license']) AS gpl,
+         list_filter(range(1, len(w) + 1), lambda i: w[i:i + 2] = ['all', 'rights', 'reserved']) AS kept FROM w)
+SELECT doc_id, n_words, len(cc) + len(gpl) + len(kept) AS n_base, list_min(cc || gpl || kept) - 1 AS first_word,
+       list_max(cc || gpl || kept) - 1 AS last_word, array_to_string(list_filter([CASE WHEN len(cc) > 0 THEN 'cc-by' END,
+         CASE WHEN len(gpl) > 0 THEN 'gpl' END, CASE WHEN len(kept) > 0 THEN 'reserved' END], lambda x: x IS NOT NULL), ',') AS base_labels
+FROM p
+"""
+
+
+def test_base_columns_against_sql(spark):
+    """The columns that do not depend on the method, on a driver table."""
+    sf = "/root/testdata/sf0.01"
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{sf}/documents.parquet'")
+    want = sorted(con.execute(BASE_SQL).fetchall())
+    columns = ["doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels"]
+    got = sorted(tuple(r) for r in op3_license_scans(spark, sf).select(*columns).collect())
+    assert got == want and sum(r[2] for r in want) > 10
