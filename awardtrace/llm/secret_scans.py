@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from awardtrace.llm.common import documents, quoted, stage, text_or_empty
-from awardtrace.llm.spans import spans_if
+from awardtrace.llm.spans import before, let, spans_if
 from awardtrace.operators.joins import skew_join
 
 #: Fixed kinds, in the order of ties. Runs of the last two are as long as they can be, so the least length may be
@@ -34,10 +34,11 @@ FORMS = {
 }
 DISTINCT = 10
 KINDS = ["assign", "access", "hex", *FORMS]
-#: From so many owners a value is a copied example.
-COPIED_OWNERS = 3
+#: From so many owners on a value is a copied example, and from so many repositories for each of its owners.
+COPIED_OWNERS, COPIED_REPOSITORIES = 3, 3
 
 _ANY_FORM = "|".join(FORMS.values())
+_LABELLED = "struct<start:int,order:int,end:int,kind:string,hash:string>"
 
 
 def _kind(value: Column) -> Column:
@@ -67,6 +68,26 @@ def _joined(found: Column) -> Column:
         ":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ",")
 
 
+def _apart(extra: Column, base: Column) -> Column:
+    """The spans that overlap no base span, in order.
+
+    Base spans by start and others by end in one order: a span overlaps a base one if any
+    of these that begins before its end reaches beyond its start.
+    """
+    none = F.lit(None).cast(_LABELLED)
+    merged = F.array_sort(F.concat(
+        F.transform(base, lambda b: F.struct(b["start"].alias("at"), F.lit(1).alias("base"), b["end"].alias("reach"), none.alias("span"))),
+        F.transform(extra, lambda e: F.struct(e["end"].alias("at"), F.lit(0).alias("base"), F.lit(-1).alias("reach"), e.alias("span")))))
+
+    def free(rows: Column) -> Column:
+        reach = let(F.transform(rows, lambda r: r["reach"]), lambda own: before(own, -1, F.greatest))
+        judged = F.zip_with(rows, reach, lambda r, far: F.struct(
+            r["span"].alias("span"), ((r["base"] == 0) & (far <= r["span"]["start"])).alias("free")))
+        return F.transform(F.filter(judged, lambda r: r["free"]), lambda r: r["span"])
+
+    return let(merged, free)
+
+
 def candidates(docs: DataFrame, text: str, key: str, owner: str, repository: str) -> DataFrame:
     """One row per document: ``_row``, the key, owner, repository, and arrays ``base`` and ``extra`` of spans."""
     body = F.col("_text")
@@ -78,13 +99,13 @@ def candidates(docs: DataFrame, text: str, key: str, owner: str, repository: str
                                  _labelled(hexes, F.lit("hex"))))
     forms = F.filter(spans_if(body.rlike(_ANY_FORM), body, _ANY_FORM),
                      lambda s: (_kind(s["value"]) != "opaque") | _mixed(s["value"]))
-    apart = F.filter(_labelled(forms, None), lambda e: ~F.exists("base", lambda b: (
-        (b["start"] < e["end"]) & (e["start"] < b["end"]))))
+    apart = F.when(F.size("forms") > 0, _apart(_labelled(F.col("forms"), None), F.col("base"))).otherwise(
+        F.expr("slice(base, 1, 0)"))
     name = F.coalesce(F.concat(F.lit("="), quoted(owner).cast("string")), F.lit(""))
     place = F.coalesce(F.concat(F.lit("="), quoted(repository).cast("string")), F.lit(""))
     rows = docs.select(quoted(key).alias("_key"), name.alias("_owner"), place.alias("_repository"),
                        text_or_empty(text).alias("_text"))
-    return (rows.withColumn("base", base).withColumn("extra", apart).drop("_text")
+    return (rows.withColumn("base", base).withColumn("forms", forms).withColumn("extra", apart).drop("_text", "forms")
             .withColumn("_row", F.monotonically_increasing_id()))
 
 
@@ -101,25 +122,22 @@ def ownership(found: DataFrame) -> DataFrame:
 
 def scan(docs: DataFrame, text: str = "text", key: str = "doc_id", owner: str = "source",
          repository: str = "lang", copied_owners: int = COPIED_OWNERS,
-         copied_repositories: float | None = None) -> DataFrame:
+         copied_repositories: float = COPIED_REPOSITORIES) -> DataFrame:
     """``key, base, spans, n_live, n_copied, holders`` for every row of ``docs``.
 
-    A value is live if fewer than ``copied_owners`` hold it and, if that is given, these
-    hold it in fewer than ``copied_repositories`` repositories each on average. The query
-    leaves the latter out: its SQL counts owners alone. ``holders`` has (start, order,
+    A value is live if fewer than ``copied_owners`` hold it, and these in fewer than
+    ``copied_repositories`` repositories each on average. ``holders`` has (start, order,
     owners, repositories) of all spans, base ones and others, in order.
 
     ``base`` and ``spans`` are arrays of (start, order, end, kind, hash) in order. A
-    null text counts as empty; null owners or repositories are one of their own. An
-    empty table gives no rows.
+    null text counts as empty; a very long one takes time in proportion to its length and
+    matches; null owners or repositories are one of their own. An empty table gives no rows.
     """
     rows = stage(candidates(docs, text, key, owner, repository), "secret-candidates")
     found = rows.select("_row", "_owner", "_repository", F.explode(F.concat("base", "extra")).alias("_span"))
     found = found.withColumn("hash", F.col("_span.hash"))
     known = skew_join(found.select("_row", "_span", "hash"), ownership(found), ["hash"])
-    live = F.col("owners") < copied_owners
-    if copied_repositories is not None:
-        live = live & (F.col("repositories") < F.col("owners") * copied_repositories)
+    live = (F.col("owners") < copied_owners) & (F.col("repositories") < F.col("owners") * copied_repositories)
     is_base = F.col("_span.order") <= 3
     judged = known.groupBy("_row").agg(  # bounded by the spans of one document
         F.array_sort(F.collect_list(F.when(live | is_base, F.col("_span")))).alias("spans"),
@@ -171,7 +189,10 @@ fit AS (
 apart AS (
   SELECT * FROM fit AS f WHERE k <= 3 OR NOT EXISTS (
     SELECT 1 FROM fit AS b WHERE b.r = f.r AND b.k <= 3 AND b.s < f.e AND f.s < b.e)),
-owners AS (SELECT h, count(DISTINCT coalesce('=' || source, '')) < {COPIED_OWNERS} AS live FROM apart GROUP BY h),
+owners AS (
+  SELECT h, owners < {COPIED_OWNERS} AND repositories < owners * {COPIED_REPOSITORIES} AS live FROM (
+    SELECT h, count(DISTINCT coalesce('=' || source, '')) AS owners,
+           count(DISTINCT (coalesce('=' || source, ''), coalesce('=' || lang, ''))) AS repositories FROM apart GROUP BY h)),
 sums AS (
   SELECT r, count(*) FILTER (kind = 'assign') AS n_assign, count(*) FILTER (kind = 'access') AS n_access,
          count(*) FILTER (kind = 'hex') AS n_hex,
