@@ -4,12 +4,14 @@ Texts are dealt out by sampled splitters over the start of their normalised byte
 and sorted within each range, so equal texts stand next to one another; the window
 then compares whole neighbouring texts to find where a group ends. Starts and texts
 that repeat often in a sample are hot: rows with a hot start are dealt by their
-whole text, rows of a hot text over salts, and the heads of those salts, whose
-number has a fixed bound, are merged at the end.
+whole text, rows of a hot text over salts, and the heads of those salts are merged at
+the end. A text gets salts by its share of the sample and the number of partitions.
 """
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -19,7 +21,8 @@ from awardtrace.llm.common import SPACES, documents, quoted, stage, text_or_empt
 #: task a row goes to, never what comes out.
 SAMPLE_ROWS = 20_000
 HOT_SHARE = 0.002
-SALTS = 64
+#: Salts of a hot text for each partition that its share of the rows would fill.
+SALTS_A_PARTITION = 2
 START = 48
 
 
@@ -38,17 +41,23 @@ def _sha(text: Column) -> Column:
     return F.sha2(normalised(text), 256)
 
 
-def _hot(texts: DataFrame) -> tuple[list[str], list[str]]:
-    """Hot starts, and hot texts by SHA-256: at most 1 / HOT_SHARE of each."""
+def _hot(texts: DataFrame) -> tuple[list[str], dict[str, float]]:
+    """Hot starts, and hot texts by SHA-256 with their share of the sample: at most 1 / HOT_SHARE of each."""
     total = texts.count()
     drawn = texts.sample(fraction=min(1.0, SAMPLE_ROWS / max(total, 1)), seed=7)
     least = max(8, int(HOT_SHARE * min(total, SAMPLE_ROWS)))
     counts = (drawn.select(_start(F.col("_text")).alias("start"), _sha(F.col("_text")).alias("sha"))
               .groupBy("start", "sha").agg(F.count("*").alias("n")))
     by_start = counts.groupBy("start").agg(
-        F.sum("n").alias("rows"), F.collect_list(F.when(F.col("n") >= least, F.col("sha"))).alias("texts"))
+        F.sum("n").alias("rows"), F.collect_list(F.when(F.col("n") >= least, F.struct("sha", "n"))).alias("texts"))
     rows = by_start.where(F.col("rows") >= least).collect()
-    return [r.start for r in rows], [sha for r in rows for sha in r.texts]
+    drawn_rows = max(1, min(total, SAMPLE_ROWS))
+    return [r.start for r in rows], {t.sha: min(1.0, t.n / drawn_rows) for r in rows for t in r.texts}
+
+
+def _salts(shares: dict[str, float], partitions: int) -> dict[str, int]:
+    """How many salts each hot text gets: a salt is the smallest part that can go to another task."""
+    return {sha: math.ceil(share * partitions * SALTS_A_PARTITION) for sha, share in shares.items()}
 
 
 def sorted_copies(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
@@ -58,7 +67,7 @@ def sorted_copies(docs: DataFrame, text: str = "text", key: str = "doc_id") -> D
     ``text_sha256``; ``docs`` is nested under ``row``, so no name can clash. Of equal
     texts the row with the most code points stays, then the smallest key (null last);
     of rows equal in both, exactly one. A null text counts as empty, and all empty
-    texts are one group. An empty table gives no rows.
+    texts are one group; very long texts are compared whole. An empty table gives no rows.
     """
     rows = docs.select(F.struct(*[quoted(c) for c in docs.columns]).alias("row"),
                        text_or_empty(text).alias("_text"), quoted(key).alias("_key"))
@@ -67,11 +76,16 @@ def sorted_copies(docs: DataFrame, text: str = "text", key: str = "doc_id") -> D
     salt = F.lit(0).cast("long")
     hot = F.lit(False)
     if starts:
-        spread = F.pmod(F.xxhash64("_key"), F.lit(SALTS)).cast("long")
         by_text = F.crc32(normalised(body))
-        hot_text = _sha(body).isin(texts) if texts else F.lit(False)
         in_start = F.col("_start").isin(starts)
-        salt = F.when(in_start, F.when(hot_text, -1 - spread).otherwise(by_text)).otherwise(salt)
+        if texts:
+            partitions = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+            salts = _salts(texts, partitions)
+            own = F.try_element_at(F.create_map(*[F.lit(x) for pair in salts.items() for x in pair]), _sha(body))
+            # By place, not by key: rows may be alike in that too.
+            spread = F.pmod(F.xxhash64(F.monotonically_increasing_id()), own).cast("long")
+            by_text = F.coalesce(-1 - spread, by_text)
+        salt = F.when(in_start, by_text).otherwise(salt)
         hot = F.col("_salt") < 0
     dealt = (rows.withColumn("_start", _start(body)).withColumn("_salt", salt)
              .repartitionByRange("_start", "_salt").withColumn("_norm", normalised(body))
@@ -89,7 +103,7 @@ def sorted_copies(docs: DataFrame, text: str = "text", key: str = "doc_id") -> D
     order = F.struct(-F.col("_chars"), F.col("_key").isNull(), F.col("_key"), F.col("_salt"))
     merged = (grouped.where(hot & (F.col("_place") == 1)).groupBy("text_sha256")
               .agg(F.min(order).alias("_best"), F.sum("group_size").alias("_size")))
-    # At most 1 / HOT_SHARE rows, so small at any size of the input.
+    # At most 1 / HOT_SHARE rows, so small at any size of the input; before it a row for each salt at most.
     joined = grouped.join(F.broadcast(merged), "text_sha256", "left")
     is_hot = F.col("_best").isNotNull()
     return joined.select(

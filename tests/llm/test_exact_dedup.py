@@ -36,7 +36,7 @@ def test_hot_texts_and_starts_give_the_same(spark, monkeypatch):
     starts, hot = exact_dedup._hot(docs.selectExpr("text AS _text"))
     assert len(starts) == 2 and len(hot) >= 1
     with_salts = sorted(map(key, exact_dedup.sorted_copies(docs).select(*order).collect()))
-    monkeypatch.setattr(exact_dedup, "_hot", lambda texts: ([], []))
+    monkeypatch.setattr(exact_dedup, "_hot", lambda texts: ([], {}))
     assert sorted(map(key, exact_dedup.sorted_copies(docs).select(*order).collect())) == with_salts
 
 
@@ -45,3 +45,14 @@ def test_dedup_keeps_columns_and_empty_tables(spark):
     assert kept.schema.fieldNames() == SCHEMA.fieldNames()
     assert exact_dedup.dedup(empty(spark)).count() == 0
     assert exact_dedup.sorted_copies(empty(spark)).count() == 0
+
+
+def test_salts_grow_with_share_and_partitions(spark):
+    assert exact_dedup._salts({"a": 0.5, "b": 0.002}, 200) == {"a": 200, "b": 1}
+    rows = [(1, "the one text")] * 900 + [(i, f"other {i}") for i in range(300)]  # alike in the key too
+    docs = documents(spark, rows)
+    _, hot = exact_dedup._hot(docs.selectExpr("text AS _text"))
+    assert [round(s, 2) for s in hot.values()] == [0.75]
+    got = exact_dedup.sorted_copies(docs).groupBy("group_size").agg({"kept": "max", "*": "count"}).collect()
+    assert sorted((r.group_size, r["count(1)"]) for r in got) == [(1, 300), (900, 900)]
+    assert exact_dedup.sorted_copies(docs).where("kept AND group_size = 900").count() == 1
