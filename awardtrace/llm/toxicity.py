@@ -52,13 +52,23 @@ def _windows(n_words: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _new(ids: np.ndarray) -> np.ndarray:
-    """Whether a word does not stand among the WINDOW - 1 words before it; a repeated word counts once in a window."""
+    """Whether a word does not stand among the WINDOW - 1 words before it; a repeated one adds nothing.
+
+    This goes by distance, so in a window that begins between a word and its repetition
+    neither counts, though the repetition is one of the words that the sum is divided by.
+    """
     order = np.argsort(ids, kind="stable")
     near = np.zeros(len(ids), dtype=bool)
     near[order[1:]] = (ids[order[1:]] == ids[order[:-1]]) & (np.diff(order) < WINDOW)
     return ~near
 
 
+def _means(values: np.ndarray, new: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """For each window the sum of its words that count over the number of its words."""
+    total = np.r_[0.0, np.cumsum(values * new)]
+    return (total[ends] - total[starts]) / (ends - starts)
+
+
 @dataclass
 class Model:
     """What scoring needs of embeddings and softmax: the difference of the two logits by bucket, and at the start."""
@@ -81,10 +91,8 @@ class Model:
         for w in own:
             if w not in known:
                 known[w] = self.word(w)
-        values = np.array([known[w] for w in own])[ids] * _new(ids)
-        total = np.concatenate(([0.0], np.cumsum(values)))
-        starts, ends = _windows(len(words))
-        return float(((total[ends] - total[starts]) / (ends - starts)).max()) * self.scale + self.bias
+        values = np.array([known[w] for w in own])[ids]
+        return float(_means(values, _new(ids), *_windows(len(words))).max()) * self.scale + self.bias
 
 
 def fit(texts: list[str], labels: list[int], prior: float, seed: int = 11) -> Model:
@@ -119,68 +127,84 @@ def _scaled(model: Model, logits: np.ndarray, y: np.ndarray, share: float) -> Mo
     return Model(model.by_bucket, model.bias * scale + float(at[1]), scale)
 
 
+class Bags:
+    """Labelled texts as flat arrays: words, windows, and the buckets of every different word."""
+
+    def __init__(self, rows: list[tuple[str, int]]):
+        self.y = np.array([y for _, y in rows], dtype=np.float64)
+        vocabulary: dict[str, int] = {}
+        tokens, new, first, starts, ends, of_text, distinct, distinct_of = [], [], 0, [], [], [], [], []
+        for i, (text, _) in enumerate(rows):
+            ids = np.array([vocabulary.setdefault(w, len(vocabulary)) for w in text.lower().split()], dtype=np.int32)
+            s, e = _windows(len(ids))
+            tokens.append(ids)
+            new.append(_new(ids))
+            starts.append(s + first)
+            ends.append(e + first)
+            of_text.append(np.full(len(s), i, dtype=np.int32))
+            distinct.append(np.unique(ids))
+            distinct_of.append(np.full(len(distinct[-1]), i, dtype=np.int32))
+            first += len(ids)
+        self.tokens, self.new, self.starts, self.ends, self.of_text, self.distinct, self.distinct_of = map(
+            np.concatenate, (tokens, new, starts, ends, of_text, distinct, distinct_of))
+        self.first_window = np.flatnonzero(np.r_[True, self.of_text[1:] != self.of_text[:-1]])
+        self.per_text = np.bincount(self.distinct_of, minlength=len(self.y))
+        flat, sizes = array("i"), array("i")  # a list of numbers would take ten times the memory
+        for w in vocabulary:
+            own = subwords(w)
+            flat.extend(own)
+            sizes.append(len(own))
+        self.grams, self.sizes = np.frombuffer(flat, dtype=np.int32), np.frombuffer(sizes, dtype=np.int32)
+        self.gram_at = np.r_[0, np.cumsum(self.sizes)]
+        # The classes weigh alike.
+        self.weight = np.where(self.y == 1, 0.5 / (self.y == 1).sum(), 0.5 / (self.y == 0).sum()) * len(self.y)
+
+    def loss(self, embeddings: np.ndarray, softmax: np.ndarray, bias: np.ndarray,
+             warm: bool) -> tuple[float, tuple[np.ndarray, ...]]:
+        """The mean weighted loss with the decay of the embeddings, and its gradients.
+
+        While ``warm`` a text counts by the mean of its different words, then by its worst window.
+        """
+        texts = len(self.y)
+        way = softmax[:, 1] - softmax[:, 0]
+        by_word = np.add.reduceat((embeddings @ way)[self.grams], self.gram_at[:-1]) / self.sizes
+        if warm:
+            used, used_of = self.distinct, self.distinct_of
+            part = (8 / self.per_text)[used_of]
+            value = np.bincount(used_of, by_word[used] * part, texts)
+        else:
+            means = _means(by_word[self.tokens], self.new, self.starts, self.ends)
+            value = np.maximum.reduceat(means, self.first_window)
+            worst = np.flatnonzero(means == value[self.of_text])
+            worst = worst[np.r_[True, self.of_text[worst][1:] != self.of_text[worst][:-1]]]  # one window of each text
+            length = self.ends[worst] - self.starts[worst]
+            place = np.repeat(self.starts[worst] - np.cumsum(length) + length, length) + np.arange(length.sum())
+            used, used_of = self.tokens[place], np.repeat(np.arange(texts), length)
+            part = (1 / length)[used_of] * self.new[place]
+        logit = np.clip(value + bias[1] - bias[0], -40, 40)
+        probability = 1 / (1 + np.exp(-logit))
+        off = (probability - self.y) * self.weight  # gradient of a text's loss by the difference of the logits
+        # Through the words to the buckets: how much each bucket counts in the difference.
+        by_vocabulary = np.bincount(used, part * off[used_of], len(self.sizes)) / self.sizes
+        by_bucket = np.bincount(self.grams, np.repeat(by_vocabulary, self.sizes), len(embeddings)) / texts
+        gradient_way = by_bucket @ embeddings
+        gradients = (by_bucket[:, None] * way + DECAY / texts * embeddings, np.c_[-gradient_way, gradient_way],
+                     np.array([-off.mean(), off.mean()]))
+        surprise = np.logaddexp(0, np.where(self.y == 1, -logit, logit))
+        return float((surprise * self.weight).mean() + DECAY / texts / 2 * (embeddings ** 2).sum()), gradients
+
+
 def _train(rows: list[tuple[str, int]], share: float, seed: int) -> Model:
-    y = np.array([y for _, y in rows], dtype=np.float64)
-    if not len(y) or y.min() == y.max():
+    if len({y for _, y in rows}) < 2:
         return Model([0.0] * BUCKETS, float(np.log(share / (1 - share))))
-    vocabulary: dict[str, int] = {}
-    tokens, new, first, starts, ends, of_text, distinct, distinct_of = [], [], 0, [], [], [], [], []
-    for i, (text, _) in enumerate(rows):
-        ids = np.array([vocabulary.setdefault(w, len(vocabulary)) for w in text.lower().split()], dtype=np.int32)
-        s, e = _windows(len(ids))
-        tokens.append(ids)
-        new.append(_new(ids))
-        starts.append(s + first)
-        ends.append(e + first)
-        of_text.append(np.full(len(s), i, dtype=np.int32))
-        distinct.append(np.unique(ids))
-        distinct_of.append(np.full(len(distinct[-1]), i, dtype=np.int32))
-        first += len(ids)
-    tokens, new, starts, ends, of_text, distinct, distinct_of = map(
-        np.concatenate, (tokens, new, starts, ends, of_text, distinct, distinct_of))
-    first_window = np.flatnonzero(np.r_[True, of_text[1:] != of_text[:-1]])
-    per_text = np.bincount(distinct_of, minlength=len(y))
-    flat, sizes = array("i"), array("i")  # a list of numbers would take ten times the memory
-    for w in vocabulary:
-        own = subwords(w)
-        flat.extend(own)
-        sizes.append(len(own))
-    grams, sizes = np.frombuffer(flat, dtype=np.int32), np.frombuffer(sizes, dtype=np.int32)
-    gram_at = np.r_[0, np.cumsum(sizes)]
-    del vocabulary
-
+    bags = Bags(rows)
     draw = np.random.default_rng(seed)
     embeddings = draw.normal(0, 0.1, (BUCKETS, DIMENSIONS))
     softmax = np.c_[-np.ones(DIMENSIONS), np.ones(DIMENSIONS)] * draw.normal(0, 0.5, (DIMENSIONS, 1))
     bias = np.zeros(2)
     moments = [[np.zeros_like(p), np.zeros_like(p)] for p in (embeddings, softmax, bias)]
-    weight = np.where(y == 1, 0.5 / (y == 1).sum(), 0.5 / (y == 0).sum())
-
     for step in range(1, WARM_STEPS + STEPS + 1):
-        way = softmax[:, 1] - softmax[:, 0]
-        by_word = np.add.reduceat((embeddings @ way)[grams], gram_at[:-1]) / sizes
-        if step <= WARM_STEPS:
-            value = np.bincount(distinct_of, by_word[distinct], len(y)) / per_text * 8
-            used, used_of = distinct, distinct_of
-            part = (8 / per_text)[distinct_of]
-        else:
-            total = np.r_[0.0, np.cumsum(by_word[tokens] * new)]
-            means = (total[ends] - total[starts]) / (ends - starts)
-            value = np.maximum.reduceat(means, first_window)
-            worst = np.flatnonzero(means == value[of_text])
-            worst = worst[np.r_[True, of_text[worst][1:] != of_text[worst][:-1]]]  # one window of each text
-            length = ends[worst] - starts[worst]
-            place = np.repeat(starts[worst] - np.r_[0, np.cumsum(length)[:-1]], length) + np.arange(length.sum())
-            used, used_of = tokens[place], np.repeat(np.arange(len(y)), length)
-            part = (1 / length)[used_of] * new[place]
-        probability = 1 / (1 + np.exp(-np.clip(value + bias[1] - bias[0], -40, 40)))
-        off = (probability - y) * weight * len(y)  # gradient of the loss by the difference of the logits
-        # Through the words to the buckets: how much each bucket counts in the difference.
-        by_vocabulary = np.bincount(used, part * off[used_of], len(sizes)) / sizes
-        by_bucket = np.bincount(grams, np.repeat(by_vocabulary, sizes), BUCKETS) / len(y)
-        gradient_way = by_bucket @ embeddings
-        gradients = (by_bucket[:, None] * way + DECAY / len(y) * embeddings, np.c_[-gradient_way, gradient_way] / 2,
-                     np.array([-off.mean(), off.mean()]) / 2)
+        _, gradients = bags.loss(embeddings, softmax, bias, step <= WARM_STEPS)
         for p, g, (m, v) in zip((embeddings, softmax, bias), gradients, moments):
             m += 0.1 * (g - m)
             v += 0.01 * (g * g - v)
@@ -216,7 +240,9 @@ def train(docs: DataFrame, labels: DataFrame, text: str = "text", key: str = "do
 def scored(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
     """All rows and columns of ``docs`` nested under ``row``, with ``score`` (0 to 1) and ``predicted``.
 
-    Null and empty texts get the score of a text without words, the share of label 1.
+    Null and empty texts get the score of a text without words, the share of label 1; a
+    very long one is read whole, in time and memory that grow with it. Rows that repeat get
+    the same score. An empty table gives no rows.
     """
     @F.pandas_udf("double")
     def score(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:

@@ -3,10 +3,11 @@ from __future__ import annotations
 import random
 import zlib
 
+import numpy as np
 import pytest
 
 from awardtrace.llm import toxicity
-from awardtrace.llm.toxicity import fit, not_toxic, scored, train
+from awardtrace.llm.toxicity import Bags, Model, fit, not_toxic, scored, subwords, train
 from tests.llm.cases import SCHEMA, documents, empty, prose
 
 INSULTS = ["blockhead", "nincompoop", "dunderhead", "scoundrel", "pillock"]
@@ -74,3 +75,41 @@ def test_fit_gets_3000_rows_of_a_class(spark, monkeypatch):
     train(docs, docs.selectExpr("doc_id", "cast(doc_id < 1000 AS int) AS toxic"))
     toxic = sum(zlib.crc32(str(i).encode()) % 5 != 0 for i in range(1000))
     assert seen == [(3000 + toxic, toxic)]
+
+
+def _brute_logit(model, words):
+    """Window by window, words that do not stand among the seven before them, over the number of all its words."""
+    mean = lambda w: sum(model.by_bucket[b] for b in subwords(w)) / len(subwords(w))
+    counts = [w not in words[max(i - 7, 0):i] for i, w in enumerate(words)]
+    starts = [s for s in range(0, max(len(words) - 8, 0) + 4, 4) if s < len(words)]
+    sums = [sum(mean(w) for w, c in zip(words[s:s + 8], counts[s:s + 8]) if c) / len(words[s:s + 8]) for s in starts]
+    return max(sums) * model.scale + model.bias
+
+
+def test_score_against_brute_force(spark):
+    draw = random.Random(7)
+    model = Model([draw.gauss(0, 1) for _ in range(toxicity.BUCKETS)], -0.3, 0.7)
+    texts = [" ".join(draw.choices(["ab", "cde", "f", "abc", "Xy!"], k=n)) for n in [*range(1, 40), 500, 60_000]]
+    texts += ["0 1 2 bad 4 5 bad 7 8 worse 10 11"] * 2
+    got = {r.text: r.score for r in scored(documents(spark, list(enumerate(texts))), model).select("row.text", "score").collect()}
+    for text in texts:
+        want = 1 / (1 + np.exp(-_brute_logit(model, text.lower().split())))
+        assert abs(got[text] - want) < 1e-9, text[:60]
+
+
+@pytest.mark.parametrize("warm", [True, False])
+def test_gradient_against_differences(monkeypatch, warm):
+    monkeypatch.setattr(toxicity, "BUCKETS", 50)
+    draw, rng = random.Random(8), np.random.default_rng(8)
+    rows = [(" ".join(draw.choices("ab cd ab efg h ij ij k".split(), k=draw.randrange(1, 30))), i % 3 == 0) for i in range(12)]
+    bags = Bags(rows)
+    parts = [rng.normal(0, 1, shape) for shape in ((50, 3), (3, 2), (2,))]
+    _, gradients = bags.loss(*parts, warm)
+    for p, g in zip(parts, gradients):
+        for at in list(np.ndindex(p.shape))[:40]:
+            losses = []
+            for d in (1e-6, -1e-6):
+                p[at] += d
+                losses.append(bags.loss(*parts, warm)[0])
+                p[at] -= d
+            assert abs((losses[0] - losses[1]) / 2e-6 - g[at]) < 1e-5
