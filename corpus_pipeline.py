@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from awardtrace.llm.common import documents, stage
+from awardtrace.llm.common import documents, drop, staging
 from awardtrace.llm.exact_dedup import dedup
 from awardtrace.llm.mixing import mixed
 from awardtrace.llm.ngram_join import one_of_each
@@ -33,10 +33,22 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return mixed(docs)
 
 
+def _free(name: str, columns: list[str]) -> str:
+    """The name, with underscores behind it as long as a column has it."""
+    taken = {c.lower() for c in columns}
+    while name in taken:
+        name += "_"
+    return name
+
+
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The documents with their sampled pieces, and whether these decode to the text."""
+    """The documents with their sampled pieces, and whether these decode to the text.
+
+    The columns ``pieces`` and ``lossless`` get another name where documents have such columns.
+    """
     lossless = F.col("decoded") == F.coalesce("row.text", F.lit(""))
-    return with_pieces(docs).select("row.*", "pieces", lossless.alias("lossless"))
+    return with_pieces(docs).select("row.*", F.col("pieces").alias(_free("pieces", docs.columns)),
+                                    lossless.alias(_free("lossless", docs.columns)))
 
 
 STAGES = [
@@ -52,8 +64,14 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The stages applied to ``documents``, each written as Parquet and read again as the next one's input."""
+    """The stages applied to ``documents``, each written as Parquet and read again as the next one's input.
+
+    What a stage has written besides, and its input, is removed once its result is there.
+    """
     docs = documents(spark, sf_dir)
     for number, (_, function) in enumerate(STAGES):
-        docs = stage(function(spark, docs, sf_dir), f"pipeline-{number}")
+        with staging(spark) as scope:
+            done = scope.keep(function(spark, docs, sf_dir), f"pipeline-{number}")
+        drop(docs)
+        docs = done
     return docs
