@@ -77,17 +77,17 @@ def _native_score(l: str, r: str) -> tuple[Column, Column]:
     return settled, F.greatest(containment, edit, common)
 
 
-def with_pair_features(df: DataFrame, left: str, right: str) -> DataFrame:
-    """Add the features of both ids (prefixes ``LEFT`` and ``RIGHT``), worked out once for each distinct id.
+def with_pair_features(df: DataFrame, left: str, right: str, names: list[str] = A.FEATURES) -> DataFrame:
+    """Add the named features of both ids (prefixes ``LEFT`` and ``RIGHT``), worked out once for each distinct id.
 
     The table of features is written to the staging folder when this is called. Where an id
     is null, so are its features.
     """
-    ids = df.select(F.col(left).alias("_pair_id")).unionByName(df.select(F.col(right).alias("_pair_id")))
-    features = A.with_features(ids.dropna().distinct(), "_pair_id", "_pair_")
-    features = stage(features, "award-features")
+    ids = df.select(F.explode(F.array(left, right)).alias("_pair_id")).dropna().distinct()
+    features = A.with_features(ids, "_pair_id", "_pair_")
+    features = stage(features.select("_pair_id", *[f"_pair_{c}" for c in names]), "award-features")
     for award, prefix in ((left, A.LEFT), (right, A.RIGHT)):
-        own = features.select(F.col("_pair_id").alias(award), *[F.col(f"_pair_{c}").alias(prefix + c) for c in A.FEATURES])
+        own = features.select(F.col("_pair_id").alias(award), *[F.col(f"_pair_{c}").alias(prefix + c) for c in names])
         df = skew_join(df, own, [award], "left")
     return df
 
@@ -112,11 +112,12 @@ def score_pairs(
         raise ValueError(f"unknown tiers: {sorted(unknown)}")
     l, r = A.LEFT, A.RIGHT
     kept = [c for c in df.columns if c not in A.FEATURE_COLUMNS]
+    fuzzy = "fuzzy" in tiers
+    segmented = fuzzy or "structured" in tiers or with_score
     if f"{l}norm" not in df.columns:
-        df = with_pair_features(df, left, right)
+        df = with_pair_features(df, left, right, A.FEATURES if segmented else ["trimmed", "norm"])
 
-    fuzzy = "fuzzy" in tiers
-    if fuzzy or "structured" in tiers or with_score:
+    if segmented:
         segs1, segs2 = F.col(f"{l}segs"), F.col(f"{r}segs")
         equal = F.col(f"{l}norm") == F.col(f"{r}norm")
         # Ids with equal text never get as far as the segment rules.

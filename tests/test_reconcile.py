@@ -276,8 +276,8 @@ def test_features_stand_above_the_distinct_of_ids(spark, monkeypatch):
     scored = pairs.score_pairs(rows, "a", "b", tiers=("structured",), with_score=False)
     assert scored.count() == 7
     name, plan = plans[0]
-    # A plan is printed from its top: below the union of both sides' ids nothing is normalised.
-    top, below = plan.split("Union", 1)
+    # A plan is printed from its top: below the step that takes both sides' ids nothing is normalised.
+    top, below = plan.split("Generate", 1)
     assert name == "award-features" and "Aggregate" in top and "[^A-Za-z0-9]" in top and "[^A-Za-z0-9]" not in below
     # The verdict reads the confidence, it does not work it out again.
     assert "zip_with" not in scored._jdf.queryExecution().optimizedPlan().toString()
