@@ -109,7 +109,9 @@ def mix(docs: DataFrame, text: str = "text", source: str = "source", key: str =
     The size of a row is its number of words (null text: 0). A row is taken
     ``repeats`` times; repeated keys have equal hashes and are taken alike, a null key
     hashes as empty text. A source without words gets a target of 0 and none of its
-    rows. An empty table gives no rows.
+    rows. A very long text is one row that is taken or not, so a source comes as near to
+    its target as whole rows let it. An empty table gives no rows. Some steps have a row
+    per source in one task: meant for sources by the thousand, not for one per host.
     """
     sized, rules = _rules(docs, text, source, key)
     return skew_join(sized, rules, [_SOURCE]).select(

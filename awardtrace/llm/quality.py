@@ -91,7 +91,8 @@ def rated(docs: DataFrame, text: str = "text") -> DataFrame:
     """All rows and columns of ``docs`` nested under ``row``, with the measures, ``base_failed`` and ``kept``.
 
     Shares are of the characters in words, from 0 to 1; repeated lines count from the
-    second on. A null or empty text has no words and fails. An empty table gives no rows.
+    second on. A null or empty text has no words and fails; a very long one is measured
+    whole, in time and memory that grow with it. An empty table gives no rows.
     """
     @F.pandas_udf(_FIELDS)
     def measured(texts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:

@@ -264,7 +264,8 @@ def with_pieces(docs: DataFrame, path: str | None = None, text: str = "text", ke
     """All rows and columns of ``docs`` nested under ``row``, with ``pieces`` and the text ``decoded`` from them.
 
     A null text counts as empty and has no pieces; a null key is a key of its own; rows
-    of equal text and key are cut alike. An empty table gives no rows.
+    of equal text and key are cut alike. A very long text is worked on whole, in memory that
+    grows with it. An empty table gives no rows.
     """
     coded, _ = codec(docs.sparkSession, path or default_path())
     row_key: Column = F.coalesce(F.concat(F.lit("="), quoted(key).cast("string")), F.lit(""))

@@ -57,7 +57,9 @@ def placed(docs: DataFrame, shards: int = SHARDS, text: str = "text", key: str =
     (null: none) plus 16. Equal texts stand together in the order and share a shard,
     unless the group is larger than 1/64 of a shard, which is then split where the
     bytes say. ``slot`` counts from 0 in each shard without gaps. Rows that are equal in
-    text and key are interchangeable. An empty table gives no rows.
+    text and key are interchangeable. A very long text is one row, so shards may differ
+    by its size. An empty table gives no rows. One task orders the leaf ranges: at most some
+    ``shards * TOLERANCE`` times 1,024 of them a level, whatever the size of the input.
     """
     body = text_or_empty(text)
     rows = docs.select(

@@ -137,7 +137,8 @@ def judge(pages: DataFrame, rules: Sequence[tuple[str, str, str]] = RULES, url:
 
     A url that is null or has no ``://`` has an empty host and path, no rule and no
     trust or distrust; such pages, and those no seed reaches, are allowed. A null html
-    has no links. An empty table gives no rows.
+    has no links; a very long one is searched whole. Pages that repeat count again, as seeds
+    and as links. An empty table gives no rows.
     """
     host, path = host_of(quoted(url)), path_of(quoted(url))
     parsed = pages.select(quoted(key).alias("_key"), host.alias("host"), path.alias("path"), quoted(html).alias("_html"))
