@@ -272,7 +272,7 @@ ALL = {
                CASE WHEN exact THEN 'exact' WHEN id2 IS NOT NULL THEN 'substring' END AS match_type
         FROM unmatched u LEFT JOIN best b ON award_id = id1 AND u.funder = b.funder""",
     "consolidated": """
-        SELECT funder, coalesce(match_type, 'no_match') AS match_type, NULL AS has_award_overlap,
+        SELECT funder, coalesce(match_type, 'no_match') AS match_type, CAST(NULL AS BOOLEAN) AS has_award_overlap,
                CASE WHEN match_type IS NULL THEN 'award_differs' ELSE 'matched' END AS category FROM compared
         UNION ALL SELECT funder, NULL, NULL, 'absent_from_corpus' FROM absent
         UNION ALL SELECT funder, match_type, has_award_overlap, 'corpus_only' FROM corpus_only""",
