@@ -10,6 +10,7 @@ import json
 import os
 import time
 
+from awardtrace.sources.tables import clear_staging
 from checks.registry import QUERIES
 from checks.session import local_session
 
@@ -39,6 +40,7 @@ def main() -> None:
         "queries": warm, "cold": {name: t[0] for name, t in times.items()}, "sf": os.path.basename(sf_dir),
         "cpus": cpus,
     }))
+    clear_staging(spark)
     spark.stop()
 
 

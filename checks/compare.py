@@ -8,6 +8,7 @@ from pathlib import Path
 
 import duckdb
 
+from awardtrace.sources.tables import clear_staging
 from checks.oracles import ORACLES
 from checks.registry import QUERIES
 
@@ -60,3 +61,4 @@ if __name__ == "__main__":
         except Exception as error:  # noqa: BLE001 - the report goes on with the next query
             found = [f"{type(error).__name__}: {str(error)[:600]}"]
         print(f"{'FAIL' if found else 'ok  '} {key} {time.time() - begin:.1f}s", *found, flush=True)
+    clear_staging(spark)
