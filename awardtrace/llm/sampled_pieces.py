@@ -27,7 +27,9 @@ MODEL = "piece_bpe_32k.model"
 #: A piece of rank r weighs (r + FIRST) ** -POWER: the vocabulary holds ranks of merges instead of probabilities.
 POWER, FIRST = 1.0, 10.0
 #: Characters of text that go through the passes at once.
-BATCH_CHARS = 2_000_000
+BATCH_CHARS = 500_000
+#: Bytes of distinct units whose lattices are worked out at once: an edge takes five times more then than afterwards.
+LATTICE_BYTES = 30_000
 
 _UNITS = re.compile(r" ?[^ \n]{1,200}|[ \n]")
 _FACTOR = np.uint64(0x100000001B3)
@@ -102,7 +104,18 @@ def vocabulary(path: str) -> Vocabulary:
 
 
 def _lattice(units: list[bytes], v: Vocabulary) -> tuple[np.ndarray, ...]:
-    """The lattices of all units: per edge, in order of the state it ends in, where it comes from, its piece, and the
+    """The lattices of all units, block by block, as the states of one list (``_lattices``)."""
+    block = np.cumsum(np.fromiter(map(len, units), dtype=np.int64, count=len(units))) // LATTICE_BYTES
+    edges = np.flatnonzero(np.r_[True, block[1:] != block[:-1], True])
+    parts, state = [], 0
+    for a, b in zip(edges[:-1], edges[1:]):
+        parts.append(_lattices(units[a:b], v, state))
+        state = int(parts[-1][-1][-1]) + 1
+    return tuple(map(np.concatenate, zip(*parts)))
+
+
+def _lattices(units: list[bytes], v: Vocabulary, state0: int) -> tuple[np.ndarray, ...]:
+    """Of some units, with states numbered from ``state0``: per edge, in order of the state it ends in, where it comes from, its piece, and the
     running probability of the edges into that state on top of the state's number; and each unit's last state.
 
     States are the places between bytes; a unit of n bytes has n + 1, and they follow one another.
@@ -167,7 +180,9 @@ def _lattice(units: list[bytes], v: Vocabulary) -> tuple[np.ndarray, ...]:
     before = np.r_[0.0, total][group]
     running = total - np.repeat(before, np.diff(np.r_[group, len(targets)]))
     running[np.r_[group[1:], len(targets)] - 1] = 1.0
-    return sources, ids, targets + np.minimum(running, 1.0), start, (start + sizes).astype(np.int32)
+    # The places of one unit follow those of another, so the edges of all blocks stand in order of their states.
+    marks = (targets + state0) + np.minimum(running, 1.0)
+    return sources + np.int32(state0), ids, marks, start + np.int32(state0), (start + sizes + state0).astype(np.int32)
 
 
 def _char_size(first: np.ndarray) -> np.ndarray:

@@ -3,9 +3,11 @@ from __future__ import annotations
 from collections import Counter
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
+from awardtrace.llm import sampled_pieces as sp
 from awardtrace.llm.sampled_pieces import decode, default_path, encode, vocabulary, with_pieces
 from tests.llm.cases import SCHEMA, documents, empty
 
@@ -54,3 +56,22 @@ def test_rows_keep_their_cut(spark):
     cuts = {r.doc_id: r.pieces for r in got.where("row.doc_id IN (5, 6)").select("row.doc_id", "pieces").collect()}
     assert cuts[5] != cuts[6]  # equal texts, other keys
     assert with_pieces(empty(spark)).count() == 0
+
+
+def test_lattices_take_little_memory_at_once(monkeypatch):
+    """Two million characters of ever new words; cut alike however many units a block of lattices has."""
+    import tracemalloc
+
+    v = sp.vocabulary(sp.default_path())
+    texts = pd.Series([" ".join(f"w{n * 97 % 7919}x{n}" for n in range(i, i + 500)) for i in range(0, 160_000, 500)])
+    tracemalloc.start()
+    try:
+        for part in sp._batches(texts):
+            sp.encode(texts.iloc[part].tolist(), ["k"] * len(texts.iloc[part]), v)
+        assert tracemalloc.get_traced_memory()[1] < 100e6
+    finally:
+        tracemalloc.stop()
+    some = texts.iloc[:5].tolist()
+    blocks = sp.encode(some, ["k"] * 5, v)
+    monkeypatch.setattr(sp, "LATTICE_BYTES", 10 ** 9)
+    assert all((a == b).all() for a, b in zip(blocks, sp.encode(some, ["k"] * 5, v)))
