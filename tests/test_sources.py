@@ -2,6 +2,7 @@ from __future__ import annotations
 
 import pytest
 from pyspark.errors import AnalysisException
+from pyspark.sql import DataFrameWriter
 from pyspark.sql import functions as F
 
 from awardtrace.operators.clean import GRANT_COLUMNS, RAW_COLUMNS, clean_input
@@ -223,3 +224,41 @@ def test_a_build_reads_its_source_once(spark, root, monkeypatch, folder):
     cleaned = rows.select(*[F.lit("x").alias(c) for c in GRANT_COLUMNS if c != "funder"], counted("f").alias("funder"))
     tables.write_grants(cleaned, f"{folder}/grants")
     assert calls.value == 100 and tables.read_grants(spark, f"{folder}/grants").count() == 100 and list(root.iterdir()) == []
+
+
+def test_categories_are_written_without_a_sort(spark, tmp_path, monkeypatch):
+    """A row's category names its folder; sorting all rows by it first would spill on large results."""
+    before = spark.conf.get("spark.sql.maxConcurrentOutputFileWriters")
+    rows = spark.range(1000).select(F.when(F.col("id") % 2 == 0, "matched").otherwise("corpus_only").alias("category"), "id")
+    seen = []
+    write = DataFrameWriter.parquet
+    monkeypatch.setattr(DataFrameWriter, "parquet", lambda self, path: (
+        seen.append(spark.conf.get("spark.sql.maxConcurrentOutputFileWriters")), write(self, path))[1])
+    tables.write_by_category(rows, f"{tmp_path}/results")
+    assert int(seen[0]) >= 4 and spark.conf.get("spark.sql.maxConcurrentOutputFileWriters") == before
+    read = spark.read.schema(rows.schema).parquet(f"{tmp_path}/results")
+    assert sorted(map(tuple, read.select("category", "id").collect())) == sorted(map(tuple, rows.collect()))
+
+
+def test_a_query_builds_only_the_tables_it_reads(spark, tmp_path, monkeypatch):
+    from checks import adapter
+
+    made = []
+    monkeypatch.setattr(adapter, "_BUILT", {})
+    monkeypatch.setattr(adapter, "_make", lambda spark, sf_dir, table, path: (
+        made.append(table), spark.range(1).write.parquet(path)))
+    adapter.funder_list(spark, str(tmp_path))
+    adapter.funder_list(spark, str(tmp_path))
+    assert made == ["input"]
+    adapter.grants(spark, str(tmp_path))
+    assert made == ["input", "grants"]
+    adapter.all_lists(spark, str(tmp_path))
+    assert made == ["input", "grants", "listed"]
+
+
+def test_a_list_that_lies_in_many_tasks_is_not_shuffled(spark, tmp_path):
+    rows = spark.range(100, numPartitions=3).select(F.col("id").cast("string").alias("doi"))
+    tables.write_input(rows, f"{tmp_path}/as_is", spread=False)
+    tables.write_input(rows.coalesce(1), f"{tmp_path}/spread")
+    files = [len(spark.read.parquet(f"{tmp_path}/{name}").inputFiles()) for name in ("as_is", "spread")]
+    assert files == [3, spark.sparkContext.defaultParallelism]
