@@ -204,3 +204,24 @@ def test_ratio_equals_difflib():
     got = ratios([a for a, _ in pairs], [b for _, b in pairs])
     want = [SequenceMatcher(None, a, b).ratio() if a and b else 0.0 for a, b in pairs]
     assert got.tolist() == want
+
+
+def test_a_query_writes_only_the_features_it_compares(spark, monkeypatch):
+    from awardtrace.operators import pairs
+    from checks.registry import QUERIES
+
+    columns = {}
+    write = pairs.stage
+    monkeypatch.setattr(pairs, "stage", lambda df, name: (columns.update({name: df.columns}), write(df, name))[1])
+    for name, wanted in (("pair_substring", ["trimmed", "norm"]), ("pair_edit_distance", ["norm"]), ("overlap_coefficient", ["norm"])):
+        QUERIES[name](spark, "/root/testdata/sf0.001")
+        assert columns.pop("award-features") == ["_pair_id", *[f"_pair_{c}" for c in wanted]]
+
+
+def test_the_further_key_of_a_join_is_small(spark):
+    from awardtrace.operators.joins import skew_join
+
+    rows = spark.range(5000).select(F.concat(F.lit("10.5555/"), "id").alias("k"))
+    plan = skew_join(rows, rows.withColumn("n", F.lit(1)), ["k"])._jdf.queryExecution().optimizedPlan().toString()
+    assert "& 255" in plan and "xxhash64" not in plan
+    assert skew_join(rows, rows.withColumn("n", F.lit(1)), ["k"]).count() == 5000
