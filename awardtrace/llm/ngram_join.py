@@ -1,8 +1,8 @@
 """N-gram Jaccard join with signature trees.
 
 Sets that link share one of their rarest shingles, as many as a set may lack and still
-link. Documents meet under those shingles only, each with its size and bitmap; trees of
-bitmaps drop the pairs that cannot share enough. What is left ties sets into classes
+link. Documents meet under those shingles only, each with its size and bitmap; the shingle's
+place in both, and bitmaps in lists or trees, drop the pairs that cannot share enough. What is left ties sets into classes
 that no link leaves. A class is dealt out in blocks by size, each of which gets its whole
 sets, once, and a second walk of trees with exact counts gives the components of each
 block. One set of each component meets those of other blocks, which joins most of what
@@ -18,95 +18,110 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-import xxhash
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from awardtrace.llm.common import documents, quoted, stage, text_or_empty
 from awardtrace.llm.components import components
+from awardtrace.llm.shingles import Sets, blocks, in_order, sets_of, shingle_sets
 from awardtrace.llm.signature_tree import Classes, bitmap, folded, most_shared, needed, walk, width_for
 from awardtrace.operators.joins import skew_join
 
-#: Rows drawn to rank common shingles, and how many are ranked. The ranks only decide which shingles are tried first.
-SAMPLE_ROWS = 5_000
-RANKED = 50_000
+#: Rows drawn to rank common shingles: a share of the table, since a shingle's rows grow with it, but some at least and at most;
+#: and how many are ranked. The ranks only decide which shingles are tried first.
+SAMPLE_SHARE, SAMPLE_ROWS, SAMPLE_MOST = 0.02, 5_000, 100_000
+RANKED = 200_000
 #: Sets under one shingle that are compared there. Under a shingle with more, all become one class at once, which costs
 #: more checks later and changes no result.
 RUN = 1024
+#: Of runs up to so many sets, pairs of a fitting size are listed, so many at once; longer ones have trees.
+SHORT, PAIRS = 256, 1_000_000
 #: A class is dealt out in blocks of some so many sets and shingles; so many blocks meet as one with others.
 BLOCK_SETS, BLOCK_TOKENS, TOGETHER = 256, 400_000, 8
 #: Bits of the filter for the documents whose sets are read again; a fixed size, so it may be broadcast.
 FILTER_BITS = 23
 _BUFFER = 100_000
 
-_M1, _M2, _M3 = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB))
 
+class Ranks:
+    """Ranks of common shingles, from their sorted hashes and their counts; 0 for any other."""
 
-def _spread(x: np.ndarray) -> np.ndarray:
-    x = (x ^ (x >> np.uint64(30))) * _M2
-    x = (x ^ (x >> np.uint64(27))) * _M3
-    return x ^ (x >> np.uint64(31))
+    def __init__(self, hashes: np.ndarray, counts: np.ndarray) -> None:
+        self.hashes, self.counts = hashes, np.minimum(counts, 0xFFFF)
+        self.last = np.uint64((1 << 20) - 1)
+        self.slots = np.zeros(1 << 20, dtype=bool)  # most shingles have no rank, and nearly all of these are told by their last bits
+        self.slots[hashes & self.last] = True
 
+    def of(self, tokens: np.ndarray) -> np.ndarray:
+        rank = np.zeros(len(tokens), dtype=np.int64)
+        at = np.flatnonzero(self.slots[tokens & self.last])
+        if len(at):
+            place = np.minimum(np.searchsorted(self.hashes, tokens[at]), len(self.hashes) - 1)
+            rank[at] = np.where(self.hashes[place] == tokens[at], self.counts[place], 0)
+        return rank
 
-def shingles(text: str, n: int, known: dict[bytes, int]) -> np.ndarray:
-    """Sorted distinct hashes of the n-word shingles; of a shorter text, that of all its words. A to Z are folded."""
-    words = text.encode("utf-8", "surrogatepass").lower().split()
-    if not words:
-        return np.zeros(0, dtype=np.uint64)
-    if len(known) > 300_000:
-        known.clear()
-    for w in set(words):
-        if w not in known:
-            known[w] = xxhash.xxh3_64_intdigest(w)
-    hashes = np.fromiter((known[w] for w in words), dtype=np.uint64, count=len(words))
-    n = min(n, len(words))
-    rolled = np.full(len(words) - n + 1, n, dtype=np.uint64)
-    for k in range(n):
-        rolled = _spread(rolled * _M1 + hashes[k:len(words) - n + 1 + k])
-    return np.unique(rolled)
 
+def _prefixes(sets: Sets, ranks: Ranks, num: int, den: int) -> pa.Array:
+    """The shingles under which each set is found: as many of its rarest as it may lack and still link, and one more.
 
-def _rarest(tokens: np.ndarray, ranked: np.ndarray, counts: np.ndarray, num: int, den: int) -> np.ndarray:
-    """The shingles under which a set is found: the first of those in order of rank, then hash."""
-    keep = len(tokens) - -(-num * len(tokens) // den) + 1
-    if not len(ranked):
-        return tokens[:keep]
-    place = np.minimum(np.searchsorted(ranked, tokens), len(ranked) - 1)
-    rank = np.where(ranked[place] == tokens, counts[place], 0)
-    return tokens[np.argsort(rank, kind="stable")[:keep]]
+    They go by rank, then hash, so two shingles have one order in all sets.
+    """
+    sizes = sets.sizes
+    keep = np.where(sizes > 0, sizes + (-num * sizes) // den + 1, 0)
+    order = in_order(ranks.of(sets.tokens))
+    order = order[in_order(sets.rows[order])]
+    place = np.arange(len(sets.tokens)) - np.repeat(sets.ends[:-1], sizes)
+    return _listed(np.r_[0, np.cumsum(keep)], sets.tokens[order][place < np.repeat(keep, sizes)])
+
+
+def _name(tokens: np.ndarray) -> bytes:
+    """What a set is known by."""
+    return hashlib.blake2b(tokens.tobytes(), digest_size=16).digest()
+
+
+def _listed(ends: np.ndarray, values: np.ndarray) -> pa.Array:
+    return pa.ListArray.from_arrays(ends.astype(np.int32), values.view(np.int64))
 
 
 def _ranks(docs: DataFrame, n: int, text: str) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of common shingles in order, with their counts in a sample: at most RANKED."""
-    @F.pandas_udf("array<long>")
-    def tokens(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        known: dict[bytes, int] = {}
+    @F.arrow_udf("array<long>")
+    def tokens(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for batch in texts:
-            yield pd.Series([shingles(t, n, known).view(np.int64) for t in batch], dtype=object)
+            sets = [shingle_sets(block, n) for block in blocks(batch)]
+            yield _whole([_listed(s.ends, s.tokens) for s in sets], pa.list_(pa.int64()))
 
-    drawn = docs.sample(fraction=min(1.0, SAMPLE_ROWS / max(1, docs.count())), seed=5)
+    rows = max(1, docs.count())
+    wanted = min(SAMPLE_MOST, max(SAMPLE_ROWS, SAMPLE_SHARE * rows))
+    drawn = docs.sample(fraction=min(1.0, wanted / rows), seed=5)
     counted = drawn.select(F.explode(tokens(text_or_empty(text))).alias("token")).groupBy("token").count()
-    rows = counted.where("count > 3").orderBy(F.desc("count"), "token").limit(RANKED).toPandas()
-    hashes = rows["token"].to_numpy(dtype=np.int64).view(np.uint64)
+    top = counted.where("count > 3").orderBy(F.desc("count"), "token").limit(RANKED).toPandas()
+    hashes = top["token"].to_numpy(dtype=np.int64).view(np.uint64)
     order = np.argsort(hashes)
-    return hashes[order], rows["count"].to_numpy(dtype=np.int64)[order]
+    return hashes[order], top["count"].to_numpy(dtype=np.int64)[order]
+
+
+def _whole(parts: list[pa.Array], kind: pa.DataType) -> pa.Array:
+    return pa.concat_arrays([part.cast(kind) for part in parts]) if parts else pa.array([], kind)
 
 
 def described(docs: DataFrame, n: int, num: int, den: int, text: str, key: str) -> DataFrame:
     """``_key, n, set, prefix, bits`` of every row: size, identity, rarest shingles and bitmap of its set."""
     ranked, counts = _ranks(docs, n, text)
 
-    @F.pandas_udf("n long, set binary, prefix array<long>, bits binary")
-    def describe(texts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        known: dict[bytes, int] = {}
+    @F.arrow_udf("n long, set binary, prefix array<long>, bits binary")
+    def describe(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        ranks = Ranks(ranked, counts)
         for batch in texts:
-            out = []
-            for t in batch:
-                own = shingles(t, n, known)
-                found = _rarest(own, ranked, counts, num, den) if len(own) else own
-                bits = bitmap(own, width_for(len(own))).tobytes() if len(own) else b""
-                out.append((len(own), hashlib.blake2b(own.tobytes(), digest_size=16).digest(), found.view(np.int64), bits))
-            yield pd.DataFrame(out, columns=["n", "set", "prefix", "bits"])
+            columns = [[], [], [], []]
+            for block in blocks(batch):
+                sets = shingle_sets(block, n)
+                own = [sets.sizes, [_name(own) for own in sets], _prefixes(sets, ranks, num, den), sets.bitmaps()]
+                for column, part in zip(columns, own):
+                    column.append(pa.array(part))
+            kinds = [pa.int64(), pa.binary(), pa.list_(pa.int64()), pa.binary()]
+            yield pa.StructArray.from_arrays([_whole(c, k) for c, k in zip(columns, kinds)], names=["n", "set", "prefix", "bits"])
 
     return docs.select(quoted(key).alias("_key"), describe(text_or_empty(text)).alias("d")).select("_key", "d.*")
 
@@ -115,78 +130,101 @@ def _runs(tokens: np.ndarray) -> np.ndarray:
     return np.flatnonzero(np.r_[True, tokens[1:] != tokens[:-1], True])
 
 
+def _pairs(df: pd.DataFrame, runs: np.ndarray, num: int, den: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Positions of all pairs within the runs whose sets may link under the shingle, the smaller set first; some at a time.
+
+    Rows stand by size in a run, so the sets of a fitting size follow one another. Of two sets that
+    link, all they share stands from the first shared shingle on: under that one, neither may have
+    less left than they must share. (Without ``pos``, the shingle's place in each set's order, all are left.)
+    """
+    n = df["n"].to_numpy(dtype=np.int64)
+    left = n - df["pos"].to_numpy(dtype=np.int64) if "pos" in df else n
+    length = runs[:, 1] - runs[:, 0]
+    own = np.repeat(np.arange(len(runs)), length)
+    at = np.arange(len(own)) - np.repeat(np.cumsum(length) - length, length) + np.repeat(runs[:, 0], length)
+    most = int(n[at].max(initial=0)) + 1
+    upto = np.searchsorted(own * most + n[at], own * most + np.minimum(n[at] * den // num, most - 1), side="right")
+    count = upto - np.arange(len(at)) - 1
+    ends = np.cumsum(count)
+    first = 0
+    while first < len(at):
+        before = int(ends[first - 1]) if first else 0
+        last = max(first + 1, int(np.searchsorted(ends, before + PAIRS, side="right")))
+        c = count[first:last]
+        i = np.repeat(np.arange(first, last), c)
+        j = i + 1 + np.arange(len(i)) - np.repeat(np.cumsum(c) - c, c)
+        i, j, first = at[i], at[j], last
+        fits = np.minimum(left[i], left[j]) >= needed(n[i], n[j], num, den)
+        if fits.any():
+            yield i[fits], j[fits]
+
+
 def _met(num: int, den: int):
-    """Of rows sorted by (token, n) those with another set of a fitting size under the token.
+    """Of rows sorted by (token, n) those that may link with another set under the token.
 
     The first and the last run of a task stay whole, as they may go on elsewhere, and so
-    does a run that fills the buffer.
+    does a run that fills the buffer or has more sets than are compared there.
     """
     def met(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         rest, first, long_token = None, True, None
         for batch in batches:
             rest = batch if rest is None else pd.concat([rest, batch], ignore_index=True)
+            if len(rest) < _BUFFER:
+                continue
             tokens = rest["token"].to_numpy()
             edges = _runs(tokens)
             cut = edges[-2]  # the last run may go on
             if cut:
-                yield fitting(rest.iloc[:cut], edges[:-1], first, long_token)
+                yield fitting(rest.iloc[:cut].reset_index(drop=True), edges[:-1], first, long_token)
                 first, rest = False, rest.iloc[cut:]
             if len(rest) >= _BUFFER:  # a run that fills the buffer stays whole, and so does what follows of it
                 long_token, first = rest["token"].iloc[-1], False
                 yield rest
                 rest = None
         if rest is not None and len(rest):
-            yield rest
+            rest = rest.reset_index(drop=True)
+            edges = _runs(rest["token"].to_numpy())
+            cut = edges[-2]
+            if cut:
+                yield fitting(rest.iloc[:cut], edges[:-1], first, long_token)
+            yield rest.iloc[cut:]
 
     def fitting(df: pd.DataFrame, edges: np.ndarray, first: bool, long_token) -> pd.DataFrame:
-        token, n = df["token"].to_numpy(), df["n"].to_numpy(dtype=np.int64)
-        fits = (n[:-1] * den >= n[1:] * num) & (token[1:] == token[:-1])
-        keep = np.r_[False, fits] | np.r_[fits, False]
+        runs = np.c_[edges[:-1], edges[1:]]
+        length = runs[:, 1] - runs[:, 0]
+        whole = length > RUN
         if first:
-            keep[:edges[1]] = True
+            whole[0] = True
         if long_token is not None:
-            keep |= token == long_token
+            whole |= df["token"].to_numpy()[runs[:, 0]] == long_token
+        keep = np.repeat(whole, length)
+        for i, j in _pairs(df, runs[~whole & (length > 1)], num, den):
+            keep[i] = keep[j] = True
         return df[keep]
 
     return met
 
 
-def _small_runs(df: pd.DataFrame, runs: np.ndarray, num: int, den: int) -> tuple[np.ndarray, np.ndarray]:
+def _small_runs(df: pd.DataFrame, runs: np.ndarray, num: int, den: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """All pairs in short runs that their bitmaps let through, as positions."""
-    sizes = df["n"].to_numpy(dtype=np.int64)
-    left, right = [], []
-    length = runs[:, 1] - runs[:, 0]
-    for gap in range(1, int(length.max()) if len(length) else 0):
-        own = runs[length > gap]  # every position against that gap further on
-        count = own[:, 1] - own[:, 0] - gap
-        at = np.repeat(own[:, 0] - np.r_[0, np.cumsum(count)[:-1]], count) + np.arange(count.sum())
-        left.append(at)
-        right.append(at + gap)
-    if not left:
-        return np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64)
-    i, j = np.concatenate(left), np.concatenate(right)
-    fits = np.minimum(sizes[i], sizes[j]) * den >= np.maximum(sizes[i], sizes[j]) * num
-    i, j = i[fits], j[fits]
-    swap = sizes[i] > sizes[j]
-    i, j = np.where(swap, j, i), np.where(swap, i, j)
-    bits = df["bits"].to_numpy()
+    sizes, bits = df["n"].to_numpy(dtype=np.int64), df["bits"].to_numpy()
     width = np.fromiter(map(len, bits), dtype=np.int64, count=len(bits))
-    keep_i, keep_j = [], []
-    for w in np.unique(width[i]):
-        for wider in (False, True):
-            pick = (width[i] == w) & (width[j] == (2 * w if wider else w))
-            a, b = i[pick], j[pick]
-            for s in range(0, len(a), 20_000):
-                p, q = a[s:s + 20_000], b[s:s + 20_000]
-                maps_p = np.frombuffer(b"".join(bits[p]), dtype=np.uint64).reshape(len(p), -1)
-                maps_q = np.frombuffer(b"".join(bits[q]), dtype=np.uint64).reshape(len(q), -1)
-                most = most_shared(sizes[p], maps_p, sizes[q], folded(maps_q) if wider else maps_q)
-                good = most >= needed(sizes[p], sizes[q], num, den)
-                keep_i.append(p[good])
-                keep_j.append(q[good])
-    if not keep_i:
-        return i[:0], j[:0]
-    return np.concatenate(keep_i), np.concatenate(keep_j)
+    row, maps = np.zeros(len(bits), dtype=np.int64), {}
+    for w in np.unique(width):
+        at = np.flatnonzero(width == w)
+        row[at] = np.arange(len(at))
+        maps[int(w)] = np.frombuffer(b"".join(bits[at]), dtype=np.uint64).reshape(len(at), -1)
+    for i, j in _pairs(df, runs, num, den):
+        for w in np.unique(width[i]).tolist():
+            for wider in (False, True):
+                pick = (width[i] == w) & (width[j] == (2 * w if wider else w))
+                a, b = i[pick], j[pick]
+                step = max(1, PAIRS // w)
+                for s in range(0, len(a), step):
+                    p, q = a[s:s + step], b[s:s + step]
+                    other = folded(maps[2 * w][row[q]]) if wider else maps[w][row[q]]
+                    good = most_shared(sizes[p], maps[w][row[p]], sizes[q], other) >= needed(sizes[p], sizes[q], num, den)
+                    yield p[good], q[good]
 
 
 def _long_run(df: pd.DataFrame, num: int, den: int) -> tuple[np.ndarray, np.ndarray]:
@@ -243,9 +281,9 @@ def _ties(num: int, den: int):
             shared[-1] = True
         for a, b in runs[shared]:
             yield to_vertex(df.iloc[a:b])
-        short = ~shared & (length <= 16)
-        i, j = _small_runs(df, runs[short], num, den)
-        yield edges(sid[i], sid[j])
+        short = ~shared & (length <= SHORT)
+        for i, j in _small_runs(df, runs[short], num, den):
+            yield edges(sid[i], sid[j])
         for a, b in runs[~shared & ~short]:
             i, j = _long_run(df.iloc[a:b], num, den)
             yield edges(sid[a + i], sid[a + j])
@@ -255,12 +293,12 @@ def _ties(num: int, den: int):
 
 def _classes(reps: DataFrame, num: int, den: int) -> DataFrame:
     """``sid, class`` of all sets that may link with another one."""
-    tokens = reps.select(F.explode("prefix").alias("token"), "sid", "n")
+    tokens = reps.select(F.posexplode("prefix").alias("pos", "token"), "sid", "n").select("token", "sid", "n", "pos")
     ranges = tokens.repartitionByRange("token", "sid").sortWithinPartitions("token", "n", "sid")
-    met = ranges.mapInPandas(_met(num, den), "token long, sid long, n long")
+    met = ranges.mapInPandas(_met(num, den), "token long, sid long, n long, pos int")
     met = met.join(reps.select("sid", "bits"), "sid")
     met = met.repartitionByRange("token", "sid").sortWithinPartitions("token", "n", "sid")
-    ties = met.select("token", "sid", "n", "bits").mapInPandas(_ties(num, den), "u long, v long")
+    ties = met.select("token", "sid", "n", "pos", "bits").mapInPandas(_ties(num, den), "u long, v long")
     return components(ties).where("u >= 0").select(F.col("u").alias("sid"), F.col("component").alias("class"))
 
 
@@ -297,30 +335,33 @@ def _joined_by(labels: np.ndarray) -> Classes:
     return classes
 
 
-def _grouped(unit, names: tuple[str, ...] = ("class", "i", "j")):
-    """``unit`` of every group of rows that stand together."""
+def _grouped(unit, names: tuple[str, ...] = ("class", "i", "j"), prepared=None):
+    """``unit`` of every group of rows that stand together; ``prepared`` gets them before, many groups at a time."""
     def grouped(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         held: list[pd.DataFrame] = []
-        known: dict[bytes, int] = {}
         last = None
         for batch in batches:
+            batch = batch if prepared is None else prepared(batch)
             keys = list(zip(*(batch[c] for c in names)))
             edges = [k for k in range(len(keys)) if k == 0 or keys[k] != keys[k - 1]] + [len(keys)]
             for a, b in zip(edges[:-1], edges[1:]):
                 if held and keys[a] != last:
-                    yield unit(pd.concat(held, ignore_index=True), known)
+                    yield unit(together(held))
                     held = []
                 held.append(batch.iloc[a:b])
                 last = keys[a]
         if held:
-            yield unit(pd.concat(held, ignore_index=True), known)
+            yield unit(together(held))
+
+    def together(held: list[pd.DataFrame]) -> pd.DataFrame:
+        return pd.concat(held, ignore_index=True) if len(held) > 1 else held[0].reset_index(drop=True)
 
     return grouped
 
 
 def _possible(num: int, den: int):
     """Within each (class, i, j): the sets that a bitmap lets link with one of another component."""
-    def unit(df: pd.DataFrame, _) -> pd.DataFrame:
+    def unit(df: pd.DataFrame) -> pd.DataFrame:
         labels, involved = df["comp"].to_numpy(dtype=np.int64), np.zeros(len(df), dtype=bool)
         for at, maps, sizes, first in _common_widths(df):
             def see(i: int, js: np.ndarray) -> np.ndarray:
@@ -341,10 +382,9 @@ def _exact(n: int, num: int, den: int, every: bool = False):
     ``a, b`` of sets; two sets of one block may meet in several units of it, so their link
     comes from the unit of the block with itself.
     """
-    def unit(df: pd.DataFrame, known: dict[bytes, int]) -> pd.DataFrame:
-        sets = [shingles(t, n, known) for t in df["_text"]]
-        same = [hashlib.blake2b(s.tobytes(), digest_size=16).digest() == bytes(k) for s, k in zip(sets, df["set"])]
-        at = np.flatnonzero(same)  # another text under the same key is another set
+    def unit(df: pd.DataFrame) -> pd.DataFrame:
+        sets = df["own"].tolist()
+        at = np.flatnonzero(df["same"].to_numpy())  # another text under the same key is another set
         at = at[np.argsort([len(sets[p]) for p in at], kind="stable")]
         sets = [sets[p] for p in at]
         sizes = np.array([len(s) for s in sets], dtype=np.int64)
@@ -363,7 +403,9 @@ def _exact(n: int, num: int, den: int, every: bool = False):
             maps = np.stack([bitmap(s, width) for s in sets])
 
             def check(i: int, js: np.ndarray) -> np.ndarray:
-                shared = np.array([np.isin(sets[j], sets[i], assume_unique=True).sum() for j in js])
+                others = np.concatenate([sets[j] for j in js])
+                place = np.minimum(np.searchsorted(sets[i], others), len(sets[i]) - 1)
+                shared = np.add.reduceat(sets[i][place] == others, np.cumsum(sizes[js]) - sizes[js], dtype=np.int64)
                 return shared >= needed(sizes[i], sizes[js], num, den)
 
             walk(sizes, maps, num, den, classes, check, link=link if every else None)
@@ -371,7 +413,12 @@ def _exact(n: int, num: int, den: int, every: bool = False):
             return pd.DataFrame({"a": np.concatenate(left), "b": np.concatenate(right)})
         return pd.DataFrame({"sid": sid, "root": sid[classes.label], "class": df["class"].iloc[0]})
 
-    return _grouped(unit)
+    def prepared(batch: pd.DataFrame) -> pd.DataFrame:
+        sets = sets_of(batch["_text"].tolist(), n)
+        same = [_name(s) == bytes(k) for s, k in zip(sets, batch["set"])]
+        return batch.drop(columns=["_text", "set"]).assign(own=pd.Series(sets, index=batch.index, dtype=object), same=same)
+
+    return _grouped(unit, prepared=prepared)
 
 
 def _blocked(members: DataFrame) -> DataFrame:

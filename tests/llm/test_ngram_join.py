@@ -175,3 +175,42 @@ def test_long_runs_are_kept_whole(monkeypatch):
             if any(t == u and i != j and 100 * min(n, m) >= 90 * max(n, m) for u, m, j in rows):
                 assert i in set(kept["sid"])
         assert set(df["sid"][df["token"].isin([1, 4])]) <= set(kept["sid"])  # they may go on in other tasks
+
+
+def test_sets_of_many_texts_at_once(monkeypatch):
+    """The same words in a row have one hash in every text and block, other words another one."""
+    import pyarrow as pa
+
+    from awardtrace.llm import shingles
+
+    monkeypatch.setattr(shingles, "LONG_WORD", 20)
+    rows = [t or "" for _, t in texts()] + ["A\x1cB  c", "a\x1cb C", "x" * 20 + " y", "x" * 21 + " y", "X" * 21 + "\ty", "", "lead \v\f trail ",
+                                            "12345678 12345678x", "12345678\n12345678X", "É é", "a", "a a a a a", " a b"]
+    for n in (1, 3, 5):
+        for size in (1, 500, 10_000_000):
+            monkeypatch.setattr(shingles, "BLOCK_BYTES", size)
+            got = [own for block in shingles.blocks(pa.array(rows)) for own in shingles.shingle_sets(block, n)]
+            want = [s for _, s in _sets(enumerate(rows), n)]
+            assert [len(g) for g in got] == [len(w) for w in want]
+            assert all((np.diff(g) > 0).all() for g in got)
+            named = {frozenset(w): g.tobytes() for w, g in zip(want, got)}
+            assert all(named[w] == g.tobytes() for w, g in zip(want, got)) and len(set(named.values())) == len(named)
+            every = {s for w in want for s in w}
+            assert len(np.unique(np.concatenate(got))) == len(every)
+    sets = shingles.shingle_sets(pa.array(rows), 3)
+    maps = [bitmap(s, width_for(len(s))).tobytes() if len(s) else b"" for s in sets]
+    assert sets.bitmaps().to_pylist() == maps
+
+
+def test_sets_that_cannot_link_do_not_meet():
+    """Under a shingle that stands too late in two sets for them to share enough, neither is kept or looked at."""
+    import pandas as pd
+
+    rows = [(t, 100, 2 * t + k, pos) for t in range(1, 9) for k, pos in ((0, 0), (1, 3 * (t % 4)))]
+    df = pd.DataFrame(rows, columns=["token", "n", "sid", "pos"])
+    kept = pd.concat(list(ngram_join._met(90, 100)(iter([df]))))
+    # 95 of 100 shingles have to be shared: at place 6 and 9 too few are left. The edges of a task are kept.
+    assert sorted(set(kept["token"])) == [1, 4, 5, 8]
+    bits = df.assign(bits=[bitmap(np.arange(100, dtype=np.uint64), 128).tobytes()] * len(df))
+    ties = pd.concat(list(ngram_join._ties(90, 100)(iter([bits]))))
+    assert {(u, v) for u, v in zip(ties["u"], ties["v"]) if v >= 0} == {(8, 9), (10, 11)}
